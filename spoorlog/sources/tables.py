@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spoorlog import schemas
 from spoorlog.functions.vectors import format_vector_text
+from spoorlog.operators.positions import with_positions
 
 
 def _replace_sessions(df: DataFrame, path: str, slice_of: Column | None = None) -> None:
@@ -88,32 +89,47 @@ def read_qa(spark: SparkSession, path: str, session_id: str | None = None) -> Da
     return df if session_id is None else df.orderBy("created_at")
 
 
+REPORT_FINDINGS = 10_000
+
+
 def incident_report(
-    findings: DataFrame, target_asset: Column | str, analysis_date: str, summary: str | None = None
+    findings: DataFrame, target_asset: Column | str, analysis_date: str,
+    summary: str | None = None, part_size: int = REPORT_FINDINGS,
 ) -> DataFrame:
-    """One JSON briefing per session, its findings in rule order."""
+    """A JSON briefing per session, its findings in rule order.
+
+    A session with more than ``part_size`` findings gets several documents,
+    numbered by ``part``, so no document grows with the data.
+    """
     asset = F.lit(target_asset) if isinstance(target_asset, str) else target_asset
+    segment = F.struct("rule_ord", F.floor(F.col("seq") / 65_536).alias("reach"))
+    placed = with_positions(findings, ["session_id"], segment, ["rule_ord", "seq", "id"])
     line = F.struct(
-        "rule_ord",
-        "seq",
+        "pos",
         "severity",
         "title",
         "description",
         F.coalesce(F.nullif(F.col("evidence.ip"), F.lit("")), F.lit("Unknown")).alias("ip"),
     )
-    grouped = findings.groupBy("session_id").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    grouped = placed.groupBy(
+        "session_id", F.floor(F.col("pos") / part_size).alias("part")
+    ).agg(F.array_sort(F.collect_list(line)).alias("lines"))
     listed = F.transform(
-        "lines", lambda f: F.struct(f.severity, f.title, f.description, f.ip)
+        "lines",
+        lambda f: F.struct(
+            f.severity.alias("severity"), f.title.alias("title"),
+            f.description.alias("description"), f.ip.alias("ip"),
+        ),
     )
-    shape = "array<struct<severity: string, title: string, description: string, ip: string>>"
     return grouped.select(
         "session_id",
+        "part",
         F.to_json(
             F.struct(
                 F.col("session_id").alias("incidentId"),
                 asset.alias("targetAsset"),
                 F.lit(analysis_date).alias("analysisDate"),
-                listed.cast(shape).alias("findings"),
+                listed.alias("findings"),
                 F.lit(summary).cast("string").alias("timelineSummary"),
             )
         ).alias("report"),
