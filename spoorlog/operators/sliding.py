@@ -6,9 +6,10 @@ an anchor is the number of such spans covering it: a running sum of +1 at each
 span's start and -1 behind its end.
 
 Time is cut into buckets of length W. A span reaches into at most two of them
-and is clipped at their edge, so every (key, bucket) is summed on its own. The
-steps are merged per millisecond before the sort, which bounds a bucket to W + 1
-narrow rows however many rows share a key, a bucket or even one instant.
+and is clipped at their edge, so every (key, bucket) is summed on its own. Rows
+are merged per millisecond, map side first, before the sort. That bounds a
+bucket to a few narrow rows per millisecond however many rows share a key, a
+bucket or even one instant.
 """
 
 from __future__ import annotations
@@ -22,12 +23,15 @@ def bucket_of(ms: Column, width: int) -> Column:
     return ms - F.pmod(ms, F.lit(width).cast("bigint"))
 
 
-def covered(spans: DataFrame, keys: list[str], width: int) -> DataFrame:
+def covered(
+    spans: DataFrame, keys: list[str], width: int, one_per_point: bool = True
+) -> DataFrame:
     """Total weight of the spans covering each evaluation point.
 
     ``spans`` has the keys, ``start`` and ``stop`` (inclusive, at most ``width``
     apart), ``weight``, and ``at``, the point to evaluate. One row per key and
-    distinct point.
+    distinct point. Spans that share a point are merged per millisecond before
+    the sort unless the caller has one span per point already.
     """
     first, last = bucket_of(F.col("start"), width), bucket_of(F.col("stop"), width)
     behind = F.col("stop") + 1
@@ -45,17 +49,16 @@ def covered(spans: DataFrame, keys: list[str], width: int) -> DataFrame:
         step(F.when(bucket_of(behind, width) == last, last).otherwise(none), behind, -weight, False),
         step(bucket_of(F.col("at"), width), F.col("at"), F.lit(0).cast("bigint"), True),
     )
-    merged = (
-        spans.select(*keys, F.inline(steps))
-        .filter(F.col("bucket").isNotNull())
-        .groupBy(*keys, "bucket", "at")
-        .agg(F.sum("delta").alias("delta"), F.max("point").alias("point"))
-    )
-    running = Window.partitionBy(*keys, "bucket").orderBy("at").rowsBetween(
+    moves = spans.select(*keys, F.inline(steps)).filter(F.col("bucket").isNotNull())
+    if not one_per_point:
+        moves = moves.groupBy(*keys, "bucket", "at").agg(
+            F.sum("delta").alias("delta"), F.max("point").alias("point")
+        )
+    running = Window.partitionBy(*keys, "bucket").orderBy("at").rangeBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     return (
-        merged.withColumn("value", F.sum("delta").over(running))
+        moves.withColumn("value", F.sum("delta").over(running))
         .filter("point")
         .select(*keys, "at", "value")
     )
@@ -107,7 +110,7 @@ def sliding_window_max(
     )
     best = F.max(F.struct("value", (-F.col("at")).alias("earliest")))
     return (
-        covered(spans, keys, width)
+        covered(spans, keys, width, one_per_point=distinct is None)
         .filter(F.col("value") > threshold)
         .groupBy(*keys)
         .agg(best.alias("best"))

@@ -58,7 +58,8 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.run_rules(entries(spark, sf_dir), LIMITS)
+    """All findings as a written table, made from a written table of entries."""
+    return staged(rules.run_rules(staged(entries(spark, sf_dir), "entries"), LIMITS), "findings")
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -75,7 +76,7 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def rule_query(name: str) -> Query:
-    return lambda spark, sf_dir: flat(LIMITS[name](entries(spark, sf_dir)))
+    return lambda spark, sf_dir: flat(LIMITS[name](staged(entries(spark, sf_dir), "entries")))
 
 
 for _name, _key in {
@@ -169,7 +170,8 @@ def extract_ipv4(spark, sf_dir):
 
 @query
 def dest_port(spark, sf_dir):
-    lines = A.document_lines(A.load(spark, sf_dir, "documents"))
+    """Also takes parts of clock times for ports, as the rule is defined."""
+    lines = A.daily_logs(A.load(spark, sf_dir, "events"))
     return lines.select(
         "session_id", big("line_num"), X.extract_destination_port(F.col("raw_line")).alias("port")
     ).filter(F.col("port").isNotNull())

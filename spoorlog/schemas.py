@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RAW_LINES = "session_id string, file_name string, line_num int, raw_line string"
 
@@ -74,14 +77,17 @@ def evidence(**fields: Column) -> Column:
     )
 
 
+@lru_cache(maxsize=None)
+def _fields(schema: str) -> list[T.StructField]:
+    return T.StructType.fromDDL(schema).fields
+
+
 def conform(df: DataFrame, schema: str) -> DataFrame:
     """Select the columns of ``schema`` with their types; missing ones are NULL."""
-    from pyspark.sql import types as T
-
-    fields = T.StructType.fromDDL(schema).fields
+    present = set(df.columns)
     return df.select(
         *[
-            (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in fields
+            (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in _fields(schema)
         ]
     )
