@@ -52,14 +52,17 @@ DEFAULT_RECOMMENDATION = "Review system logs configurations."
 UNKNOWN_ASSET = "Unknown/Internal"
 # ---- end of fixed values ----------------------------------------------------
 
-_CLASS = "".join(f"\\x{{{ord(c):x}}}" for c in BLANKS)
+# The plain ASCII test comes first, so that it settles nearly every character.
+_ASCII = r"\x21-\x7e"
+_BLANK = r"\x09-\x0d\x20\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 _WORD = "A-Za-z0-9_"
 
 
 def java(pattern: str) -> str:
     """The pattern in Java's dialect, independent of its Unicode defaults."""
-    pattern = pattern.replace(r"[=:\s]", f"[=:{_CLASS}]")
-    pattern = pattern.replace(r"\S", f"[^{_CLASS}]").replace(r"\s", f"[{_CLASS}]")
+    pattern = pattern.replace(r"[=:\s]", f"[=:{_BLANK}]")
+    pattern = pattern.replace(r"\S", f"[{_ASCII}[^{_BLANK}]]")
+    pattern = pattern.replace(r"\s", f"[[^{_ASCII}]&&[{_BLANK}]]")
     pattern = re.sub(r"(?<!\\)\.(?=[*+])", r"[^\\n\\r\\u2028\\u2029]", pattern)
     if pattern.startswith(r"\b"):
         pattern = f"(?<![{_WORD}])" + pattern[2:]

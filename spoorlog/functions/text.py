@@ -24,9 +24,13 @@ def non_empty(col: Column) -> Column:
     return F.nullif(col, F.lit(""))
 
 
-def first_match(col: Column, pattern: str, group: int = 0) -> Column:
-    """Capture of the first hit, NULL without one (captures are never empty)."""
-    return non_empty(F.regexp_extract(col, P.java(pattern), group))
+def first_match(col: Column, pattern: str, group: int = 0, needs: str = "") -> Column:
+    """Capture of the first hit, NULL without one (captures are never empty).
+
+    ``needs`` is a text every hit contains; lines without it skip the regex.
+    """
+    found = F.regexp_extract(col, P.java(pattern), group)
+    return non_empty(F.when(F.contains(col, F.lit(needs)), found) if needs else found)
 
 
 def captures(col: Column, pattern: str, groups: list[int]) -> Column:
@@ -54,7 +58,7 @@ def leading_int(col: Column) -> Column:
 
 def extract_ipv4(col: Column) -> Column:
     """First IPv4-shaped token; octet ranges are not checked."""
-    return first_match(col, P.IPV4)
+    return first_match(col, P.IPV4, needs=".")
 
 
 def extract_destination_port(raw: Column, strict: bool = False) -> Column:
@@ -75,7 +79,7 @@ def extract_destination_port(raw: Column, strict: bool = False) -> Column:
         digits = F.coalesce(
             first_match(raw, P.PORT_DST, 1),
             first_match(raw, P.PORT_NAMED, 1),
-            first_match(raw, P.PORT_SOCKET, 1),
+            first_match(raw, P.PORT_SOCKET, 1, needs=":"),
         )
     return digits.try_cast("bigint")
 

@@ -75,8 +75,8 @@ def _syslog(df: DataFrame, when: Column, year: int) -> tuple[DataFrame, Columns]
         "ip": extract_ipv4(msg),
         "user_name": first_match(msg, P.USER, 1),
         "action": F.when(msg.isNotNull(), action),
-        "resource": F.coalesce(first_match(msg, P.PATH, 1), F.col("sys_app")),
-        "status_code": first_match(msg, P.EXIT_STATUS, 1).try_cast("int"),
+        "resource": F.coalesce(first_match(msg, P.PATH, 1, needs="/"), F.col("sys_app")),
+        "status_code": first_match(msg, P.EXIT_STATUS, 1, needs="=").try_cast("int"),
         "parse_error": F.when(msg.isNull(), F.lit(P.SYSLOG_ERROR)),
     }
 
@@ -131,18 +131,21 @@ def _audit(df: DataFrame, when: Column) -> tuple[DataFrame, Columns]:
 
 
 def _generic(df: DataFrame, when: Column) -> tuple[DataFrame, Columns]:
-    # One rewrite leaves: text, key, value, text, key, value, … , text.
-    marked = F.regexp_replace("raw_line", P.java(P.KEY_VALUE), "\n$1\n$2$3$4\n")
+    # One rewrite leaves: text, key, value, text, key, value, … , text. A key
+    # starts where a word starts, which spares a try at each of its letters.
+    word_start = r"(?<![a-zA-Z0-9_\-\.])"
+    marked = F.regexp_replace("raw_line", word_start + P.java(P.KEY_VALUE), "\n$1\n$2$3$4\n")
     df = df.withColumn("kv", F.when(when, F.split(marked, "\n")))
     pick = lambda at: F.reverse(F.filter("kv", lambda x, i: i % 3 == at))
     df = df.withColumns(
         {"kv_keys": F.transform(pick(1), F.lower), "kv_values": pick(2)}
     ).withColumn("kv_lower", F.when(F.size("kv") == 1, F.lower("raw_line")))
-    at = lambda name: F.nullif(F.array_position("kv_keys", name), F.lit(0))
 
     def value(names: list[str]) -> Column:
         """Value of the first alias present; its last occurrence wins."""
-        return F.get("kv_values", (F.coalesce(*[at(n) for n in names]) - 1).cast("int"))
+        aliases = F.array(*[F.lit(n) for n in names])
+        first = F.get(F.filter(aliases, lambda n: F.array_contains("kv_keys", n)), F.lit(0))
+        return F.get("kv_values", (F.array_position("kv_keys", first) - 1).cast("int"))
 
     lower = F.col("kv_lower")
     spoken = (
@@ -164,8 +167,10 @@ def _generic(df: DataFrame, when: Column) -> tuple[DataFrame, Columns]:
 
 
 def _entries(df: DataFrame, fmt: Column, parsed: Columns) -> DataFrame:
+    """Output rows; lines without a number, as on a stream, are named by their text."""
+    line = F.coalesce(F.col("line_num").cast("string"), F.col("raw_line"))
     out = df.select(
-        stable_uuid(F.col("session_id"), F.col("line_num")).alias("id"),
+        stable_uuid(F.col("session_id"), line).alias("id"),
         F.col("session_id").cast("string").alias("session_id"),
         F.col("line_num").cast("int").alias("line_num"),
         *[parsed[name].alias(name) for name in PARSED],

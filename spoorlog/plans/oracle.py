@@ -431,3 +431,24 @@ WHERE session_id IN (SELECT doc_id::VARCHAR FROM labels) GROUP BY 1"""
 ORACLE["orphans"] = f"""
 WITH {LINES} SELECT session_id, count(*) AS lines FROM full_lines
 WHERE session_id NOT IN (SELECT doc_id::VARCHAR FROM labels) GROUP BY 1"""
+
+# ---- streams: what the watermark has closed at the end of the data ----------
+
+ORACLE["stream_parse"] = ORACLE["parse_access"]
+ORACLE["stream_off_hours"] = ORACLE["off_hours"]
+ORACLE["stream_first_seen"] = f"{FINDINGS} SELECT DISTINCT session_id, who AS user, detail AS pattern FROM findings WHERE rule_ord = 4"
+_QUARTER, _HOUR = DAY // 4, DAY // 24
+ORACLE["stream_rule_counts"] = f"""
+WITH {EV}, mark AS (SELECT max(ms) - {_HOUR} AS w FROM ev),
+hops AS (
+  SELECT session_id, ip, (ms // {_QUARTER} - back) * {_QUARTER} AS start
+  FROM ev, (SELECT unnest(range(4)) AS back) WHERE event_type = 'error')
+SELECT session_id, ip, start, count(*) AS count FROM hops, mark
+WHERE start + {DAY} <= w GROUP BY 1, 2, 3 HAVING count(*) > 1"""
+ORACLE["stream_brute_force_exact"] = f"""
+WITH {EV}, mark AS (SELECT max(ms) - {_HOUR} AS w FROM ev),
+f AS (SELECT session_id, ip, ms, line_num FROM ev WHERE event_type = 'error'),
+n AS (SELECT *, (ms // {DAY}) * {DAY} AS bucket, count(*) OVER (PARTITION BY session_id, ip ORDER BY ms
+    RANGE BETWEEN CURRENT ROW AND {DAY} FOLLOWING) AS value FROM f)
+SELECT session_id, ip, bucket, value, ms AS anchor FROM n, mark WHERE bucket + {2 * DAY} <= w
+QUALIFY row_number() OVER (PARTITION BY session_id, ip, bucket ORDER BY value DESC, ms) = 1 AND value > 2"""

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spoorlog.functions import predicates as is_
 from spoorlog.functions import text as X
 from spoorlog.functions.vectors import format_vector_text, parse_vector_text
 from spoorlog.operators import (
@@ -25,6 +26,7 @@ from spoorlog.plans import adapters as A
 from spoorlog.plans.ask import ask
 from spoorlog.session import prepare, shared_dir, staged
 from spoorlog.sources import logs, tables
+from spoorlog.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 DAY = A.DAY
@@ -519,6 +521,54 @@ def orphans(spark, sf_dir):
     return lost.groupBy("session_id").agg(F.count(F.lit(1)).alias("lines"))
 
 
+# ---- streams ----------------------------------------------------------------
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table read as a stream of files."""
+    schema = A.load(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def streamed(df: DataFrame, name: str) -> DataFrame:
+    spark = df.sparkSession
+    return streams.run_to_end(df, scratch(spark, name), scratch(spark, name + "-state"))
+
+
+@query
+def stream_parse(spark, sf_dir):
+    lines = A.rendered(event_stream(spark, sf_dir), A.access_line()).withColumn("format", F.lit("apache"))
+    return parsed(streamed(streams.stream_parse(lines, YEAR), "stream-parse")).drop("raw_md5")
+
+
+@query
+def stream_rule_counts(spark, sf_dir):
+    entries = A.event_entries(event_stream(spark, sf_dir))
+    counts = streams.stream_rule_counts(entries, is_.is_ssh_failure(), 1, "1 day", "6 hours", "1 hour")
+    return streamed(counts, "stream-counts").select(
+        "session_id", "ip", F.unix_millis("start").alias("start"), "count")
+
+
+@query
+def stream_brute_force_exact(spark, sf_dir):
+    entries = A.event_entries(event_stream(spark, sf_dir))
+    alerts = streams.stream_brute_force_exact(entries, is_.is_ssh_failure(), SSH_LIMIT, DAY, "1 hour")
+    return streamed(alerts, "stream-exact")
+
+
+@query
+def stream_first_seen(spark, sf_dir):
+    entries = A.event_entries(event_stream(spark, sf_dir))
+    return streamed(streams.stream_first_seen(entries, "365 days"), "stream-first").select(
+        "session_id", "user", "pattern")
+
+
+@query
+def stream_off_hours(spark, sf_dir):
+    entries = A.event_entries(event_stream(spark, sf_dir))
+    return flat(streamed(streams.stream_off_hours(entries), "stream-off-hours"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: mixed raw logs, formats detected, parsed, all rules applied."""
     lines = A.daily_logs(A.load(prepare(spark), sf_dir, "events"))

@@ -9,8 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the settings results depend on. All clock arithmetic is in UTC."""
+    """Set what the jobs rely on.
+
+    All clock arithmetic is in UTC. Generated methods beyond 8000 bytes are never
+    compiled by the JVM; with this limit Spark splits them instead, which the wide
+    projections of the parsers need.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 
