@@ -12,7 +12,12 @@ from spoorlog import schemas
 from spoorlog.functions import predicates as is_
 from spoorlog.functions.dates import rfc1123
 from spoorlog.functions.text import extract_destination_port, non_empty, stable_uuid
-from spoorlog.operators.sliding import first_rows, rows_in_window, sliding_window_max
+from spoorlog.operators.sliding import (
+    busy_rows,
+    first_rows,
+    rows_in_window,
+    sliding_window_max,
+)
 from spoorlog.session import staged
 
 MINUTE = 60_000
@@ -53,17 +58,24 @@ def _timed(entries: DataFrame, when: Column, **more: Column) -> DataFrame:
     """Narrow rows of a window rule; no time and the epoch itself never anchor."""
     ms = F.unix_millis("ts")
     rows = entries.filter(when & F.col("ts").isNotNull() & (ms != 0))
-    extra = [c.alias(name) for name, c in more.items()]
-    return rows.select(*SOURCE, ms.alias("ms"), "line_num", "raw_line", *extra)
+    return rows.select(*SOURCE, ms.alias("ms"), "line_num", *[c.alias(n) for n, c in more.items()])
 
 
-def _with_samples(rows: DataFrame, anchors: DataFrame, width: int) -> DataFrame:
-    """Anchors with the first raw lines of their window and its first line number."""
+def _with_samples(
+    entries: DataFrame, rows: DataFrame, anchors: DataFrame, width: int
+) -> DataFrame:
+    """Anchors with the first raw lines of their window and its first line number.
+
+    The lines are chosen on the narrow rows. At most three per anchor then look
+    up their text, so raw lines are neither shuffled nor sorted.
+    """
     inside = rows_in_window(rows, anchors, SOURCE, width)
-    picked = first_rows(inside, SOURCE, ["ms", "line_num"], SAMPLE_LINES)
+    picked = staged(first_rows(inside, SOURCE, ["ms", "line_num"], SAMPLE_LINES), "samples")
+    texts = entries.select(*SOURCE, F.unix_millis("ts").alias("ms"), "line_num", "raw_line")
     ordered = F.array_sort(F.collect_list(F.struct("rank", "line_num", "raw_line")))
     return (
-        picked.groupBy(*SOURCE, "anchor", "value")
+        texts.join(picked, [*SOURCE, "ms", "line_num"])
+        .groupBy(*SOURCE, "anchor", "value")
         .agg(ordered.alias("sample"))
         .withColumn("lines", F.col("sample.raw_line"))
         .withColumn("seq", F.col("sample")[0]["line_num"])
@@ -73,12 +85,12 @@ def _with_samples(rows: DataFrame, anchors: DataFrame, width: int) -> DataFrame:
 def _brute_force(
     entries: DataFrame, when: Column, width: int, threshold: int, label: str
 ) -> tuple[DataFrame, Column]:
-    rows = _timed(entries, when)
+    rows = busy_rows(_timed(entries, when), SOURCE, width, threshold)
     anchors = staged(sliding_window_max(rows, SOURCE, width, threshold), "anchors")
     evidence = schemas.evidence(
         ip=F.col("ip"), count=F.col("value"), timeWindow=F.lit(label), sampleLines=F.col("lines")
     )
-    return _with_samples(rows, anchors, width), evidence
+    return _with_samples(entries, rows, anchors, width), evidence
 
 
 def rule_brute_force_ssh(
@@ -121,12 +133,13 @@ def rule_port_scan(
 ) -> DataFrame:
     """More than ``threshold`` distinct destination ports of one address."""
     port = extract_destination_port(F.col("raw_line")) if port is None else port
-    rows = _timed(entries, is_.has_ip(), port=port).filter(F.col("port").isNotNull())
+    ported = _timed(entries, is_.has_ip(), port=port).filter(F.col("port").isNotNull())
+    rows = busy_rows(ported, SOURCE, window_ms, threshold)
     anchors = staged(
         sliding_window_max(rows, SOURCE, window_ms, threshold, distinct="port"), "anchors"
     )
     firsts = (
-        rows_in_window(rows.drop("raw_line"), anchors, SOURCE, window_ms)
+        rows_in_window(rows, anchors, SOURCE, window_ms)
         .groupBy(*SOURCE, "port")
         .agg(F.min(F.struct("ms", "line_num")).alias("first"))
     )
@@ -135,7 +148,7 @@ def rule_port_scan(
         .groupBy(*SOURCE)
         .agg(F.array_sort(F.collect_list(F.struct("rank", "port"))).alias("ports"))
     )
-    found = _with_samples(rows, anchors, window_ms).join(listed, SOURCE)
+    found = _with_samples(entries, rows, anchors, window_ms).join(listed, SOURCE)
     ip, n = F.col("ip"), F.col("value")
     return _findings(
         found, 3, "port_scan", "high",

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spoorlog.session import staged
+
 
 def bucket_of(ms: Column, width: int) -> Column:
     """Start of the bucket that holds ``ms``."""
@@ -95,6 +97,31 @@ def distinct_spans(rows: DataFrame, keys: list[str], width: int, value: str) ->
     )
 
 
+def busy_rows(rows: DataFrame, keys: list[str], width: int, threshold: int) -> DataFrame:
+    """The rows that can lie in a window of more than ``threshold`` rows.
+
+    A window anchored in a bucket reaches into that bucket and the next, so the
+    two counts together bound its value. The counts merge on the map side and
+    the buckets that pass are few in ordinary logs; they are staged, so Spark
+    broadcasts them if they are small, and all other rows end here. What is left
+    is staged too, so that the later steps neither scan nor match all rows again.
+    """
+    width_ms = F.lit(width).cast("bigint")
+    own = bucket_of(F.col("ms"), width)
+    counts = rows.groupBy(*keys, own.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    reached = counts.select(
+        *keys, F.explode(F.array(F.col("bucket"), F.col("bucket") - width_ms)).alias("bucket"), "n"
+    )
+    anchors = reached.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
+    busy = anchors.filter(F.col("n") > threshold).select(
+        *keys, F.explode(F.array(F.col("bucket"), F.col("bucket") + width_ms)).alias("bucket")
+    )
+    kept = rows.withColumn("bucket", own).join(
+        staged(busy, "busy-buckets"), [*keys, "bucket"], "left_semi"
+    )
+    return staged(kept.drop("bucket"), "busy-rows")
+
+
 def sliding_window_max(
     rows: DataFrame, keys: list[str], width: int, threshold: int, distinct: str | None = None
 ) -> DataFrame:

@@ -114,7 +114,8 @@ def parsed(df: DataFrame) -> DataFrame:
 
 def parse_query(parse: Callable[[DataFrame], DataFrame], line: Callable[[], Column]) -> Query:
     def run(spark, sf_dir):
-        return parsed(parse(A.rendered(A.load(spark, sf_dir, "events"), line()))).drop("raw_md5")
+        lines = staged(A.rendered(A.load(spark, sf_dir, "events"), line()), "lines")
+        return parsed(parse(lines)).drop("raw_md5")
     return run
 
 
@@ -124,10 +125,14 @@ QUERIES["parse_kv"] = parse_query(parsers.parse_kv, A.kv_line)
 QUERIES["parse_audit_json"] = parse_query(parsers.parse_audit_json, A.audit_line)
 
 
+def daily_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily logs written out, as raw logs are files before they are parsed."""
+    return staged(A.daily_logs(A.load(spark, sf_dir, "events")), "lines")
+
+
 @query
 def parse_logs_mixed(spark, sf_dir):
-    lines = A.daily_logs(A.load(spark, sf_dir, "events"))
-    return parsed(parsers.parse_logs(lines, YEAR)).drop("raw_md5")
+    return parsed(parsers.parse_logs(daily_lines(spark, sf_dir), YEAR)).drop("raw_md5")
 
 
 @query
@@ -571,6 +576,5 @@ def stream_off_hours(spark, sf_dir):
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: mixed raw logs, formats detected, parsed, all rules applied."""
-    lines = A.daily_logs(A.load(prepare(spark), sf_dir, "events"))
-    stored = staged(parsers.parse_logs(lines, YEAR), "entries")
+    stored = staged(parsers.parse_logs(daily_lines(prepare(spark), sf_dir), YEAR), "entries")
     return flat(rules.run_rules(stored, LIMITS))
