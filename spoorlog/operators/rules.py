@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -229,8 +230,10 @@ def run_rules(entries: DataFrame, rules: dict[str, Rule] | None = None) -> DataF
     """All findings, in the order of ``rule_ord`` and ``seq`` within a session.
 
     Every rule reads ``entries``; pass a written table, as the ingest job does,
-    so that each one scans only the columns it needs.
+    so that each one scans only the columns it needs. The rules are independent,
+    and their small staging jobs run side by side.
     """
     chosen = {**BUILT_IN, **_registered} if rules is None else rules
-    parts = [rule(entries) for rule in chosen.values()]
+    with ThreadPoolExecutor(max_workers=len(chosen)) as pool:
+        parts = list(pool.map(lambda rule: rule(entries), chosen.values()))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
