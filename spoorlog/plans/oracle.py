@@ -220,8 +220,20 @@ WITH {EV}, p AS (SELECT {_DAILY} AS session_id, line_num, CASE day(ts) % 4 WHEN
   WHEN 3 THEN minute(ts) END::BIGINT AS port FROM ev)
 SELECT session_id, line_num, port FROM p WHERE port IS NOT NULL"""
 
+ORACLE["parse_dates"] = """
+SELECT event_id, CASE WHEN event_id % 4 IN (1, 2) THEN ms ELSE ms // 1000 * 1000 END AS ms
+FROM (SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events)"""
+
 # ---- files and tables -------------------------------------------------------
 
+ORACLE["session_from_path"] = """
+SELECT event_id, CASE event_type WHEN 'purchase' THEN '/in/cart-' || user_id ELSE 'u' || user_id END AS session_id,
+  CASE WHEN event_type <> 'purchase' THEN epoch_us(ts) // 1000 END AS ms,
+  CASE event_type WHEN 'purchase' THEN 'cart-' || user_id ELSE event_type || '_1.log' END AS upload_name
+FROM events"""
+ORACLE["attach_embeddings"] = """
+SELECT 'label-' || label AS session_id, vec_id AS chunk_index, 'chunk ' || vec_id AS chunk_text,
+  len(embedding)::BIGINT AS width, round(embedding[1]::DOUBLE, 5) AS first FROM embeddings"""
 ORACLE["line_numbers"] = """
 WITH f AS (
   SELECT doc_id // 50 AS file, string_split(string_agg(text, chr(10) ORDER BY doc_id), chr(10)) AS l

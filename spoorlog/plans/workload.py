@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spoorlog.functions import predicates as is_
 from spoorlog.functions import text as X
+from spoorlog.functions.dates import parse_epoch_or_date, rfc1123
 from spoorlog.functions.vectors import format_vector_text, parse_vector_text
 from spoorlog.operators import (
     chunking,
@@ -184,9 +185,36 @@ def dest_port(spark, sf_dir):
     ).filter(F.col("port").isNotNull())
 
 
+@query
+def parse_dates(spark, sf_dir):
+    """Event times in four spellings, read back."""
+    ts = F.col("ts").cast("timestamp")
+    turn = F.col("event_id") % 4
+    text = (
+        F.when(turn == 0, F.unix_seconds(ts).cast("string"))
+        .when(turn == 1, F.unix_millis(ts).cast("string"))
+        .when(turn == 2, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+        .otherwise(rfc1123(ts))
+    )
+    return A.load(spark, sf_dir, "events").select(
+        "event_id", F.unix_millis(parse_epoch_or_date(text)).alias("ms"))
+
+
 # ---- files and tables -------------------------------------------------------
 
 
+@query
+def session_from_path(spark, sf_dir):
+    """Events as uploads; purchases are not named like one."""
+    name = F.when(F.col("event_type") == "purchase", F.concat(F.lit("cart-"), F.col("user_id").cast("string"))).otherwise(
+        F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("_"),
+                 F.unix_millis(F.col("ts").cast("timestamp")).cast("string"), F.lit("_"), F.col("event_type"), F.lit("_1.log")))
+    files = A.load(spark, sf_dir, "events").select("event_id", name.alias("file_name")).withColumn(
+        "file_path", F.concat(F.lit("/in/"), F.col("file_name")))
+    return logs.session_from_path(files).select(
+        "event_id", "session_id", F.unix_millis("upload_ts").alias("ms"), "upload_name")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/spoorlog/{name}-{uuid.uuid4().hex}"
 
@@ -272,6 +300,15 @@ def vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.embedding_chunks(A.load(spark, sf_dir, "embeddings"))
 
 
+@query
+def attach_embeddings(spark, sf_dir):
+    """Chunks joined to vectors computed elsewhere."""
+    chunks = vector_chunks(spark, sf_dir)
+    joined = chunking.attach_embeddings(chunks.drop("embedding"), chunks)
+    return joined.select("session_id", big("chunk_index"), "chunk_text", F.size("embedding").cast("bigint").alias("width"),
+                         F.round(F.col("embedding")[0].cast("double"), 5).alias("first"))
+
+
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.load(spark, sf_dir, "embeddings").select(
         F.concat(F.lit("label-"), F.col("label").cast("string")).alias("session_id"),
