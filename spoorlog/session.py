@@ -14,11 +14,15 @@ def prepare(spark: SparkSession) -> SparkSession:
     All clock arithmetic is in UTC. Generated methods beyond 8000 bytes are never
     compiled by the JVM; with this limit Spark splits them instead, which the wide
     projections of the parsers need. Rank filters up to 5000 run before their
-    exchange too; the context budget admits a little over 1400 hits.
+    exchange too; the context budget admits a little over 1400 hits. The number
+    that sizes file splits is pinned, as it would else follow the cores at hand,
+    and two scans of the same files could be cut differently.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "5000")
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     return spark
 
 

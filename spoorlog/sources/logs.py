@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spoorlog.functions.text import is_blank
-from spoorlog.session import staged
+from spoorlog.session import prepare, staged
 
 SUFFIXES = ("log", "txt", "json", "csv")
 UPLOAD_NAME = r"^([^_]+)_(\d{13})_(.+)$"
@@ -19,7 +19,7 @@ def read_logs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     ends a line, and one carriage return before it is dropped.
     """
     lines = (
-        spark.read.option("lineSep", "\n")
+        prepare(spark).read.option("lineSep", "\n")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.{" + ",".join(SUFFIXES) + "}")
         .text(path)
@@ -55,6 +55,10 @@ def with_line_numbers(lines: DataFrame) -> DataFrame:
     per task. A first pass counts the lines of each split; a running total over
     the splits of a file gives each split's offset. Only that small table is
     moved, and the lines themselves are never shuffled or sorted for it.
+
+    Both passes must cut the files alike, which :func:`prepare` pins. A line that
+    does not fall into the split counted for it stops the job, rather than get a
+    wrong number.
     """
     keys = ["file_path", "block_start"]
     splits = lines.groupBy(*keys).agg(
@@ -64,14 +68,17 @@ def with_line_numbers(lines: DataFrame) -> DataFrame:
         Window.unboundedPreceding, -1
     )
     offsets = staged(
-        splits.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"),
+        splits.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))),
         "split-offsets",
     )
-    number = F.col("offset") + F.col("row_id") - F.col("first_row") + 1
+    place = F.col("row_id") - F.col("first_row")
+    number = F.when(
+        (place >= 0) & (place < F.col("n")), (F.col("offset") + place + 1).cast("int")
+    ).otherwise(F.raise_error(F.lit("the files were split differently in the two passes")).cast("int"))
     return (
-        lines.join(offsets, keys)
-        .withColumn("line_num", number.cast("int"))
-        .drop("offset", "first_row", "row_id", "block_start")
+        lines.join(offsets, keys, "left")
+        .withColumn("line_num", number)
+        .drop("offset", "first_row", "n", "row_id", "block_start")
     )
 
 

@@ -38,6 +38,19 @@ def test_line_numbers_do_not_depend_on_splits(spark, folder, split):
     assert got == wanted and len(rows) == len(wanted)
 
 
+def test_differing_splits_stop_the_job(spark, folder):
+    path, _ = folder
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    try:
+        numbered = logs.with_line_numbers(logs.read_logs(spark, str(path / "in")))
+        spark.conf.set(key, "333")
+        with pytest.raises(Exception, match="split differently"):
+            numbered.collect()
+    finally:
+        spark.conf.set(key, old)
+
+
 def test_session_from_upload_name(spark, folder):
     path, _ = folder
     rows = logs.read_sessions(spark, str(path / "in")).select(
