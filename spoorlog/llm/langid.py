@@ -42,7 +42,7 @@ def gram_vectors(grams: np.ndarray, alphabet: np.ndarray, dim: int, seed: int) -
 
 
 def text_vectors(block: Block, dim: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bundled trigram vectors of a block's texts, and which of them have letters."""
+    """Bundled trigram vectors of a block's texts, and their number of letters."""
     codes = folded(block.codes)
     codes = np.where(look(letter_table(), codes), codes, 0)
     text = np.repeat(np.arange(block.n), np.diff(block.text_at))
@@ -50,7 +50,7 @@ def text_vectors(block: Block, dim: int, seed: int) -> tuple[np.ndarray, np.ndar
     codes = np.concatenate(([0], codes[keep], [0])).astype(np.int64)
     text = np.concatenate(([0], text[keep], [block.n - 1]))
     alphabet, x = np.unique(codes, return_inverse=True)
-    has = np.bincount(text[codes != 0], minlength=block.n) > 0
+    letters = np.bincount(text[codes != 0], minlength=block.n)
     middle = codes[1:-1] != 0
     valid = middle | (text[:-2] == text[2:]) & (codes[:-2] != 0) & (codes[2:] != 0)
     owner = np.where(middle, text[1:-1], text[:-2])[valid]
@@ -71,7 +71,7 @@ def text_vectors(block: Block, dim: int, seed: int) -> tuple[np.ndarray, np.ndar
         cell = owner[mine] * len(part) + (column[mine] - first)
         counts = np.bincount(cell, minlength=block.n * len(part)).reshape(block.n, len(part))
         out += counts.astype(np.float32) @ gram_vectors(grams, alphabet, dim, seed).astype(np.float32)
-    return out, has
+    return out, letters
 
 
 @dataclass
@@ -125,13 +125,13 @@ def predict(df: DataFrame, profiles: Profiles) -> DataFrame:
     def score(batch: pa.RecordBatch, texts: list[str]) -> Iterator[dict]:
         ids = batch.column(batch.schema.get_field_index("doc_id"))
         for first, block in blocks(texts):
-            vectors, has = text_vectors(block, profiles.dim, profiles.seed)
+            vectors, letters = text_vectors(block, profiles.dim, profiles.seed)
             vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
             n = len(profiles.langs)
             cosine = vectors @ profiles.vectors.T if n else np.zeros((block.n, 1), np.float32)
             best = cosine.argmax(1)
             top = np.sort(cosine, axis=1)
-            found = has & (n > 0)
+            found = (letters > 0) & (n > 0)
             yield {
                 "doc_id": ids.slice(first, block.n),
                 "lang_pred": [profiles.langs[b] if f else UNKNOWN for b, f in zip(best, found, strict=True)],
@@ -142,16 +142,13 @@ def predict(df: DataFrame, profiles: Profiles) -> DataFrame:
     return map_texts(documents(df), score, "doc_id bigint, lang_pred string, score double, margin double")
 
 
-def accepted(profiles: Profiles) -> Column:
-    """Whether a text has letters and a language explains it beyond what random vectors give.
+def keep_accepted(df: DataFrame, profiles: Profiles, enough: int = 100) -> DataFrame:
+    """The rows of ``df``, all columns, whose language can be told or may be; decided in one pass, no join.
 
-    Unrelated texts have a cosine of about 1 / sqrt(dim); three times that is the limit.
+    Texts without letters go. So do texts of ``enough`` letters that no language
+    explains: unrelated texts have a cosine of about 1 / sqrt(dim), and three times
+    that is the limit. A shorter text gives no ground to reject it.
     """
-    return (F.col("lang_pred") != UNKNOWN) & (F.col("score") > 3 / profiles.dim**0.5)
-
-
-def keep_accepted(df: DataFrame, profiles: Profiles) -> DataFrame:
-    """The rows of ``df``, all columns, whose text is accepted; decided in one pass, no join."""
     schema = df.schema
     at = df.columns.index("text")
 
@@ -161,10 +158,10 @@ def keep_accepted(df: DataFrame, profiles: Profiles) -> DataFrame:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             keep = []
             for _, block in blocks(texts):
-                vectors, has = text_vectors(block, profiles.dim, profiles.seed)
+                vectors, letters = text_vectors(block, profiles.dim, profiles.seed)
                 vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
                 best = (vectors @ profiles.vectors.T).max(1) if profiles.langs else np.zeros(block.n)
-                keep.extend((has & (best > limit)).tolist())
+                keep.extend(((letters > 0) & ((best > limit) | (letters < enough))).tolist())
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return df.mapInArrow(run, schema)

@@ -110,12 +110,12 @@ WITH sized AS (
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM sized GROUP BY source),
 stepped AS (
-  SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS weights,
+  SELECT *, row_number() OVER (ORDER BY source_size::DOUBLE / weight, source NULLS LAST) AS place, sum(source_size) OVER () AS total, sum(weight) OVER () AS weights,
     coalesce(sum(source_size) OVER w, 0) AS held, coalesce(sum(weight) OVER w, 0) AS gone
   FROM sources WINDOW w AS (ORDER BY source_size::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 level AS (
-  SELECT min((total - 3.0 * held)::DOUBLE / (weights - gone)::DOUBLE) AS share FROM stepped
-  WHERE (total - 3.0 * held)::DOUBLE / (weights - gone)::DOUBLE * weight <= 3.0 * source_size::DOUBLE),
+  SELECT arg_min((total - 3 * held)::DOUBLE / (weights - gone)::DOUBLE, place) AS share FROM stepped
+  WHERE (total - 3 * held)::DOUBLE / (weights - gone)::DOUBLE * weight <= 3.0 * source_size::DOUBLE),
 goals AS (
   SELECT source, source_size,
     CASE WHEN (SELECT sum(source_size) FROM sources) = 0 THEN 0 ELSE least(share * weight, 3.0::DOUBLE * source_size) END::DOUBLE AS target

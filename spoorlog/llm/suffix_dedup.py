@@ -50,7 +50,7 @@ def window_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def kept_places(word: np.ndarray, span: int, gram: int = GRAM) -> np.ndarray:
-    """Places of a text's words where suffixes are kept; in a run of one hash only the first."""
+    """Places of a text's words where suffixes are kept; in a run of one hash only a few."""
     n = len(word) - gram + 1
     if n < 1:
         return np.zeros(0, np.int64)
@@ -62,7 +62,11 @@ def kept_places(word: np.ndarray, span: int, gram: int = GRAM) -> np.ndarray:
         least = window_least(hashes, span)
         padded = np.concatenate((np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64)))
         chosen = ~window_least(~padded, span) == hashes  # the largest least of the windows around a place
-    chosen[1:] &= hashes[1:] != hashes[:-1]
+    repeated = hashes[1:] == hashes[:-1]
+    if repeated.any():  # in a run, the first and every few places counted from its end
+        last = np.append(np.flatnonzero(~repeated), n - 1)
+        left = last[np.searchsorted(last, at)] - at
+        chosen[1:] &= ~repeated | (left[1:] % (span // 2) == 0)
     return np.flatnonzero(chosen)
 
 

@@ -5,10 +5,12 @@ of its words' weights), a document 1 - product(1 - p): it is toxic if any
 sentence is (noisy-or). Only documents carry labels; the gradient through the
 noisy-or gives each sentence its share, so the model also says where.
 
-Words are runs of letters and digits in lower case, hashed to 2**18 weights;
-sentences end at ``. ! ?`` or a line feed. Training uses at most about
-``per_label`` documents of each label, chosen by a hash of the id (a documented
-bound); words seen in fewer than ``least`` of them have no weight.
+Words are runs of letters and digits in lower case; a word counts once a
+sentence. Its weight is the sum of three, for itself and for its first four and
+five letters, so an unseen form of a known stem is recognised; each is hashed to
+2**18 places. Sentences end at ``. ! ?`` or a line feed. Training uses at most
+about ``per_label`` documents of each label, chosen by a hash of the id (a
+documented bound); what fewer than ``least`` of them have gets no weight.
 
 Null or empty texts, and texts without words, score 0. Rows are independent.
 Without labelled rows of both kinds every score is 0. Documents labelled twice
@@ -24,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spoorlog.llm.words import Block, blocks, documents, folded, id_remainder, look, map_texts, span_hashes, word_table
+from spoorlog.llm.words import Block, blocks, documents, folded, id_remainder, look, map_texts, mix, span_hashes, word_table
 
 BITS = 18
+STEMS = (4, 5)
 ENDS = [ord(c) for c in ".!?\n"]
 
 
@@ -35,17 +38,21 @@ def held_out() -> Column:
 
 
 def bag(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Features and sentence of each word; first place and text of each sentence with words."""
+    """Features (three a word) and sentence of each sentence's distinct words; first place and text of each sentence."""
     codes = folded(block.codes)
     starts, ends = block.words(look(word_table(), codes))
     stop = np.cumsum(np.isin(block.codes, np.array(ENDS, np.uint32)))
-    feature = (span_hashes(codes, starts, ends) >> np.uint64(64 - BITS)).astype(np.int64)
     _, first, sentence = np.unique(stop[starts], return_index=True, return_inverse=True)
-    return feature, sentence, starts[first], block.text_of(starts[first])
+    place = lambda h: (h >> np.uint64(64 - BITS)).astype(np.int64)
+    word = span_hashes(codes, starts, ends)
+    _, once = np.unique((sentence << BITS) | place(word), return_index=True)
+    a, b = starts[once], ends[once]
+    stems = [place(mix(span_hashes(codes, a, np.minimum(b, a + n)) + np.uint64(n))) for n in STEMS]
+    return np.stack([place(word[once]), *stems], 1), sentence[once], starts[first], block.text_of(starts[first])
 
 
 class Model:
-    """Weights of hashed words and a bias."""
+    """Weights of hashed features and a bias."""
 
     def __init__(self, weights: np.ndarray, bias: float) -> None:
         self.weights, self.bias = weights, bias
@@ -53,41 +60,50 @@ class Model:
     def sentences(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log(1 - p), first place and text of each sentence."""
         feature, sentence, first, text = bag(block)
-        z = np.bincount(sentence, self.weights[feature], minlength=len(first)) + self.bias
+        z = np.bincount(sentence, self.weights[feature].sum(1), minlength=len(first)) + self.bias
         return -np.logaddexp(0, z), first, text
 
 
-def fit(feature: np.ndarray, sentence: np.ndarray, doc: np.ndarray, label: np.ndarray, least: int, rounds: int = 150) -> Model:
-    """Minimise the noisy-or log loss; ``doc`` is the document of each sentence."""
-    n_doc = len(label)
+def fit(feature: np.ndarray, sentence: np.ndarray, doc: np.ndarray, label: np.ndarray, least: int, rounds: int = 100,
+        lasso: float = 1e-4, rate: float = 0.1) -> Model:
+    """Minimise the noisy-or log loss plus a lasso; ``doc`` is the document of each sentence.
+
+    The lasso leaves a few hundred features, so words that merely sat in a toxic
+    document by chance weigh nothing.
+    """
+    n_doc, width = len(label), feature.shape[1]
     weights = np.zeros(1 << BITS)
-    pairs = np.unique(doc[sentence] * (1 << BITS) + feature)
-    seen = np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS)
-    used = np.flatnonzero(seen >= least)
-    if not len(used) or label.all() or not label.any():
+    if not len(label) or label.all() or not label.any():
         return Model(weights, -50.0)
-    place = np.full(1 << BITS, -1)
-    place[used] = np.arange(len(used))
-    mine = place[feature] >= 0
-    x, s = place[feature[mine]], sentence[mine]
-    theta = np.zeros(len(used) + 1)
-    theta[-1] = -4.0
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    seen = np.zeros(1 << BITS, np.int64)
+    for k in range(width):
+        seen += np.bincount(np.unique((doc[sentence] << BITS) | feature[:, k]) & ((1 << BITS) - 1), minlength=1 << BITS)
+    # Each distinct word once: a step works on words, then on their few features.
+    words, x = np.unique(feature, axis=0, return_inverse=True)
+    x = x.reshape(-1)
+    on = seen[words] >= least
+    useful = on.any(1)[x]
+    x, s = x[useful], sentence[useful]
+    theta, bias = np.zeros(1 << BITS), -4.0
+    moments = np.zeros((2, (1 << BITS) + 1))
     for step in range(1, rounds + 1):
-        z = np.bincount(s, theta[x], minlength=len(doc)) + theta[-1]
+        score = (theta[words] * on).sum(1)
+        z = np.bincount(s, score[x], minlength=len(doc)) + bias
         clean = np.bincount(doc, -np.logaddexp(0, z), minlength=n_doc)  # log of no toxic sentence
-        pull = np.where(label == 1, -1 / np.maximum(np.expm1(-clean), 1e-6), 1.0)
+        pull = np.where(label == 1, -1 / np.maximum(np.expm1(np.minimum(-clean, 50)), 1e-6), 1.0)
         g = pull[doc] / (1 + np.exp(-z))
-        grad = np.append(np.bincount(x, g[s], minlength=len(used)), g.sum()) / n_doc
-        grad[:-1] += 1e-5 * theta[:-1]
-        m = 0.9 * m + 0.1 * grad
-        v = 0.99 * v + 0.01 * grad**2
-        theta -= 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
-    weights[used] = theta[:-1]
-    return Model(weights.astype(np.float32), float(theta[-1]))
-
-
-def train(docs: DataFrame, labels: DataFrame, per_label: int = 2500, least: int = 5) -> Model:
+        each = np.bincount(x, g[s], minlength=len(words))
+        grad = np.append(np.bincount(words[on], np.broadcast_to(each[:, None], on.shape)[on], minlength=1 << BITS), g.sum()) / n_doc
+        moments[0] = 0.9 * moments[0] + 0.1 * grad
+        moments[1] = 0.99 * moments[1] + 0.01 * grad**2
+        scale = rate / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-5)
+        move = scale * moments[0] / (1 - 0.9**step)
+        theta, bias = theta - move[:-1], bias - move[-1]
+        theta = np.sign(theta) * np.maximum(np.abs(theta) - scale[:-1] * lasso, 0)
+    return Model(np.where(seen >= least, theta, 0).astype(np.float32), float(bias))
+
+
+def train(docs: DataFrame, labels: DataFrame, per_label: int = 2500, least: int = 3) -> Model:
     """A model of ``labels`` (doc_id, toxic) over the texts of ``docs``."""
     known = (
         labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -102,8 +118,6 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 2500, least: int
         ids, toxic = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("doc_id", "toxic"))
         for first, block in blocks(texts):
             feature, sentence, _, text = bag(block)
-            cell = np.unique(sentence * (1 << BITS) + feature)  # a word counts once a sentence
-            sentence, feature = cell >> BITS, cell & ((1 << BITS) - 1)
             cut = np.searchsorted(text[sentence], np.arange(block.n + 1))
             yield {
                 "doc_id": ids[first : first + block.n], "toxic": toxic[first : first + block.n],
@@ -115,14 +129,13 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 2500, least: int
     sample.sort(key=lambda r: (r["doc_id"], r["feature"]))
     feature, sentence, doc, n = [], [], [], 0
     for i, r in enumerate(sample):
-        f, s = np.frombuffer(r["feature"], np.int32), np.frombuffer(r["sentence"], np.int32)
-        own, s = np.unique(s, return_inverse=True)
-        feature.append(f)
+        own, s = np.unique(np.frombuffer(r["sentence"], np.int32), return_inverse=True)
+        feature.append(np.frombuffer(r["feature"], np.int32).reshape(-1, 1 + len(STEMS)))
         sentence.append(s + n)
         doc.append(np.full(len(own), i))
         n += len(own)
     empty = [np.zeros(0, np.int64)]
-    return fit(np.concatenate(feature + empty).astype(np.int64), np.concatenate(sentence + empty).astype(np.int64),
+    return fit(np.concatenate([*feature, np.zeros((0, 1 + len(STEMS)))]).astype(np.int64), np.concatenate(sentence + empty).astype(np.int64),
                np.concatenate(doc + empty).astype(np.int64), np.array([r["toxic"] for r in sample], np.int64), least)
 
 
