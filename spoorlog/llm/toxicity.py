@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoorlog.llm.words import Block, blocks, documents, folded, id_remainder, look, map_texts, mix, span_hashes, word_table
+from spoorlog.session import staged
 
 BITS = 18
 STEMS = (4, 5)
@@ -108,11 +109,15 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 2500, least: int
     known = (
         labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    share = F.lit(0.0)
+    share, most = F.lit(0.0), 0.0
     for row in known.groupBy("toxic").count().collect():  # two rows
-        share = F.when(F.col("toxic") == row["toxic"], F.lit(min(1.0, per_label / row["count"]))).otherwise(share)
+        part = min(1.0, per_label / row["count"])
+        share, most = F.when(F.col("toxic") == row["toxic"], F.lit(part)).otherwise(share), max(part, most)
     draw = F.xxhash64(F.lit(131), "doc_id").bitwiseAND(F.lit((1 << 31) - 1)) / F.lit(float(1 << 31))
-    rows = documents(docs).join(known.filter(draw < share), "doc_id")
+    # The sample is written first: a few thousand ids, whose size Spark then knows, find their
+    # texts without a shuffle of the rest, which the same draw has thinned out anyway.
+    chosen = staged(known.filter(draw < share), "toxic-sample")
+    rows = documents(docs).filter(draw < F.lit(most)).join(chosen, "doc_id")
 
     def bags(batch: pa.RecordBatch, texts: list[str]) -> Iterator[dict]:
         ids, toxic = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("doc_id", "toxic"))
