@@ -249,7 +249,8 @@ def repeats(df: DataFrame, least: int = LEAST, span: int = SPAN) -> DataFrame:
     ``first``, whether no match found for the passage is in a document of a lower id.
     """
     kept = staged(suffixes(df, least, span), "suffixes")
-    common = kept.groupBy("head").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("head")
+    often = kept.groupBy("head").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("head")
+    common = staged(often, "suffix-heads")  # a plain table, so that a head in very many places can be split in the join
     places = kept.join(common, "head").groupBy("doc").agg(F.collect_list("place").alias("places"))
     rows = staged(_contexts(_named(df).join(places, "doc").select("doc", "text", "places"), least, span), "suffix-contexts")
     ties = ["doc", "place"]
