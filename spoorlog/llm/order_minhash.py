@@ -1,19 +1,25 @@
 """Near-duplicate documents by order MinHash.
 
 A text is its words (runs without white space, lower case); its k-mers are runs
-of five words, each labelled with how often it has occurred before. A sketch
-takes the two labelled k-mers with the smallest keyed hashes and keeps them in
-text order, so it agrees for texts that are close in edits, not just in content.
-Two sketches make a band key; texts that share a key are candidates. A candidate
+of words, each labelled with how often it has occurred before. A sketch takes the
+two labelled k-mers with the smallest keyed hashes and keeps them in text order,
+so it agrees for texts that are close in edits, not just in content. A few
+sketches make a band key; texts that share a key are candidates. Some bands take
+runs of five words, as shingles do, others runs of two, of which scattered edits
+leave more whole. A candidate
 pair is linked if its word edit similarity, 1 - distance / longer length, is
 0.8 or more, by alignment in a band as wide as that allows. Classes are the
 connected components of links.
 
 Texts that are equal character for character are one node before anything is
-paired, whatever their number. A key's nodes are compared with the key's least
-node first; only nodes that are in different classes after that are compared
-among themselves, so a large group of near copies costs one comparison a node,
-and no pair that shares a key and could join two classes is left out.
+paired, whatever their number. Of the nodes with a key the least is the centre,
+and all others are compared with it. Those it links are done with those that
+are more than half their length away from it, as the distances of two texts to a
+third bound their own; so a large group of near copies costs one comparison a
+node and key. What lies between is compared with what the centre linked, and all
+that the centre did not link are a smaller set with a centre of its own. After a
+few such rounds the rest are compared pair by pair. Only pairs that could still
+join two classes are compared, and none of those is left out.
 
 Null text is empty, and empty texts are one class, as equal texts are. Texts
 without words but not equal are classes of their own. A class is named by its
@@ -33,8 +39,10 @@ from spoorlog.llm.components import components
 from spoorlog.llm.words import blocks, documents, folded, mix, span_hashes
 from spoorlog.session import staged
 
-KMER, BANDS, ROWS = 5, 40, 2
+#: Words in a k-mer, bands of that kind, and sketches in a band.
+KMERS = ((5, 16, 3), (2, 36, 4))
 SIMILARITY = 0.8
+LINKED, BETWEEN, FAR = 0, 1, 2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -81,37 +89,39 @@ def sketches(kmers: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(texts: list[str], kmer: int, bands: int, rows: int) -> Iterator[list[np.ndarray]]:
+def band_keys(texts: list[str], kmers: tuple[tuple[int, int, int], ...] = KMERS) -> Iterator[list[np.ndarray]]:
     """Band keys of each text, block by block; none for a text without words."""
-    a, b = keyed(bands * rows)
-    tag = mix(np.arange(1, bands + 1, dtype=np.uint64))
+    drawn = [keyed(bands * rows, seed=k) for k, bands, rows in kmers]
+    tags = [mix(np.arange(1, bands + 1, dtype=np.uint64) + np.uint64(k << 32)) for k, bands, _ in kmers]
     for _, block in blocks(texts):
         starts, ends = block.space_words()
         word = span_hashes(folded(block.codes), starts, ends)
         bound = np.searchsorted(starts, block.text_at)
         out = []
         for lo, hi in zip(bound[:-1], bound[1:], strict=True):
-            if lo == hi:
-                out.append(np.zeros(0, np.int64))
-                continue
-            size = min(kmer, hi - lo)
-            at = np.arange(hi - lo - size + 1)
-            drawn = sketches(span_hashes(word[lo:hi], at, at + size), a, b).reshape(bands, rows)
-            key = tag.copy()
-            for r in range(rows):
-                key = mix(key * np.uint64(31) + drawn[:, r])
-            out.append(key.view(np.int64))
+            keys = [np.zeros(0, np.int64)]
+            for (k, bands, rows), (a, b), tag in zip(kmers, drawn, tags, strict=True):
+                size = min(k, hi - lo)
+                if not size:
+                    continue
+                at = np.arange(hi - lo - size + 1)
+                found = sketches(span_hashes(word[lo:hi], at, at + size), a, b).reshape(bands, rows)
+                key = tag
+                for r in range(rows):
+                    key = mix(key * np.uint64(31) + found[:, r])
+                keys.append(key.view(np.int64))
+            out.append(np.concatenate(keys))
         yield out
 
 
-def sketch(df: DataFrame, kmer: int = KMER, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def sketch(df: DataFrame, kmers: tuple[tuple[int, int, int], ...] = KMERS) -> DataFrame:
     """doc_id, node, keys (array of bigint) of every row."""
 
     def run(batches):
         for batch in batches:
             texts = [t or "" for t in batch.column(2).to_pylist()]
             first = 0
-            for keys in band_keys(texts, kmer, bands, rows):
+            for keys in band_keys(texts, kmers):
                 cuts = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column(0).slice(first, len(keys)), "node": batch.column(1).slice(first, len(keys)),
@@ -164,7 +174,9 @@ def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
         hp = vn | (full ^ ((d0 | vp) & full))
         hn = d0 & vp
         if not d0 & centre:
-            distance += 1  # along the diagonal through the centre of the band
+            distance += 1  # along the diagonal through the centre of the band, where it never falls
+            if distance - (len(a) - len(b)) > most:
+                return most + 1
         moved = d0 >> 1
         vp = (hn | (full ^ ((moved | hp) & full))) & full
         vn = moved & hp
@@ -175,21 +187,36 @@ def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return distance if distance <= most else most + 1
 
 
-def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
-    """Word edit similarity if it is at least ``least``, else 0."""
+def compared(a: np.ndarray, b: np.ndarray, least: float, floor: float) -> tuple[int, int]:
+    """Whether two texts are LINKED (similarity ``least`` or more), FAR (below ``floor``) or BETWEEN, and their distance unless FAR."""
     longer = max(len(a), len(b))
     if not longer:
-        return 1.0
-    most = int((1 - least) * longer + 1e-9)
+        return LINKED, 0
+    most = int((1 - floor) * longer + 1e-9)
     distance = banded_distance(a, b, most)
-    return 1 - distance / longer if distance <= most else 0.0
+    if distance > most:
+        return FAR, -1
+    return (LINKED if distance <= (1 - least) * longer + 1e-9 else BETWEEN), distance
 
 
 # ---- links and classes ------------------------------------------------------
 
 
+PARITY = 16  # numbers of 64 bits
+
+
+def parities(word: np.ndarray) -> list[int]:
+    """For 1024 classes of words, whether their number is odd, as bits.
+
+    One edit changes two classes at most, so half the bits in which two texts
+    differ is a lower bound of their distance.
+    """
+    odd = np.bincount((word & np.uint32(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _word_rows(df: DataFrame) -> DataFrame:
-    """node and its words as 32-bit numbers."""
+    """node, its words as 32-bit numbers, how many, and their parities."""
 
     def run(batches):
         for batch in batches:
@@ -198,52 +225,96 @@ def _word_rows(df: DataFrame) -> DataFrame:
                 starts, ends = block.space_words()
                 word = (span_hashes(folded(block.codes), starts, ends) >> np.uint64(32)).astype(np.uint32)
                 bound = np.searchsorted(starts, block.text_at)
+                own = [word[a:b] for a, b in zip(bound[:-1], bound[1:], strict=True)]
                 yield pa.RecordBatch.from_pydict({
-                    "node": batch.column(0).slice(first, block.n),
-                    "words": [word[a:b].tobytes() for a, b in zip(bound[:-1], bound[1:], strict=True)]})
+                    "node": batch.column(0).slice(first, block.n), "words": [w.tobytes() for w in own],
+                    "n": pa.array([len(w) for w in own], pa.int32()),
+                    "parity": pa.array([parities(w) for w in own], pa.list_(pa.int64()))})
                 first += block.n
 
-    return df.select("node", "text").mapInArrow(run, "node binary, words binary")
+    return df.select("node", "text").mapInArrow(run, "node binary, words binary, n int, parity array<bigint>")
 
 
-def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of at least that similarity, with it."""
+COMPARED = "a binary, b binary, kind int, distance int"
+
+
+def _compared(pairs: DataFrame, words: DataFrame, least: float, floor: float) -> DataFrame:
+    """Pairs (a, b) with how they compare."""
 
     def run(batches):
         for batch in batches:
             left, right = ([np.frombuffer(x, np.uint32) for x in batch.column(i).to_pylist()] for i in (2, 3))
-            score = np.array([similarity(x, y, least) for x, y in zip(left, right, strict=True)], np.float64)
-            keep = pa.array(score > 0)
+            found = [compared(x, y, least, floor) for x, y in zip(left, right, strict=True)]
             yield pa.RecordBatch.from_pydict({
-                "a": batch.column(0).filter(keep), "b": batch.column(1).filter(keep), "similarity": pa.array(score).filter(keep)})
+                "a": batch.column(0), "b": batch.column(1), "kind": pa.array([k for k, _ in found], pa.int32()),
+                "distance": pa.array([d for _, d in found], pa.int32())})
 
-    side = lambda node, name: words.select(F.col("node").alias(node), F.col("words").alias(name), F.octet_length("words").alias(f"n_{name}"))
+    side = lambda node, name: words.select(F.col("node").alias(node), F.col("words").alias(name))
     joined = pairs.select("a", "b").join(side("a", "wa"), "a").join(side("b", "wb"), "b")
-    near = joined.filter(F.least("n_wa", "n_wb") >= F.greatest("n_wa", "n_wb") * least - 1e-6)
     # Alignments cost far more than their rows weigh: deal them out evenly.
-    return near.select("a", "b", "wa", "wb").repartition(F.hash("a", "b")).mapInArrow(run, "a binary, b binary, similarity double")
+    return joined.select("a", "b", "wa", "wb").repartition(F.hash("a", "b")).mapInArrow(run, COMPARED)
 
 
-def links(df: DataFrame, sketched: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b, similarity) between different texts, enough to connect every class."""
+def links(df: DataFrame, sketched: DataFrame, least: float = SIMILARITY, rounds: int = 2) -> DataFrame:
+    """Verified links (a, b) between different texts, enough to connect every class."""
     nodes = sketched.groupBy("node").agg(F.first("keys").alias("keys"))
     rows = nodes.select("node", F.explode("keys").alias("key"))
-    crowd = rows.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    shared = staged(rows.join(crowd, "key").select("key", "node", "centre"), "omh-keys")
+    crowd = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    shared = staged(rows.join(crowd, "key").select("key", "node"), "omh-keys")
     members = shared.select("node").distinct()
     texts = documents(df).select(node_of(F.col("text")).alias("node"), "text").join(members, "node")
-    words = staged(_word_rows(texts).groupBy("node").agg(F.max("words").alias("words")), "omh-words")
-    star = staged(shared.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "omh-star")
-    first = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    found = staged(_verified(first, words, least), "omh-links")
-    tried = first
-    for pairs_of in (lambda comp: _apart(star, comp).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"),
-                     lambda comp: _apart(star, comp), lambda comp: _across(shared, comp)):
-        comp = components(found)
-        fresh = staged(pairs_of(comp).join(tried, ["a", "b"], "left_anti"), "omh-pairs")
-        found = staged(found.union(_verified(fresh, words, least)), "omh-links")
-        tried = tried.union(fresh)
-    return found
+    each = texts.dropDuplicates(["node"])
+    words = staged(_word_rows(each), "omh-words")
+    # Below this no text the centre links can reach ``least``: 0.8 * (1 - floor) >= 2 * 0.2, see the lengths' bound.
+    floor = 1 - 2 * (1 - least) / least
+    known = df.sparkSession.createDataFrame([], COMPARED)
+    left = shared
+    for _ in range(rounds):
+        centres = left.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        spokes = staged(left.join(centres, "key").filter("node <> centre"), "omh-spokes")
+        pairs = spokes.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+        fresh = _compared(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), words, least, floor)
+        known = staged(known.union(fresh), "omh-known")
+        ends = (F.col("centre") == F.col("a")) & (F.col("node") == F.col("b"))
+        rated = staged(spokes.join(known, ends).select("key", "node", "kind", "distance"), "omh-rated")
+        comp = components(_linked(known))
+        between = rated.filter(F.col("kind") == BETWEEN)
+        near = rated.filter(F.col("kind") == LINKED).join(between.select("key").distinct(), "key", "left_semi")
+        # Two texts differ by at least the difference of their distances to the centre.
+        reach = F.col("dx") - F.col("dy") <= (1 - least) * F.greatest("nx", "ny") + 1e-9
+        beside = _sides(between, comp, words, "x").join(_sides(near, comp, words, "y"), "key").filter(
+            reach & _fits(least) & (F.col("cx") != F.col("cy")))
+        known = _extended(known, beside, words, least, floor)
+        left = rated.filter(F.col("kind") != LINKED).select("key", "node")
+    comp = components(_linked(known))
+    x, y = (_sides(left.withColumn("distance", F.lit(0)), comp, words, v) for v in "xy")
+    known = _extended(known, x.join(y, "key").filter(_fits(least) & F.expr("x < y and cx <> cy")), words, least, floor)
+    return _linked(known)
+
+
+def _sides(rows: DataFrame, comp: DataFrame, words: DataFrame, v: str) -> DataFrame:
+    """Nodes of keys under the names of one side of a pair: node, class, distance to the centre, number of words, parities."""
+    return _with_comp(rows, comp, "node", "c").join(words.select("node", "n", "parity"), "node").select(
+        "key", F.col("node").alias(v), F.col("c").alias(f"c{v}"), F.col("distance").alias(f"d{v}"),
+        F.col("n").alias(f"n{v}"), F.col("parity").alias(f"p{v}"))
+
+
+def _fits(least: float) -> Column:
+    """Whether the lower bounds of two texts' distance, by length and by parities, allow the similarity."""
+    most = (1 - least) * F.greatest("nx", "ny") + 1e-9
+    differ = [F.bit_count(F.get("px", F.lit(i)).bitwiseXOR(F.get("py", F.lit(i)))) for i in range(PARITY)]
+    return (F.abs(F.col("nx") - F.col("ny")) <= most) & (sum(differ[1:], differ[0]) <= 2 * most)
+
+
+def _linked(known: DataFrame) -> DataFrame:
+    return known.filter(F.col("kind") == LINKED).select("a", "b")
+
+
+def _extended(known: DataFrame, pairs: DataFrame, words: DataFrame, least: float, floor: float) -> DataFrame:
+    """``known`` and the comparisons of those pairs (x, y) that it does not have."""
+    ordered = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    fresh = _compared(ordered.join(known.select("a", "b"), ["a", "b"], "left_anti"), words, least, floor)
+    return staged(known.union(fresh), "omh-known")
 
 
 def _with_comp(rows: DataFrame, comp: DataFrame, node: str, name: str) -> DataFrame:
@@ -252,20 +323,6 @@ def _with_comp(rows: DataFrame, comp: DataFrame, node: str, name: str) -> DataFr
         name, F.coalesce(f"found_{name}", node)).drop(f"of_{name}", f"found_{name}")
 
 
-def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different classes so far."""
-    return _with_comp(_with_comp(pairs, comp, "a", "ca"), comp, "b", "cb").filter("ca <> cb").select("a", "b")
-
-
-def _across(shared: DataFrame, comp: DataFrame) -> DataFrame:
-    """All pairs of a key's nodes that are in different classes: of keys that hold several."""
-    rows = _with_comp(shared.select("key", "node"), comp, "node", "c")
-    mixed = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
-    own = rows.join(mixed, "key")
-    a, b = own.select("key", F.col("node").alias("a"), F.col("c").alias("ca")), own.select("key", F.col("node").alias("b"), F.col("c").alias("cb"))
-    return a.join(b, "key").filter("a < b and ca <> cb").select("a", "b").distinct()
-
-
 def classes(df: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, node, comp, class_id, class_size and n_links (of the document's text), one row per input row."""
     sketched = staged(sketch(df), "omh-sketches")

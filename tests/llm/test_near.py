@@ -27,6 +27,13 @@ def test_banded_distance(a, b, most):
     assert O.banded_distance(np.array(a, np.uint32), np.array(b, np.uint32), most) == min(distance(a, b), most + 1)
 
 
+@settings(max_examples=200, deadline=None)
+@given(seqs, seqs)
+def test_parities_bound_the_distance(a, b):
+    x, y = (O.parities(np.array(v, np.uint32) * np.uint32(77)) for v in (a, b))
+    assert sum((p ^ q).bit_count() if p ^ q >= 0 else ((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(x, y, strict=True)) <= 2 * distance(a, b)
+
+
 def test_order_counts():
     rng = random.Random(1)
     words = [rng.getrandbits(64) for _ in range(60)]
