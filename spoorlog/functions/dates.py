@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,11 +29,57 @@ def parse_iso(col: Column) -> Column:
     return F.when(col.rlike(P.java(_ISO)), _whole_millis(col.try_cast("timestamp")))
 
 
+_CLOCK = r"(?:(?:T|,? +)(\d{1,2}):(\d{2})(?::(\d{2})(?:\.(\d{1,3})\d*)?)?(?: ?([AaPp])[Mm])?)?"
+_ZONE = r"(?: ?(?:Z|UTC|GMT)?(?: ?([+-]\d{2}:?\d{2}))?)?(?: ?\([^)]*\))?$"
+_WEEKDAY = r"^(?:[A-Za-z]{3,9},? +)?"
+_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+#: Spellings of a day, and which of their groups are year, month and day.
+_SPELLINGS = (
+    (r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})", "$1|$2|$3"),
+    (r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4})", "$3|$1|$2"),
+    (_WEEKDAY + r"([A-Za-z]{3,9})\.? +(\d{1,2}),? +(\d{4})", "$3|$1|$2"),
+    (_WEEKDAY + r"(\d{1,2})[ -]([A-Za-z]{3,9})\.?,?[ -](\d{4})", "$3|$2|$1"),
+)
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _from_parts(parts: Column) -> Column:
+    """A timestamp of year, month, day, hour, minute, second, fraction, a or p, zone; impossible ones NULL."""
+    number = lambda k: F.coalesce(F.get(parts, k).try_cast("int"), F.lit(0))
+    name = F.instr(F.lit(_MONTHS), F.lower(F.substring(F.get(parts, 1), 1, 3)))
+    month = F.coalesce(F.get(parts, 1).try_cast("int"), F.when(name % 3 == 1, F.floor(name / 3).cast("int") + 1))
+    half = F.lower(F.get(parts, 7))
+    hour = F.when(half == "p", number(3) % 12 + 12).when(half == "a", number(3) % 12).otherwise(number(3))
+    whole = F.try_make_timestamp(number(0), month, number(2), hour, number(4), number(5).cast("decimal(8,6)"))
+    fraction = F.rpad(F.get(parts, 6), 3, "0").try_cast("int")
+    zone = F.replace(F.get(parts, 8), F.lit(":"), F.lit(""))
+    minutes = F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int")
+    shift = F.coalesce(F.when(F.startswith(zone, F.lit("-")), -minutes).otherwise(minutes), F.lit(0))
+    return F.timestamp_millis(F.unix_millis(whole) + F.coalesce(fraction, F.lit(0)) - shift * 60_000)
+
+
+def parse_general(col: Column) -> Column:
+    """Dates as people and programs spell them: year first, month first, day first, with month names.
+
+    A clock time, AM or PM, a zone and a comment in brackets may follow. No zone
+    means UTC; a month's name counts by its first three letters.
+    """
+    rest = r"|$4|$5|$6|$7|$8|$9"
+    spelled = F.coalesce(*[
+        F.when(col.rlike(P.java(day + _CLOCK + _ZONE)), F.regexp_replace(col, P.java(day + _CLOCK + _ZONE), order + rest))
+        for day, order in _SPELLINGS])
+    return _bound(F.split(spelled, r"\|"), _from_parts)
+
+
 def parse_date(col: Column) -> Column:
-    """ISO-8601 or RFC-1123 text."""
+    """ISO-8601, RFC-1123 or a general spelling."""
     rfc = F.regexp_extract(col, P.java(_RFC1123), 1)
     spoken = F.try_to_timestamp(F.concat(rfc, F.lit(" +0000")), F.lit("d MMM yyyy HH:mm:ss Z"))
-    return F.coalesce(parse_iso(col), F.when(rfc != "", spoken))
+    return F.coalesce(parse_iso(col), F.when(rfc != "", spoken), F.when(~col.rlike(P.java(_ISO)), parse_general(col)))
 
 
 def parse_epoch_or_date(col: Column) -> Column:

@@ -50,6 +50,17 @@ JSON_ERROR = "Invalid JSON"
 NO_CONTEXT = "No relevant log entries found for this session."
 DEFAULT_RECOMMENDATION = "Review system logs configurations."
 UNKNOWN_ASSET = "Unknown/Internal"
+
+SSH_TITLE = "SSH Brute Force Attack Detected from {ip}"
+SSH_TEXT = "IP {ip} performed {n} failed SSH login attempts within a {window} sliding window."
+WEB_TITLE = "Web Brute Force Attack Detected from {ip}"
+WEB_TEXT = "IP {ip} generated {n} unauthorized HTTP responses (401/403) within a {window} sliding window."
+SCAN_TITLE = "Port Scan Activity Detected from {ip}"
+SCAN_TEXT = "IP {ip} scanned {n} distinct destination ports within a {window} time window."
+PRIVILEGE_TITLE = "Potential Privilege Escalation: {user} executing {pattern}"
+PRIVILEGE_TEXT = 'User "{user}" executed a command matching privilege escalation signature: "{pattern}".'
+LOGIN_TITLE = "Off-Hours User Access: {user}"
+LOGIN_TEXT = 'Successful user login detected during off-hours (23:00 - 05:00 UTC) for user "{user}".'
 # ---- end of fixed values ----------------------------------------------------
 
 # The plain ASCII test comes first, so that it settles nearly every character.

@@ -66,7 +66,8 @@ def extract_destination_port(raw: Column, strict: bool = False) -> Column:
 
     By default ``DST=203.0.113.5`` yields 203 and ``12:00:01`` yields 0, as the
     rule is defined. ``strict`` skips addresses after ``DST=``, reads ``DPT=``
-    and takes ``:n`` only behind a host and not inside a clock time.
+    and takes ``:n`` only behind a host and not inside a clock time. Any number
+    of digits is a number, in double precision, as the rule's own numbers are.
     """
     if strict:
         digits = F.coalesce(
@@ -81,7 +82,7 @@ def extract_destination_port(raw: Column, strict: bool = False) -> Column:
             first_match(raw, P.PORT_NAMED, 1),
             first_match(raw, P.PORT_SOCKET, 1, needs=":"),
         )
-    return digits.try_cast("bigint")
+    return digits.cast("double")
 
 
 def utf16_length(col: Column) -> Column:

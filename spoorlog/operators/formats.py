@@ -54,24 +54,30 @@ def score_lines(lines: DataFrame) -> DataFrame:
     ).drop("trimmed", "json", "pairs")
 
 
+def file_keys(lines: DataFrame) -> list[str]:
+    """What names a file: its session, and the file if the lines say so."""
+    return ["session_id", "file_name"] if "file_name" in lines.columns else ["session_id"]
+
+
 def detect_format(lines: DataFrame) -> DataFrame:
-    """One row per session: its format and the scores behind it.
+    """One row per file: its format and the scores behind it.
 
     The first five non-blank lines vote. The rank filter is applied inside each
-    input partition before the exchange, so at most five lines per session and
+    input partition before the exchange, so at most five lines per file and
     task are moved, and only those are scored. Blank lines rank last, so a
-    session of blank lines only still gets its row.
+    file of blank lines only still gets its row.
     """
-    ranked = Window.partitionBy("session_id").orderBy("blank", "line_num")
+    keys = file_keys(lines)
+    ranked = Window.partitionBy(*keys).orderBy("blank", "line_num")
     head = (
-        lines.select("session_id", "line_num", "raw_line")
+        lines.select(*keys, "line_num", "raw_line")
         .withColumn("blank", is_blank(F.col("raw_line")))
         .withColumn("rank", F.row_number().over(ranked))
         .filter(F.col("rank") <= HEAD_LINES)
     )
     scores = (
         score_lines(head)
-        .groupBy("session_id")
+        .groupBy(*keys)
         .agg(*[F.sum(name).cast("bigint").alias(f"{name}_score") for name in FORMATS])
     )
     best = F.greatest(*[F.col(f"{name}_score") for name in FORMATS])

@@ -29,7 +29,7 @@ from spoorlog.functions.text import (
     stable_uuid,
     trim,
 )
-from spoorlog.operators.formats import detect_format, present, without_trailing_comma
+from spoorlog.operators.formats import detect_format, file_keys, present, without_trailing_comma
 from spoorlog.session import staged
 from spoorlog.sources.logs import non_blank
 
@@ -44,7 +44,8 @@ def _missing() -> Column:
 
 
 def _syslog(df: DataFrame, when: Column, year: int) -> tuple[DataFrame, Columns]:
-    df = df.withColumn("s5424", F.when(when, captures(F.col("trimmed"), P.RFC5424, [3, 5, 9])))
+    priority = F.startswith(F.col("trimmed"), F.lit("<"))  # no RFC 5424 line begins otherwise
+    df = df.withColumn("s5424", F.when(when & priority, captures(F.col("trimmed"), P.RFC5424, [3, 5, 9])))
     is_5424 = F.size("s5424") == 3
     df = df.withColumn(
         "sys", F.when(is_5424, F.col("s5424")).when(when, captures(F.col("trimmed"), P.BSD, [2, 4, 6]))
@@ -170,9 +171,10 @@ def _entries(df: DataFrame, fmt: Column, parsed: Columns) -> DataFrame:
     """Output rows; lines without a number, as on a stream, are named by their text."""
     line = F.coalesce(F.col("line_num").cast("string"), F.col("raw_line"))
     out = df.select(
-        stable_uuid(F.col("session_id"), line).alias("id"),
+        stable_uuid(F.col("session_id"), F.col("file_name"), line).alias("id"),
         F.col("session_id").cast("string").alias("session_id"),
-        F.col("line_num").cast("int").alias("line_num"),
+        F.col("line_num").cast("bigint").alias("line_num"),
+        F.col("file_name"),
         *[parsed[name].alias(name) for name in PARSED],
         F.col("raw_line"),
         fmt.alias("format"),
@@ -180,8 +182,14 @@ def _entries(df: DataFrame, fmt: Column, parsed: Columns) -> DataFrame:
     return schemas.conform(out, schemas.LOG_ENTRIES)
 
 
+def _lines(lines: DataFrame, *more: str) -> DataFrame:
+    """The columns parsers read; lines without a file name are their session's only file."""
+    file = F.col("file_name") if "file_name" in lines.columns else _missing().alias("file_name")
+    return non_blank(lines.select(*LINE, file, *more))
+
+
 def _one_format(lines: DataFrame, name: str, parser, *args) -> DataFrame:
-    df = non_blank(lines.select(*LINE)).withColumn("trimmed", trim(F.col("raw_line")))
+    df = _lines(lines).withColumn("trimmed", trim(F.col("raw_line")))
     df, parsed = parser(df, F.lit(True), *args)
     return _entries(df, F.lit(name), parsed)
 
@@ -211,7 +219,7 @@ parse_plain_text = parse_kv
 
 def parse_with_format(lines: DataFrame, default_year: int) -> DataFrame:
     """Parse lines that already carry a ``format`` column. Stateless."""
-    df = non_blank(lines.select(*LINE, "format")).withColumn("trimmed", trim(F.col("raw_line")))
+    df = _lines(lines, "format").withColumn("trimmed", trim(F.col("raw_line")))
     is_format = lambda name: F.col("format") == name
     df, syslog = _syslog(df, is_format("syslog"), default_year)
     df, access = _access(df, is_format("apache"))
@@ -230,15 +238,15 @@ def parse_with_format(lines: DataFrame, default_year: int) -> DataFrame:
 def parse_logs(
     lines: DataFrame, default_year: int, formats: DataFrame | None = None
 ) -> DataFrame:
-    """Detect each session's format, then parse all its non-blank lines with it.
+    """Detect each file's format, then parse all its non-blank lines with it.
 
-    The formats are one small row per session. They are staged, so Spark knows
+    The formats are one small row per file (per session, if lines name no file). They are staged, so Spark knows
     their size when it chooses how to join them to the lines: a broadcast, or
-    beyond the threshold a shuffle whose hot sessions adaptive execution splits.
+    beyond the threshold a shuffle whose hot files adaptive execution splits.
     """
     if formats is None:
-        formats = staged(detect_format(lines).select("session_id", "format"), "formats")
-    return parse_with_format(lines.join(formats, "session_id"), default_year)
+        formats = staged(detect_format(lines).select(*file_keys(lines), "format"), "formats")
+    return parse_with_format(lines.join(formats, file_keys(lines)), default_year)
 
 
 def validate_entries(entries: DataFrame) -> DataFrame:
@@ -249,8 +257,8 @@ def validate_entries(entries: DataFrame) -> DataFrame:
     ]
     uuid = r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\z"
     checks.append(F.when(~F.col("id").rlike(uuid), F.lit("Schema: id is not a uuid")))
-    for name in ("line_num", "status_code"):
-        whole = F.col(name).try_cast("int").cast("double") == F.col(name).try_cast("double")
+    for name, kind in (("line_num", "bigint"), ("status_code", "int")):
+        whole = F.col(name).try_cast(kind).cast("double") == F.col(name).try_cast("double")
         bad = F.col(name).isNotNull() & ~F.coalesce(whole, F.lit(False))
         checks.append(F.when(bad, F.lit(f"Schema: {name} is not an integer")))
     checks.append(

@@ -17,8 +17,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spoorlog.session import staged
-
 
 def bucket_of(ms: Column, width: int) -> Column:
     """Start of the bucket that holds ``ms``."""
@@ -116,10 +114,8 @@ def busy_rows(rows: DataFrame, keys: list[str], width: int, threshold: int) -> D
     busy = anchors.filter(F.col("n") > threshold).select(
         *keys, F.explode(F.array(F.col("bucket"), F.col("bucket") + width_ms)).alias("bucket")
     )
-    kept = rows.withColumn("bucket", own).join(
-        staged(busy, "busy-buckets"), [*keys, "bucket"], "left_semi"
-    )
-    return staged(kept.drop("bucket"), "busy-rows")
+    kept = rows.withColumn("bucket", own).join(busy, [*keys, "bucket"], "left_semi")
+    return kept.drop("bucket")
 
 
 def sliding_window_max(

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from spoorlog.functions.text import non_empty, stable_uuid
 
+STATUSES = ("pending", "processing", "completed", "failed")
+
 
 def upsert_by_key(
     base: DataFrame, updates: DataFrame, key: str = "email",
@@ -14,11 +16,13 @@ def upsert_by_key(
 ) -> DataFrame:
     """Insert new keys; for known ones replace ``values``, keep id and creation.
 
-    Of several updates to one key the one with the highest ``version`` wins.
+    Of several updates to one key the one with the highest ``version`` wins, of
+    equal versions the greatest values, field by field in their order.
     Empty texts are stored as NULL. New rows take ``created_at`` from their first
     update.
     """
-    named = [F.max_by(non_empty(F.col(v)), version).alias(f"new_{v}") for v in values]
+    place = F.struct(version, *[non_empty(F.col(v)).alias(v) for v in values])
+    named = [F.max_by(non_empty(F.col(v)), place).alias(f"new_{v}") for v in values]
     latest = updates.groupBy(key).agg(
         *named, F.min_by("created_at", version).alias("new_created_at"), F.lit(True).alias("hit")
     )
@@ -38,11 +42,13 @@ def latest_session_state(sessions: DataFrame, updates: DataFrame) -> DataFrame:
     """Sessions after their status updates.
 
     ``updates`` has ``id``, ``status``, ``updated_at`` and ``log_count``, which may
-    be NULL to leave the count as it is.
+    be NULL to leave the count as it is. Of updates at one time the one furthest
+    on wins (pending, processing, completed, failed), then the greatest count.
     """
-    counted = F.when(F.col("log_count").isNotNull(), F.col("updated_at"))
+    counted = F.when(F.col("log_count").isNotNull(), F.struct("updated_at", "log_count"))
+    reached = F.array_position(F.array(*map(F.lit, STATUSES)), F.col("status"))
     latest = updates.groupBy("id").agg(
-        F.max_by("status", "updated_at").alias("new_status"),
+        F.max_by("status", F.struct(F.col("updated_at"), reached.alias("reached"), F.col("status"))).alias("new_status"),
         F.max_by("log_count", counted).alias("new_count"),
         F.max("updated_at").alias("new_time"),
     )

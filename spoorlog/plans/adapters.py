@@ -36,7 +36,7 @@ def requests(events: DataFrame) -> DataFrame:
     """
     user = F.col("user_id")
     df = events.select(
-        (F.col("event_id") + 1).cast("int").alias("line_num"),
+        (F.col("event_id") + 1).cast("bigint").alias("line_num"),
         _text("host-", user % 4).alias("session_id"),
         F.col("ts").cast("timestamp").alias("ts"),
         "event_type",
@@ -126,6 +126,36 @@ def audit_line() -> Column:
     return _text(F.to_json(event), ",")
 
 
+def rfc5424_line() -> Column:
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    app = F.when(F.col("event_type") == "view", "-").otherwise("sshd")
+    return _text("<34>1 ", stamp, " web-01 ", app, " ", F.col("line_num"), " ID [k v] ", F.col("message"), " exit=", F.col("k"))
+
+
+def mixed_syslog_line() -> Column:
+    """Both kinds of syslog, and every third line of neither."""
+    turn = F.col("line_num") % 3
+    return F.when(turn == 0, syslog_line()).when(turn == 1, rfc5424_line()).otherwise(_text("free text ", F.col("message")))
+
+
+def named_heads(events: DataFrame) -> DataFrame:
+    """Event lines in five formats as first lines of files."""
+    lines = requests(events).withColumn("turn", F.col("line_num") % 5)
+    first = F.when(F.col("turn") == 0, syslog_line()).when(F.col("turn") == 1, access_line()).when(
+        F.col("turn") == 2, audit_line()).when(F.col("turn") == 3, _text("x sshd[", F.col("k"), "] ", F.col("user_name"))).otherwise(kv_line())
+    name = F.when(F.col("line_num") % 7 == 0, "events.JSON").otherwise("events.log")
+    return lines.select((F.col("line_num") - 1).alias("event_id"), first.alias("first"), name.alias("name"))
+
+
+def burst_entries(events: DataFrame) -> DataFrame:
+    """Entries of three addresses, each week squeezed into four minutes."""
+    df = event_entries(events)
+    day = F.date_trunc("week", F.col("ts"))
+    near = (F.unix_millis("ts") - F.unix_millis(day)) / 2500
+    address = F.concat(F.lit("10.9.9."), (F.col("line_num") % 3).cast("string"))
+    return df.withColumn("ts", F.timestamp_millis((F.unix_millis(day) + F.floor(near)).cast("bigint"))).withColumn("ip", address)
+
+
 def rendered(events: DataFrame, line: Column, session: Column | None = None) -> DataFrame:
     """Events written out as raw log lines."""
     df = requests(events)
@@ -153,7 +183,7 @@ def document_lines(documents: DataFrame) -> DataFrame:
     return documents.select(
         F.col("doc_id").cast("string").alias("session_id"),
         F.posexplode(F.split("text", "\n")).alias("pos", "raw_line"),
-    ).select("session_id", (F.col("pos") + 1).alias("line_num"), "raw_line")
+    ).select("session_id", (F.col("pos") + 1).cast("bigint").alias("line_num"), "raw_line")
 
 
 def document_entries(documents: DataFrame) -> DataFrame:
@@ -162,7 +192,7 @@ def document_entries(documents: DataFrame) -> DataFrame:
 
 def embedding_chunks(embeddings: DataFrame) -> DataFrame:
     """Vectors as chunks, their label as session."""
-    at = F.col("vec_id").cast("int")
+    at = F.col("vec_id")
     return embeddings.select(
         F.concat(F.lit("label-"), F.col("label").cast("string")).alias("session_id"),
         at.alias("chunk_index"),
@@ -186,6 +216,13 @@ def exchanges(conversations: DataFrame) -> DataFrame:
     )
 
 
+def questions(conversations: DataFrame) -> DataFrame:
+    """Every user turn as a question, answered or not."""
+    return conversations.filter(F.col("role") == "user").select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"),
+        _text("host-", F.col("conv_id") % 4).alias("session_id"), F.col("text").alias("question"))
+
+
 def written_answers(conversations: DataFrame) -> DataFrame:
     """Exchanges whose reply is wrapped as an answer, some of them broken."""
     iocs = "named_struct('ips', array('10.0.0.1'), 'ports', array(22, 8080), 'userAgents', array(), 'hashes', array())"
@@ -214,7 +251,7 @@ def written_answers(conversations: DataFrame) -> DataFrame:
 def session_table(entries: DataFrame) -> DataFrame:
     """A ``sessions`` row for every session in ``entries``."""
     grouped = entries.groupBy("session_id").agg(
-        F.count(F.lit(1)).cast("int").alias("log_count"),
+        F.count(F.lit(1)).alias("log_count"),
         F.min("ts").alias("created_at"),
         F.max("ts").alias("updated_at"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoorlog.operators.chunking import chunk_lines, embed_hashed
-from spoorlog.operators.formats import detect_format
+from spoorlog.operators.formats import detect_format, file_keys, sniff_by_name
 from spoorlog.operators.parsers import parse_logs, validate_entries
 from spoorlog.operators.reports import parse_quality
 from spoorlog.operators.rules import run_rules
@@ -25,16 +25,36 @@ def ingest(
 
     The entries are written first and read back by the rules and the chunker, so
     the lines are parsed once, and each later step scans only its columns. A
-    rerun replaces the sessions it covers. Returns the parse quality.
+    rerun replaces the sessions it covers in every table, also where they have
+    no rows any more. Files of one session are parsed, checked and cut apart.
+    Returns the parse quality.
     """
     lines = read_sessions(prepare(spark), source)
-    formats = staged(detect_format(lines).select("session_id", "format"), "formats")
+    formats = staged(detect_format(lines).select(*file_keys(lines), "format"), "formats")
+    covered = formats.select("session_id").distinct()
     entries = validate_entries(parse_logs(lines, default_year, formats))
-    tables.write_entries(entries, f"{target}/entries")
-    stored = tables.read_entries(spark, f"{target}/entries").join(
-        formats.select("session_id"), "session_id", "left_semi"
-    )
-    tables.write_findings(run_rules(stored), f"{target}/findings")
+    tables.write_entries(entries, f"{target}/entries", covered)
+    stored = tables.read_entries(spark, f"{target}/entries").join(covered, "session_id", "left_semi")
+    tables.write_findings(run_rules(stored), f"{target}/findings", covered)
     chunks = embed(chunk_lines(stored)).withColumn("created_at", F.current_timestamp())
-    tables.write_chunks(chunks, f"{target}/chunks")
+    tables.write_chunks(chunks, f"{target}/chunks", covered=covered)
+    tables.write_sessions(session_rows(lines, stored, formats), f"{target}/sessions")
     return parse_quality(stored)
+
+
+def session_rows(lines: DataFrame, entries: DataFrame, formats: DataFrame) -> DataFrame:
+    """A ``sessions`` row per session: its source label by name and first line, and its count of entries.
+
+    The label comes from the first file by upload time, then path.
+    """
+    first = F.struct(F.coalesce("upload_ts", F.timestamp_millis(F.lit(0))).alias("at"), "file_name")
+    heads = lines.filter(F.col("line_num") == 1).groupBy("session_id").agg(
+        F.min_by(F.struct("upload_name", "raw_line"), first).alias("head"),
+        F.min("upload_ts").alias("created_at"))
+    counts = entries.groupBy("session_id").agg(F.count(F.lit(1)).alias("log_count"))
+    label = sniff_by_name(F.col("head.upload_name"), F.col("head.raw_line"))
+    known = formats.select("session_id").distinct().join(heads, "session_id", "left").join(counts, "session_id", "left")
+    return known.select(
+        F.col("session_id").alias("id"), F.lit(None).cast("string").alias("user_id"), F.col("head.upload_name").alias("name"),
+        label.alias("log_source"), F.lit("completed").alias("status"), F.coalesce("log_count", F.lit(0)).alias("log_count"),
+        F.coalesce("created_at", F.current_timestamp()).alias("created_at"), F.current_timestamp().alias("updated_at"))

@@ -25,13 +25,13 @@ ev AS (
   FROM ev0)"""
 
 
-def _windowed(name: str, where: str, value: str, limit: int) -> str:
-    """Best anchored one-day window per session and address, with sample lines."""
+def _windowed(name: str, where: str, value: str, limit: int, table: str = "ev", width: int = DAY) -> str:
+    """Best anchored window per session and address, with sample lines and the first matching line."""
     return f"""
-{name}_r AS (SELECT session_id, ip, ms, line_num, raw, k FROM ev WHERE {where}),
+{name}_r AS (SELECT session_id, ip, ms, line_num, raw, k FROM {table} WHERE {where}),
 {name}_w AS (
   SELECT *, {value} OVER (PARTITION BY session_id, ip ORDER BY ms
-      RANGE BETWEEN CURRENT ROW AND {DAY} FOLLOWING) AS n FROM {name}_r),
+      RANGE BETWEEN CURRENT ROW AND {width} FOLLOWING) AS n FROM {name}_r),
 {name}_b AS (
   SELECT session_id, ip, n, ms AS anchor FROM {name}_w
   QUALIFY row_number() OVER (PARTITION BY session_id, ip ORDER BY n DESC, ms, line_num) = 1 AND n > {limit}),
@@ -39,15 +39,15 @@ def _windowed(name: str, where: str, value: str, limit: int) -> str:
   SELECT b.session_id, b.ip, b.n, r.raw, r.line_num, r.ms, r.k,
          row_number() OVER (PARTITION BY b.session_id, b.ip ORDER BY r.ms, r.line_num) AS rn
   FROM {name}_b b JOIN {name}_r r ON b.session_id = r.session_id AND b.ip = r.ip
-       AND r.ms BETWEEN b.anchor AND b.anchor + {DAY}),
+       AND r.ms BETWEEN b.anchor AND b.anchor + {width}),
 {name}_p AS (
   SELECT session_id, ip, string_agg(k::VARCHAR, ',' ORDER BY place) AS ports FROM (
     SELECT session_id, ip, k, min(rn) AS place FROM {name}_i GROUP BY session_id, ip, k
     QUALIFY row_number() OVER (PARTITION BY session_id, ip ORDER BY min(rn)) <= 10) GROUP BY ALL),
+{name}_s AS (SELECT session_id, ip, min(line_num) AS seq FROM {name}_r GROUP BY 1, 2),
 {name} AS (
-  SELECT session_id, ip, n, string_agg(raw, chr(10) ORDER BY rn) AS lines,
-         min(line_num) FILTER (WHERE rn = 1) AS seq
-  FROM {name}_i WHERE rn <= 3 GROUP BY session_id, ip, n)"""
+  SELECT session_id, ip, n, string_agg(raw, chr(10) ORDER BY rn) AS lines, any_value(seq) AS seq
+  FROM {name}_i JOIN {name}_s USING (session_id, ip) WHERE rn <= 3 GROUP BY session_id, ip, n)"""
 
 
 FINDINGS = f"""WITH {EV},
@@ -64,16 +64,16 @@ off AS (SELECT * FROM ev WHERE event_type = 'signup' AND (hour(ts) >= 23 OR hour
 findings AS (
   SELECT session_id, 1 AS rule_ord, seq, 'brute_force_ssh' AS type, 'high' AS severity,
     'SSH Brute Force Attack Detected from ' || ip AS title,
-    'IP ' || ip || ' performed ' || n || ' failed SSH login attempts within a 5-minute sliding window.' AS description,
-    ip AS who, n, '-' AS ports, lines, '5 minutes' AS detail FROM ssh
+    'IP ' || ip || ' performed ' || n || ' failed SSH login attempts within a 1-day sliding window.' AS description,
+    ip AS who, n, '-' AS ports, lines, '1 day' AS detail FROM ssh
   UNION ALL
   SELECT session_id, 2, seq, 'brute_force_web', 'medium', 'Web Brute Force Attack Detected from ' || ip,
-    'IP ' || ip || ' generated ' || n || ' unauthorized HTTP responses (401/403) within a 5-minute sliding window.',
-    ip, n, '-', lines, '5 minutes' FROM web
+    'IP ' || ip || ' generated ' || n || ' unauthorized HTTP responses (401/403) within a 1-day sliding window.',
+    ip, n, '-', lines, '1 day' FROM web
   UNION ALL
   SELECT session_id, 3, seq, 'port_scan', 'high', 'Port Scan Activity Detected from ' || ip,
-    'IP ' || ip || ' scanned ' || n || ' distinct destination ports within a 1-minute time window.',
-    ip, n, ports, lines, '1 minute' FROM scan JOIN scan_p USING (session_id, ip)
+    'IP ' || ip || ' scanned ' || n || ' distinct destination ports within a 1-day time window.',
+    ip, n, ports, lines, '1 day' FROM scan JOIN scan_p USING (session_id, ip)
   UNION ALL
   SELECT session_id, 4, line, 'privilege_escalation', 'medium',
     'Potential Privilege Escalation: ' || user_name || ' executing ' || pattern,
@@ -170,13 +170,9 @@ WITH {LINES}, h AS (
 s AS (SELECT session_id, sum(CASE WHEN rn <= 5 AND pairs >= 2 THEN pairs ELSE 0 END)::BIGINT AS generic_score
   FROM h GROUP BY 1)
 SELECT session_id, generic_score, 'generic' AS format FROM s"""
-ORACLE["sniff_by_name"] = """
-SELECT page_id, CASE
-    WHEN lower(url) LIKE '%.json' OR starts_with(first, '{') OR contains(first, '"Events":') THEN 'cloudtrail'
-    WHEN regexp_matches(first, '^<\\d+>') OR contains(first, 'syslog') OR contains(first, 'sshd[') THEN 'syslog'
-    WHEN contains(first, 'GET ') OR contains(first, 'POST ') OR contains(first, 'HTTP/1.') THEN 'apache'
-    ELSE 'generic' END AS log_source
-FROM (SELECT page_id, url, string_split(html, chr(10))[1] AS first FROM pages)"""
+ORACLE["sniff_by_name"] = f"""
+WITH {EV} SELECT event_id, CASE WHEN line_num % 7 = 0 OR line_num % 5 = 2 THEN 'cloudtrail'
+  WHEN line_num % 5 IN (0, 3) THEN 'syslog' WHEN line_num % 5 = 1 THEN 'apache' ELSE 'generic' END AS log_source FROM ev"""
 
 
 def _alias(names: list[str]) -> str:
@@ -221,7 +217,7 @@ WITH {EV}, p AS (SELECT {_DAILY} AS session_id, line_num, CASE day(ts) % 4 WHEN
 SELECT session_id, line_num, port FROM p WHERE port IS NOT NULL"""
 
 ORACLE["parse_dates"] = """
-SELECT event_id, CASE WHEN event_id % 4 IN (1, 2) THEN ms ELSE ms // 1000 * 1000 END AS ms
+SELECT event_id, CASE WHEN event_id % 12 IN (1, 2) THEN ms ELSE ms // 1000 * 1000 END AS ms
 FROM (SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events)"""
 
 # ---- files and tables -------------------------------------------------------
@@ -258,6 +254,42 @@ SELECT session_id, part, count(*) AS n, session_id AS incident,
   max(description) FILTER (WHERE place = 1) AS second_description
 FROM numbered GROUP BY session_id, part"""
 
+ORACLE["parse_rfc5424"] = f"""
+WITH {EV} SELECT session_id, line_num, ms, CASE WHEN event_type IN ('error', 'signup') THEN ip END AS ip,
+  CASE WHEN event_type IN ('error', 'signup') THEN user_name END AS user_name,
+  CASE event_type WHEN 'error' THEN 'sshd_failed' WHEN 'signup' THEN 'sshd_success' WHEN 'view' THEN 'event' ELSE 'sshd' END AS action,
+  CASE WHEN event_type IN ('view', 'click') THEN '/' || event_type ELSE 'sshd' END AS resource,
+  k::BIGINT AS status_code, 'syslog' AS format, NULL::VARCHAR AS parse_error FROM ev"""
+ORACLE["valid_entries"] = f"""
+WITH {EV} SELECT session_id, count(*) FILTER (WHERE line_num % 3 < 2) AS valid,
+  (sum(line_num) FILTER (WHERE line_num % 3 < 2))::BIGINT AS valid_lines, count(*) FILTER (WHERE line_num % 3 = 2) AS invalid,
+  (sum(line_num) FILTER (WHERE line_num % 3 = 2))::BIGINT AS invalid_lines FROM ev GROUP BY 1"""
+ORACLE["own_rule"] = f"""
+WITH {EV} SELECT session_id, min(line_num) AS seq, 'Potential Privilege Escalation: ' || user_name || ' executing reboot' AS title
+FROM ev WHERE raw LIKE '%reboot%' GROUP BY session_id, user_name"""
+ORACLE["entries_of_session"] = f"""
+WITH {EV}, left_over AS (
+  SELECT * FROM ev WHERE session_id IN ('host-0', 'host-3') OR session_id = 'host-1' AND event_type = 'view')
+SELECT session_id, line_num, 0::BIGINT AS n FROM left_over WHERE session_id = 'host-1'
+UNION ALL SELECT session_id, 0, count(*) FROM left_over GROUP BY 1"""
+ORACLE["lookups"] = f"""
+WITH {EV} SELECT 'id' AS kind, 'host-2' AS value UNION ALL SELECT DISTINCT 'user', session_id FROM ev
+UNION ALL SELECT 'email', c_custkey::VARCHAR FROM customer WHERE c_name = 'Customer#000000007'"""
+ORACLE["ingest_tables"] = f"""
+WITH {EV}, s AS (SELECT {_DAILY} AS day, day(any_value(ts)) % 4 AS turn, count(*) AS n FROM ev GROUP BY 1)
+SELECT day, CASE turn WHEN 0 THEN 'syslog' WHEN 1 THEN 'apache' WHEN 2 THEN 'generic' ELSE 'cloudtrail' END AS log_source,
+  n AS log_count, n AS entries, 0::BIGINT AS failed, CASE WHEN n <= 75 THEN 1 ELSE ceil((n - 75) / 60.0)::BIGINT + 1 END AS chunk_count FROM s"""
+ORACLE["bursts"] = f"""
+WITH {EV}, wk AS (SELECT *, epoch_ms(date_trunc('week', ts)::TIMESTAMP) AS w FROM ev),
+b AS (SELECT session_id, line_num, raw, k, event_type, '10.9.9.' || (line_num % 3) AS ip, w + (ms - w) // 2500 AS ms FROM wk),
+{_windowed('ssh', "event_type = 'error'", 'count(*)', 10, 'b', 300_000)},
+{_windowed('scan', "TRUE", 'count(DISTINCT k)', 20, 'b', 60_000)}
+SELECT session_id, 'brute_force_ssh' AS type, seq, ip AS who, n,
+  'IP ' || ip || ' performed ' || n || ' failed SSH login attempts within a 5-minute sliding window.' AS description,
+  '5 minutes' AS detail FROM ssh
+UNION ALL SELECT session_id, 'port_scan', seq, ip, n,
+  'IP ' || ip || ' scanned ' || n || ' distinct destination ports within a 1-minute time window.', '1 minute' FROM scan"""
+
 # ---- chunks and retrieval ---------------------------------------------------
 
 # Chunks of 20 lines, a new one every 5 lines.
@@ -285,6 +317,16 @@ SELECT session_id, chunk_index, line_start + place - 1 AS line_num, md5(line) AS
 ORACLE["embed_chunks"] = f"""
 WITH {CHUNKS} SELECT session_id, chunk_index, 1536::BIGINT AS width,
   CASE WHEN regexp_matches(chunk_text, '[a-zA-Z0-9_]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM chunks"""
+_LETTERS = ", ".join(f"length(chunk_text) - length(replace(chunk_text, '{c}', '')) AS {c}" for c in "aeio")
+ORACLE["embed_chunks_own"] = f"WITH {CHUNKS} SELECT session_id, chunk_index, {_LETTERS} FROM chunks"
+ORACLE["chunks_table"] = """
+SELECT 'label-' || label AS session_id, vec_id AS chunk_index, len(embedding)::BIGINT AS width,
+  round(list_sum(embedding::DOUBLE[]), 3) AS total FROM embeddings WHERE label = 3"""
+ORACLE["ann_search"] = """
+SELECT 'label-' || label AS session_id, count(*) * least(count(*), 10) AS wanted, TRUE AS enough FROM embeddings GROUP BY label"""
+ORACLE["ask_documents"] = """
+SELECT conv_id || '-' || turn AS query_id, 'host-' || (conv_id % 4) AS session_id, md5(text) AS question_md5
+FROM conversations WHERE role = 'user'"""
 _VEC = """v AS (
   SELECT vec_id, 'label-' || label AS session_id, embedding::DOUBLE[] AS e FROM embeddings)"""
 _HIT = """c.session_id, c.vec_id AS chunk_index, c.vec_id * 10 + 1 AS line_start, c.vec_id * 10 + 10 AS line_end"""
@@ -368,7 +410,11 @@ ORACLE["top_sources"] = f"""
 r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY count DESC, first, source) AS rank FROM c)
 SELECT session_id, source, count, rank, {_RISK} FROM r WHERE rank <= 10"""
 ORACLE["top_sources_entries"] = f"""
-WITH {EV}, c AS (SELECT session_id, ip AS source, count(*) AS count, min(line_num) AS first FROM ev GROUP BY 1, 2),
+{FINDINGS}, o AS (SELECT * FROM findings WHERE rule_ord = 5 AND session_id IN ('host-0', 'host-3')),
+c AS (
+  SELECT session_id, who AS source, count(*) AS count, min(seq) AS first FROM o GROUP BY 1, 2
+  UNION ALL SELECT session_id, ip, count(*), min(line_num) FROM ev
+  WHERE session_id NOT IN (SELECT session_id FROM o) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY count DESC, first, source) AS rank FROM c)
 SELECT session_id, source, count, rank, {_RISK} FROM r WHERE rank <= 10"""
 ORACLE["timeline"] = f"""
@@ -382,7 +428,9 @@ ORACLE["ioc_summary"] = f"""
 UNION ALL SELECT DISTINCT session_id, 'port', unnest(string_split(ports, ',')) FROM findings WHERE rule_ord = 3"""
 ORACLE["filter_findings"] = f"""
 {FINDINGS} SELECT session_id, seq, type, title FROM findings WHERE severity = 'medium'
-  AND (contains(lower(title), 'sudo') OR contains(lower(type), 'sudo') OR contains(lower(description), 'sudo'))"""
+  AND (contains(lower(title), 'sudo') OR contains(lower(type), 'sudo') OR contains(lower(description), 'sudo'))
+UNION ALL SELECT session_id, seq, type, title FROM findings
+  WHERE contains(title, 'from 10.0.0.1') OR contains(type, 'from 10.0.0.1') OR contains(description, 'from 10.0.0.1')"""
 ORACLE["findings_table"] = f"""
 {FINDINGS} SELECT session_id, rule_ord, seq, type, upper(severity) AS severity, title,
   CASE WHEN rule_ord <= 3 THEN who ELSE 'Unknown/Internal' END AS affected,
@@ -444,23 +492,25 @@ ORACLE["orphans"] = f"""
 WITH {LINES} SELECT session_id, count(*) AS lines FROM full_lines
 WHERE session_id NOT IN (SELECT doc_id::VARCHAR FROM labels) GROUP BY 1"""
 
-# ---- streams: what the watermark has closed at the end of the data ----------
+# ---- streams: all windows, as at the end of a replay --------------------------
 
 ORACLE["stream_parse"] = ORACLE["parse_access"]
 ORACLE["stream_off_hours"] = ORACLE["off_hours"]
-ORACLE["stream_first_seen"] = f"{FINDINGS} SELECT DISTINCT session_id, who AS user, detail AS pattern FROM findings WHERE rule_ord = 4"
-_QUARTER, _HOUR = DAY // 4, DAY // 24
+ORACLE["stream_first_seen"] = f"""
+WITH {EV}, p AS (
+  SELECT *, CASE WHEN raw LIKE '%sudo%' THEN 'sudo' WHEN raw LIKE '%su -%' THEN 'su -' WHEN raw LIKE '%usermod%' THEN 'usermod'
+    WHEN raw LIKE '%groupadd%' THEN 'groupadd' END AS pattern FROM ev)
+SELECT session_id, user_name AS user, pattern, ms, line_num FROM p WHERE pattern IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY session_id, user_name, pattern ORDER BY ts, line_num) = 1"""
+_QUARTER = DAY // 4
 ORACLE["stream_rule_counts"] = f"""
-WITH {EV}, mark AS (SELECT max(ms) - {_HOUR} AS w FROM ev),
-hops AS (
+WITH {EV}, hops AS (
   SELECT session_id, ip, (ms // {_QUARTER} - back) * {_QUARTER} AS start
   FROM ev, (SELECT unnest(range(4)) AS back) WHERE event_type = 'error')
-SELECT session_id, ip, start, count(*) AS count FROM hops, mark
-WHERE start + {DAY} <= w GROUP BY 1, 2, 3 HAVING count(*) > 1"""
+SELECT session_id, ip, start, count(*) AS count FROM hops GROUP BY 1, 2, 3 HAVING count(*) > 1"""
 ORACLE["stream_brute_force_exact"] = f"""
-WITH {EV}, mark AS (SELECT max(ms) - {_HOUR} AS w FROM ev),
-f AS (SELECT session_id, ip, ms, line_num FROM ev WHERE event_type = 'error'),
+WITH {EV}, f AS (SELECT session_id, ip, ms, line_num FROM ev WHERE event_type = 'error'),
 n AS (SELECT *, (ms // {DAY}) * {DAY} AS bucket, count(*) OVER (PARTITION BY session_id, ip ORDER BY ms
     RANGE BETWEEN CURRENT ROW AND {DAY} FOLLOWING) AS value FROM f)
-SELECT session_id, ip, bucket, value, ms AS anchor FROM n, mark WHERE bucket + {2 * DAY} <= w
+SELECT session_id, ip, bucket, value, ms AS anchor FROM n
 QUALIFY row_number() OVER (PARTITION BY session_id, ip, bucket ORDER BY value DESC, ms) = 1 AND value > 2"""

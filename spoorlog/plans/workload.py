@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from spoorlog.operators import (
 )
 from spoorlog.plans import adapters as A
 from spoorlog.plans.ask import ask
+from spoorlog.plans.ingest import ingest
 from spoorlog.session import prepare, shared_dir, staged
 from spoorlog.sources import logs, tables
 from spoorlog.streaming import streams
@@ -48,9 +50,9 @@ def big(name: str) -> Column:
 # ---- rules ------------------------------------------------------------------
 
 LIMITS = {
-    "brute_force_ssh": lambda e: rules.rule_brute_force_ssh(e, DAY, SSH_LIMIT),
-    "brute_force_web": lambda e: rules.rule_brute_force_web(e, DAY, WEB_LIMIT),
-    "port_scan": lambda e: rules.rule_port_scan(e, DAY, SCAN_LIMIT),
+    "brute_force_ssh": partial(rules.rule_brute_force_ssh, window_ms=DAY, threshold=SSH_LIMIT),
+    "brute_force_web": partial(rules.rule_brute_force_web, window_ms=DAY, threshold=WEB_LIMIT),
+    "port_scan": partial(rules.rule_port_scan, window_ms=DAY, threshold=SCAN_LIMIT),
     "privilege_escalation": rules.rule_privilege_escalation,
     "off_hours_access": rules.rule_off_hours_access,
 }
@@ -149,9 +151,9 @@ def detect_format_documents(spark, sf_dir):
 
 @query
 def sniff_by_name(spark, sf_dir):
-    first = F.split("html", "\n", 2)[0]
-    return A.load(spark, sf_dir, "pages").select(
-        "page_id", formats.sniff_by_name(F.col("url"), first).alias("log_source"))
+    """Event lines as first lines of files, some of them called .json."""
+    df = A.named_heads(A.load(spark, sf_dir, "events"))
+    return df.select("event_id", formats.sniff_by_name(F.col("name"), F.col("first")).alias("log_source"))
 
 
 @query
@@ -185,17 +187,23 @@ def dest_port(spark, sf_dir):
     ).filter(F.col("port").isNotNull())
 
 
+SPELLINGS = {
+    2: "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", 4: "yyyy/MM/dd HH:mm:ss", 5: "MMM d, yyyy HH:mm:ss", 6: "d MMMM yyyy HH:mm:ss",
+    7: "MM/dd/yyyy hh:mm:ss a", 8: "EEE MMM dd yyyy HH:mm:ss 'GMT+0000 (Coordinated Universal Time)'",
+    9: "d MMM yyyy HH:mm:ss '+0530'", 10: "MMMM d, yyyy HH:mm:ss 'UTC'", 11: "yyyy-M-d H:mm:ss",
+}
+
+
 @query
 def parse_dates(spark, sf_dir):
-    """Event times in four spellings, read back."""
+    """Event times in a dozen spellings, read back."""
     ts = F.col("ts").cast("timestamp")
-    turn = F.col("event_id") % 4
-    text = (
-        F.when(turn == 0, F.unix_seconds(ts).cast("string"))
-        .when(turn == 1, F.unix_millis(ts).cast("string"))
-        .when(turn == 2, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
-        .otherwise(rfc1123(ts))
-    )
+    turn = F.col("event_id") % 12
+    text = F.when(turn == 0, F.unix_seconds(ts).cast("string")).when(turn == 1, F.unix_millis(ts).cast("string")).when(
+        turn == 3, rfc1123(ts))
+    for k, form in SPELLINGS.items():
+        shifted = ts + F.expr("interval 330 minutes") if "+0530" in form else ts
+        text = text.when(turn == k, F.date_format(shifted, form))
     return A.load(spark, sf_dir, "events").select(
         "event_id", F.unix_millis(parse_epoch_or_date(text)).alias("ms"))
 
@@ -240,6 +248,90 @@ def entries_table(spark, sf_dir):
     return parsed(tables.read_entries(spark, path))
 
 
+@query
+def entries_of_session(spark, sf_dir):
+    """One session's entries out of the table, in order, and after it was replaced by its web requests."""
+    path = scratch(spark, "entries")
+    stored = entries(spark, sf_dir)
+    tables.write_entries(stored, path)
+    again = stored.filter((F.col("session_id") == "host-1") & (F.col("action") == "GET"))
+    tables.write_entries(again, path)
+    tables.write_entries(again.limit(0), path, spark.createDataFrame([("host-2",)], "session_id string"))
+    left = tables.read_entries(spark, path).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+    one = tables.read_entries(spark, path, "host-1").withColumn("n", F.lit(0).cast("bigint"))
+    return one.select("session_id", "line_num", "n").unionByName(
+        left.select("session_id", F.lit(0).cast("bigint").alias("line_num"), "n"))
+
+
+@query
+def ingest_tables(spark, sf_dir):
+    """Daily logs as files, through the whole ingest, twice; per session what the tables hold."""
+    day = F.regexp_extract("session_id", r"/day=([^/]+)/", 1)
+    return ingested(spark, sf_dir).select(day.alias("day"), "log_source", "log_count", "entries", "failed", "chunk_count")
+
+
+def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = scratch(spark, "ingest")
+    events = A.load(spark, sf_dir, "events")
+    lines = A.daily_logs(events).select(F.col("session_id").alias("day"), "line_num", "raw_line")
+    (lines.repartition("day").sortWithinPartitions("day", "line_num").select("day", F.col("raw_line").alias("value"))
+     .write.partitionBy("day").text(f"{base}/in"))
+    for _ in range(2):
+        ingest(spark, f"{base}/in", f"{base}/tables", YEAR, embed=lambda df: chunking.embed_constant(df, 4))
+    stored = tables.read_entries(spark, f"{base}/tables/entries")
+    per_session = stored.groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("entries"), F.count("parse_error").alias("failed"))
+    chunks = tables.read_chunks(spark, f"{base}/tables/chunks").groupBy("session_id").agg(F.count(F.lit(1)).alias("chunk_count"))
+    rows = tables.read_sessions_table(spark, f"{base}/tables/sessions").withColumnRenamed("id", "session_id")
+    return rows.join(per_session, "session_id").join(chunks, "session_id")
+
+
+@query
+def lookups(spark, sf_dir):
+    """A session by id, a user's sessions newest first, a user by address."""
+    sessions = A.session_table(entries(spark, sf_dir))
+    by_id = tables.session_by_id(sessions, "host-2").select(F.lit("id").alias("kind"), F.col("id").alias("value"))
+    newest = tables.sessions_of_user(sessions, "operator").select(F.lit("user").alias("kind"), F.col("id").alias("value"))
+    users = A.load(spark, sf_dir, "customer").select(F.col("c_name").alias("email"), F.col("c_custkey").cast("string").alias("id"))
+    one = tables.user_by_email(users, "Customer#000000007").select(F.lit("email").alias("kind"), F.col("id").alias("value"))
+    return by_id.unionByName(newest).unionByName(one)
+
+
+@query
+def valid_entries(spark, sf_dir):
+    """Events as lines of both syslog kinds and lines that are none: rows parsed and rows set aside."""
+    lines = A.rendered(A.load(spark, sf_dir, "events"), A.mixed_syslog_line())
+    good, bad = parsers.split_valid(parsers.validate_entries(parsers.parse_syslog(lines, YEAR)))
+    count = lambda df, name: df.groupBy("session_id").agg(F.count(F.lit(1)).alias(name), F.sum("line_num").alias(f"{name}_lines"))
+    return count(good, "valid").join(count(bad, "invalid"), "session_id")
+
+
+@query
+def parse_rfc5424(spark, sf_dir):
+    lines = A.rendered(A.load(spark, sf_dir, "events"), A.rfc5424_line())
+    return parsed(parsers.parse_syslog(lines, YEAR)).drop("raw_md5")
+
+
+@query
+def own_rule(spark, sf_dir):
+    """A rule of one's own, registered beside the built-in ones: carts of the night before."""
+    rules.register_rule("night_carts", lambda e: rules.rule_privilege_escalation(e, ["reboot"]))
+    try:
+        out = rules.run_rules(staged(entries(spark, sf_dir), "entries"))
+    finally:
+        rules.unregister_rule("night_carts")
+    found = out.filter(F.col("evidence.triggeredPattern") == "reboot")
+    return found.select("session_id", "seq", "title")
+
+
+@query
+def bursts(spark, sf_dir):
+    """The window rules at their own five minutes, one minute and limits, over events packed into bursts."""
+    known = A.burst_entries(A.load(spark, sf_dir, "events"))
+    out = rules.run_rules(staged(known, "entries"), {k: rules.BUILT_IN[k] for k in ("brute_force_ssh", "port_scan")})
+    return flat(out).select("session_id", "type", "seq", "who", "n", "description", "detail")
+
+
 @query
 def findings_stored(spark, sf_dir):
     path = scratch(spark, "findings")
@@ -286,6 +378,28 @@ def hit_lines(spark, sf_dir):
     return lines.select("session_id", big("chunk_index"), big("line_num"), F.md5("line").alias("line_md5"))
 
 
+def letters(texts: list[str]) -> list[list[float]]:
+    """An embedding of one's own: counts of four letters."""
+    return [[float(t.count(c)) for c in "aeio"] for t in texts]
+
+
+@query
+def embed_chunks_own(spark, sf_dir):
+    vectors = chunking.embed_chunks(document_chunks(spark, sf_dir), letters)
+    at = lambda i: F.col("embedding")[i].cast("bigint")
+    return vectors.select("session_id", big("chunk_index"), at(0).alias("a"), at(1).alias("e"), at(2).alias("i"), at(3).alias("o"))
+
+
+@query
+def chunks_table(spark, sf_dir):
+    """Chunks written with their vectors as text, and one session's read back in order."""
+    path = scratch(spark, "chunks")
+    tables.write_chunks(vector_chunks(spark, sf_dir), path, as_text=True)
+    one = tables.read_chunks(spark, path, "label-3", as_text=True)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    return one.select("session_id", big("chunk_index"), F.size("embedding").cast("bigint").alias("width"), F.round(total, 3).alias("total"))
+
+
 @query
 def embed_chunks(spark, sf_dir):
     """Hashed embeddings of every chunk; the length of each vector is 1."""
@@ -323,7 +437,7 @@ def scored(df: DataFrame) -> DataFrame:
 
 @query
 def semantic_search(spark, sf_dir):
-    first = A.load(spark, sf_dir, "embeddings").orderBy("vec_id").select("embedding").first()
+    first = A.load(spark, sf_dir, "embeddings").orderBy("vec_id").select("embedding").first()  # the caller's query vector
     hits = retrieval.semantic_search(vector_chunks(spark, sf_dir), [float(x) for x in first[0]], 10)
     return hits.select(
         "session_id", big("chunk_index"), "chunk_text", big("line_start"), big("line_end"),
@@ -337,7 +451,10 @@ def search_batch(spark, sf_dir):
 
 @query
 def ann_search(spark, sf_dir):
-    return scored(retrieval.ann_search(vector_chunks(spark, sf_dir), vector_queries(spark, sf_dir), 10))
+    """How much of the exact top ten the approximate search finds, per session."""
+    asked, chunks = vector_queries(spark, sf_dir), vector_chunks(spark, sf_dir)
+    found = retrieval.recall(retrieval.ann_search(chunks, asked, 10, probes=56), retrieval.search_batch(asked, chunks, 10))
+    return found.select("session_id", "wanted", (F.col("recall") >= 0.9).alias("enough"))
 
 
 @query
@@ -383,11 +500,12 @@ def ask_documents(spark, sf_dir):
         .select(F.concat(F.lit("host-"), F.col("source").cast("string")).alias("session_id"),
                 (F.col("session_id").cast("bigint") * 1000 + F.col("chunk_index")).alias("chunk_index"),
                 "chunk_text", "line_start", "line_end", "embedding"), "chunks")
-    questions = A.exchanges(A.load(spark, sf_dir, "conversations")).select(
-        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"), "session_id", "question")
+    questions = A.questions(A.load(spark, sf_dir, "conversations"))
     embed = lambda df, text: chunking.embed_hashed(df, text, 256)
     out = ask(questions, chunks, 5, embed=embed)
-    return out.select("query_id", "session_id", F.length("prompt").cast("bigint").alias("chars"))
+    mark = "Question / Security Inquiry:\n"
+    return out.select(
+        "query_id", "session_id", F.md5(F.substring_index("prompt", mark, -1)).alias("question_md5"))
 
 
 @query
@@ -436,10 +554,10 @@ def top_sources(spark, sf_dir):
 
 @query
 def top_sources_entries(spark, sf_dir):
-    """Findings of one rule only cover some sessions; entries fill the rest."""
+    """Logins found at odd hours on two hosts only; the entries fill in for the others."""
     known = entries(spark, sf_dir)
-    none = findings(spark, sf_dir).filter(F.col("severity") == "critical")
-    return reports.top_sources(none, known).withColumn("rank", big("rank"))
+    some = findings(spark, sf_dir).filter((F.col("type") == "off_hours_access") & F.col("session_id").isin("host-0", "host-3"))
+    return reports.top_sources(some, known).withColumn("rank", big("rank"))
 
 
 @query
@@ -461,7 +579,8 @@ def parse_quality(spark, sf_dir):
 
 @query
 def filter_findings(spark, sf_dir):
-    out = reports.filter_findings(findings(spark, sf_dir), "medium", "SUDO")
+    known = findings(spark, sf_dir)
+    out = reports.filter_findings(known, "medium", "SUDO").unionByName(reports.filter_findings(known, "all", "from 10.0.0.1"))
     return out.select("session_id", big("seq"), "type", "title")
 
 
@@ -572,9 +691,15 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
-def streamed(df: DataFrame, name: str) -> DataFrame:
+def streamed(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     spark = df.sparkSession
-    return streams.run_to_end(df, scratch(spark, name), scratch(spark, name + "-state"))
+    return streams.run_to_end(df, scratch(spark, name), scratch(spark, name + "-state"), mode)
+
+
+def replayed(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    known = A.event_entries(event_stream(spark, sf_dir))
+    last = {"format": "syslog", "action": "auth_failure", "ip": "0.0.0.0"}
+    return streams.replay(known, build, scratch(spark, name), scratch(spark, name + "-state"), last)
 
 
 @query
@@ -585,24 +710,22 @@ def stream_parse(spark, sf_dir):
 
 @query
 def stream_rule_counts(spark, sf_dir):
-    entries = A.event_entries(event_stream(spark, sf_dir))
-    counts = streams.stream_rule_counts(entries, is_.is_ssh_failure(), 1, "1 day", "6 hours", "1 hour")
-    return streamed(counts, "stream-counts").select(
+    counts = lambda e: streams.stream_rule_counts(e, is_.is_ssh_failure(), 1, "1 day", "6 hours", "1 hour")
+    return replayed(spark, sf_dir, counts, "stream-counts").select(
         "session_id", "ip", F.unix_millis("start").alias("start"), "count")
 
 
 @query
 def stream_brute_force_exact(spark, sf_dir):
-    entries = A.event_entries(event_stream(spark, sf_dir))
-    alerts = streams.stream_brute_force_exact(entries, is_.is_ssh_failure(), SSH_LIMIT, DAY, "1 hour")
-    return streamed(alerts, "stream-exact")
+    return replayed(
+        spark, sf_dir, lambda e: streams.stream_brute_force_exact(e, is_.is_ssh_failure(), SSH_LIMIT, DAY, "1 hour"), "stream-exact")
 
 
 @query
 def stream_first_seen(spark, sf_dir):
     entries = A.event_entries(event_stream(spark, sf_dir))
-    return streamed(streams.stream_first_seen(entries, "365 days"), "stream-first").select(
-        "session_id", "user", "pattern")
+    written = streamed(streams.stream_first_seen(entries), "stream-first", "update")
+    return streams.first_seen(written).select("session_id", "user", "pattern", F.unix_millis("ts").alias("ms"), "line_num")
 
 
 @query

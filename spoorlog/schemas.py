@@ -8,22 +8,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RAW_LINES = "session_id string, file_name string, line_num int, raw_line string"
+RAW_LINES = "session_id string, file_name string, line_num bigint, raw_line string"
 
 LOG_ENTRIES = (
-    "id string, session_id string, line_num int, ts timestamp, ip string, user_name string, "
+    "id string, session_id string, line_num bigint, ts timestamp, ip string, user_name string, "
     "action string, resource string, status_code int, raw_line string, format string, "
-    "parse_error string"
+    "parse_error string, file_name string"
 )
 
 SESSIONS = (
     "id string, user_id string, name string, log_source string, status string, "
-    "log_count int, created_at timestamp, updated_at timestamp"
+    "log_count bigint, created_at timestamp, updated_at timestamp"
 )
 
 CHUNKS = (
     "id string, session_id string, chunk_text string, embedding array<float>, "
-    "chunk_index int, line_start int, line_end int, created_at timestamp"
+    "chunk_index bigint, line_start bigint, line_end bigint, created_at timestamp, file_name string"
 )
 
 # Superset of what the rules and analysts record; absent fields are NULL.
@@ -37,7 +37,7 @@ EVIDENCE_FIELDS = {
     "userName": "string",
     "triggeredPattern": "string",
     "rawLine": "string",
-    "lineNum": "int",
+    "lineNum": "bigint",
     "timestampUTC": "string",
     "affectedIps": "array<string>",
     "recommendations": "array<string>",
@@ -48,7 +48,7 @@ EVIDENCE = "struct<" + ", ".join(f"{n}: {t}" for n, t in EVIDENCE_FIELDS.items()
 FINDINGS = (
     "id string, session_id string, type string, severity string, title string, "
     f"description string, source string, created_at timestamp, evidence {EVIDENCE}, "
-    "rule_ord int, seq bigint"
+    "rule_ord int, seq bigint, file_name string"
 )
 
 ANSWER = (
@@ -82,6 +82,12 @@ def _fields(schema: str) -> list[T.StructField]:
     return T.StructType.fromDDL(schema).fields
 
 
+def with_file(df: DataFrame) -> DataFrame:
+    """Rows that belong to a file of their session; without one, the session is one file."""
+    name = F.coalesce("file_name", F.lit("")) if "file_name" in df.columns else F.lit("")
+    return df.withColumn("file_name", name)
+
+
 def conform(df: DataFrame, schema: str) -> DataFrame:
     """Select the columns of ``schema`` with their types; missing ones are NULL."""
     present = set(df.columns)

@@ -16,8 +16,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     projections of the parsers need. Rank filters up to 5000 run before their
     exchange too; the context budget admits a little over 1400 hits. The number
     that sizes file splits is pinned, as it would else follow the cores at hand,
-    and two scans of the same files could be cut differently.
+    and two scans of the same files could be cut differently. Of equal keys in a
+    JSON object the last one counts.
     """
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "5000")

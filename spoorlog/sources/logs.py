@@ -12,16 +12,21 @@ SUFFIXES = ("log", "txt", "json", "csv")
 UPLOAD_NAME = r"^([^_]+)_(\d{13})_(.+)$"
 
 
+def _any_case(suffix: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" for c in suffix)
+
+
 def read_logs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Every line of every log file under ``path``.
 
     Large files are cut into splits that are read in parallel. Only a line feed
-    ends a line, and one carriage return before it is dropped.
+    ends a line, and one carriage return before it is dropped. Suffixes count in
+    either case; :func:`other_files` tells what is passed over.
     """
     lines = (
         prepare(spark).read.option("lineSep", "\n")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.{" + ",".join(SUFFIXES) + "}")
+        .option("pathGlobFilter", "*.{" + ",".join(map(_any_case, SUFFIXES)) + "}")
         .text(path)
     )
     return lines.select(
@@ -33,6 +38,13 @@ def read_logs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def other_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files under ``path`` that are no logs by their suffix: path and length. Contents are not read."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+             .select(F.col("path").alias("file_path"), "length"))
+    return files.filter(~F.lower("file_path").rlike(r"\.(" + "|".join(SUFFIXES) + r")\z"))
+
+
 def session_from_path(df: DataFrame) -> DataFrame:
     """Session, upload time and original name out of an upload's file name.
 
@@ -73,8 +85,8 @@ def with_line_numbers(lines: DataFrame) -> DataFrame:
     )
     place = F.col("row_id") - F.col("first_row")
     number = F.when(
-        (place >= 0) & (place < F.col("n")), (F.col("offset") + place + 1).cast("int")
-    ).otherwise(F.raise_error(F.lit("the files were split differently in the two passes")).cast("int"))
+        (place >= 0) & (place < F.col("n")), F.col("offset") + place + 1
+    ).otherwise(F.raise_error(F.lit("the files were split differently in the two passes")).cast("bigint"))
     return (
         lines.join(offsets, keys, "left")
         .withColumn("line_num", number)
@@ -83,8 +95,13 @@ def with_line_numbers(lines: DataFrame) -> DataFrame:
 
 
 def read_sessions(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Numbered lines with their session, ready for the parsers."""
-    return session_from_path(with_line_numbers(read_logs(spark, path)))
+    """Numbered lines with their session, ready for the parsers.
+
+    ``file_name`` becomes the whole path, so that two uploads of one session stay
+    apart whatever they are called.
+    """
+    named = session_from_path(with_line_numbers(read_logs(spark, path)))
+    return named.withColumn("file_name", F.col("file_path"))
 
 
 def non_blank(lines: DataFrame) -> DataFrame:

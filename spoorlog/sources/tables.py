@@ -2,57 +2,87 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoorlog import schemas
-from spoorlog.functions.vectors import format_vector_text
+from spoorlog.functions.vectors import format_vector_text, parse_vector_text
 from spoorlog.operators.positions import with_positions
+from spoorlog.session import staged
+
+
+BUCKETS = 64
+
+
+def bucket_of(session_id: Column) -> Column:
+    """The folder a session's rows lie in."""
+    return F.pmod(F.xxhash64(session_id), F.lit(BUCKETS)).cast("int")
 
 
-def _replace_sessions(df: DataFrame, path: str, slice_of: Column | None = None) -> None:
-    """Overwrite only the sessions present in ``df``, so a rerun adds nothing.
+def _replace_sessions(df: DataFrame, path: str, covered: DataFrame | None = None, slice_of: Column | None = None) -> None:
+    """Replace the rows of the ``covered`` sessions by those of ``df``.
 
-    Parsed entries still lie as they were read, a few sessions per task, and are
-    written in place. Tables that come out of a shuffle have every session in
-    every task; ``slice_of`` gathers them by session and slice first, which
-    keeps the files few and still spreads a large session over many tasks.
+    Rows are added as a new batch, in folders by batch and bucket of the session,
+    so the number of folders does not depend on the number of sessions. The
+    manifest, written last, says which batch is a session's latest; readers see
+    only that. A covered session without rows in ``df`` therefore becomes empty,
+    a rerun adds nothing, and a job that dies leaves the table as it was.
+    Without ``covered``, the sessions of ``df`` are covered.
+
+    Parsed entries still lie as they were read and are written in place. Tables
+    that come out of a shuffle have every bucket in every task; ``slice_of``
+    gathers them by bucket and slice first, which keeps the files few and still
+    spreads a large session over many tasks.
     """
+    batch = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    rows = df.withColumn("bucket", bucket_of(F.col("session_id")))
     if slice_of is not None:
-        df = df.repartition("session_id", slice_of)
-    (
-        df.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("session_id")
-        .parquet(path)
-    )
+        rows = rows.repartition("bucket", slice_of)
+    rows.sortWithinPartitions("bucket", "session_id").write.partitionBy("bucket").parquet(f"{path}/data/batch={batch}")
+    sessions = (df if covered is None else covered).select(F.col("session_id").cast("string").alias("session_id")).distinct()
+    sessions.withColumn("batch", F.lit(batch)).coalesce(8).write.mode("append").parquet(f"{path}/manifest")
 
 
 def _session(spark: SparkSession, path: str, schema: str, session_id: str | None) -> DataFrame:
-    df = spark.read.schema(schema).parquet(path)
-    return df if session_id is None else df.filter(F.col("session_id") == session_id)
+    """The latest rows of one session, or of all."""
+    manifest = spark.read.schema("session_id string, batch string").parquet(f"{path}/manifest")
+    latest = manifest.groupBy("session_id").agg(F.max("batch").alias("batch"))
+    rows = spark.read.schema(schema + ", batch string, bucket int").parquet(f"{path}/data")
+    if session_id is not None:
+        rows = rows.filter((F.col("session_id") == session_id) & (F.col("bucket") == bucket_of(F.lit(session_id))))
+        latest = latest.filter(F.col("session_id") == session_id)
+    return rows.join(latest, ["session_id", "batch"], "left_semi").drop("batch", "bucket")
 
 
-def write_entries(entries: DataFrame, path: str) -> None:
-    _replace_sessions(schemas.conform(entries, schemas.LOG_ENTRIES), path)
+def write_entries(entries: DataFrame, path: str, covered: DataFrame | None = None) -> None:
+    _replace_sessions(schemas.conform(entries, schemas.LOG_ENTRIES), path, covered)
 
 
 def read_entries(spark: SparkSession, path: str, session_id: str | None = None) -> DataFrame:
     """Entries, of one session in line order or of all unordered."""
     df = _session(spark, path, schemas.LOG_ENTRIES, session_id)
-    return df if session_id is None else df.orderBy("line_num")
+    return df if session_id is None else df.orderBy("file_name", "line_num")
 
 
-def write_chunks(chunks: DataFrame, path: str, as_text: bool = False) -> None:
+def write_chunks(chunks: DataFrame, path: str, as_text: bool = False, covered: DataFrame | None = None) -> None:
     """Chunks with ``array<float>`` embeddings, or ``[a,b,…]`` texts on request."""
     df = schemas.conform(chunks, schemas.CHUNKS)
     if as_text:
         df = df.withColumn("embedding", format_vector_text(F.col("embedding")))
-    _replace_sessions(df, path, F.floor(F.col("chunk_index") / 10_000))
+    _replace_sessions(df, path, covered, F.floor(F.col("chunk_index") / 10_000))
 
 
-def read_chunks(spark: SparkSession, path: str, session_id: str | None = None) -> DataFrame:
-    return _session(spark, path, schemas.CHUNKS, session_id)
+def read_chunks(spark: SparkSession, path: str, session_id: str | None = None, as_text: bool = False) -> DataFrame:
+    """Chunks, of one session in order or of all unordered; ``as_text`` reads vectors written as text."""
+    stored = schemas.CHUNKS.replace("embedding array<float>", "embedding string") if as_text else schemas.CHUNKS
+    df = _session(spark, path, stored, session_id)
+    if as_text:
+        df = df.withColumn("embedding", parse_vector_text(F.col("embedding")).cast("array<float>"))
+    return df if session_id is None else df.orderBy("chunk_index")
 
 
 def with_evidence_json(findings: DataFrame) -> DataFrame:
@@ -65,9 +95,9 @@ def with_evidence_json(findings: DataFrame) -> DataFrame:
     )
 
 
-def write_findings(findings: DataFrame, path: str) -> None:
+def write_findings(findings: DataFrame, path: str, covered: DataFrame | None = None) -> None:
     stored = with_evidence_json(schemas.conform(findings, schemas.FINDINGS))
-    _replace_sessions(stored, path, F.floor(F.col("seq") / 1_000_000))
+    _replace_sessions(stored, path, covered, F.floor(F.col("seq") / 1_000_000))
 
 
 def read_findings(spark: SparkSession, path: str, session_id: str | None = None) -> DataFrame:
@@ -80,7 +110,20 @@ def read_findings(spark: SparkSession, path: str, session_id: str | None = None)
 def write_qa(answers: DataFrame, path: str) -> None:
     df = schemas.conform(answers, schemas.QA_HISTORY)
     stored = df.withColumn("answer", F.to_json("answer"))
-    _replace_sessions(stored, path, F.pmod(F.xxhash64("id"), F.lit(16)))
+    _replace_sessions(stored, path, None, F.pmod(F.xxhash64("id"), F.lit(1024)))
+
+
+def add_qa(answers: DataFrame, path: str) -> None:
+    """Add answers to their sessions' archives; an answer already there, by id, is kept once."""
+    fresh = schemas.conform(answers, schemas.QA_HISTORY)
+    try:
+        stored = read_qa(answers.sparkSession, path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return write_qa(fresh.dropDuplicates(["id"]), path)
+    kept = stored.join(fresh.select("session_id").distinct(), "session_id", "left_semi").join(fresh.select("id"), "id", "left_anti")
+    write_qa(staged(kept.unionByName(fresh.dropDuplicates(["id"])), "answers"), path)
 
 
 def read_qa(spark: SparkSession, path: str, session_id: str | None = None) -> DataFrame:
@@ -89,30 +132,40 @@ def read_qa(spark: SparkSession, path: str, session_id: str | None = None) -> Da
     return df if session_id is None else df.orderBy("created_at")
 
 
-REPORT_FINDINGS = 10_000
+def write_sessions(sessions: DataFrame, path: str) -> None:
+    """Rows of :data:`schemas.SESSIONS`, keyed by ``id``."""
+    df = schemas.conform(sessions, schemas.SESSIONS).withColumn("session_id", F.col("id"))
+    _replace_sessions(df, path, None, F.lit(0))
+
+
+def read_sessions_table(spark: SparkSession, path: str) -> DataFrame:
+    return _session(spark, path, schemas.SESSIONS + ", session_id string", None).drop("session_id")
+
+
+def report_lines(findings: DataFrame) -> DataFrame:
+    """One row per finding of a briefing, numbered from 0 in rule order: what a briefing lists, at any size."""
+    segment = F.struct("rule_ord", F.floor(F.col("seq") / 65_536).alias("reach"))
+    placed = with_positions(findings, ["session_id"], segment, ["rule_ord", "seq", "id"])
+    return placed.select(
+        "session_id", "pos", "severity", "title", "description",
+        F.coalesce(F.nullif(F.col("evidence.ip"), F.lit("")), F.lit("Unknown")).alias("ip"))
 
 
 def incident_report(
     findings: DataFrame, target_asset: Column | str, analysis_date: str,
-    summary: str | None = None, part_size: int = REPORT_FINDINGS,
+    summary: str | None = None, part_size: int | None = None,
 ) -> DataFrame:
     """A JSON briefing per session, its findings in rule order.
 
-    A session with more than ``part_size`` findings gets several documents,
-    numbered by ``part``, so no document grows with the data.
+    With a ``part_size`` a session's briefing comes in documents of that many
+    findings, numbered by ``part``; :func:`report_lines` has the same as rows.
     """
     asset = F.lit(target_asset) if isinstance(target_asset, str) else target_asset
-    segment = F.struct("rule_ord", F.floor(F.col("seq") / 65_536).alias("reach"))
-    placed = with_positions(findings, ["session_id"], segment, ["rule_ord", "seq", "id"])
-    line = F.struct(
-        "pos",
-        "severity",
-        "title",
-        "description",
-        F.coalesce(F.nullif(F.col("evidence.ip"), F.lit("")), F.lit("Unknown")).alias("ip"),
-    )
+    placed = report_lines(findings)
+    line = F.struct("pos", "severity", "title", "description", "ip")
+    part = F.lit(0).cast("bigint") if part_size is None else F.floor(F.col("pos") / part_size)
     grouped = placed.groupBy(
-        "session_id", F.floor(F.col("pos") / part_size).alias("part")
+        "session_id", part.alias("part")
     ).agg(F.array_sort(F.collect_list(line)).alias("lines"))
     listed = F.transform(
         "lines",

@@ -7,6 +7,8 @@ the state, so a key with most of the rows costs its distinct instants only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,8 +20,6 @@ from spoorlog.functions.text import non_empty
 from spoorlog.operators.parsers import parse_with_format
 from spoorlog.operators.rules import rule_off_hours_access
 
-SALTS = 16
-
 
 def read_log_stream(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     """Lines of log files as they arrive. Sniffing needs whole files, so the
@@ -44,8 +44,8 @@ def stream_rule_counts(
 ) -> DataFrame:
     """Matching entries per address in hopping windows, above a threshold."""
     counts = (
-        entries.filter(when)
-        .withWatermark("ts", lateness)
+        entries.withWatermark("ts", lateness)
+        .filter(when)
         .groupBy("session_id", "ip", F.window("ts", window, slide))
         .agg(F.count(F.lit(1)).alias("count"))
     )
@@ -86,9 +86,9 @@ def stream_brute_force_exact(
     """
     ms = F.unix_millis("ts")
     counted = (
-        entries.filter(when & (ms != 0))
-        .withColumn("ts", F.timestamp_millis(ms))
+        entries.withColumn("ts", F.timestamp_millis(ms))
         .withWatermark("ts", lateness)
+        .filter(when & (ms != 0))
         .groupBy("session_id", "ip", "ts")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -109,27 +109,29 @@ def stream_brute_force_exact(
     )
 
 
-def stream_first_seen(
-    entries: DataFrame, lateness: str = "1 hour", words: list[str] | None = None
-) -> DataFrame:
-    """The first entry of each user and privilege pattern within the watermark.
+FIRST_SEEN = ["session_id", "user", "pattern"]
+
 
-    Duplicates are dropped per salt first, so that a busy user's rows are spread
-    and only one per salt goes on to the final step.
+def stream_first_seen(entries: DataFrame, words: list[str] | None = None) -> DataFrame:
+    """The first entry, by time and line, of each user and privilege pattern so far.
+
+    A running minimum per key, merged on the map side: state is one small row per
+    user and pattern, whatever arrives late or in which order. Write it in update
+    mode; a key comes out again only when an earlier entry turns up, and
+    :func:`first_seen` keeps the last word on each.
     """
     user = F.coalesce(non_empty(F.col("user_name")), F.lit("unknown"))
     matched = entries.select(
-        "session_id", user.alias("user"), "ts", "line_num", "raw_line",
-        is_.privilege_pattern(F.col("raw_line"), words).alias("pattern"),
-        F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"),
+        "session_id", user.alias("user"), is_.privilege_pattern(F.col("raw_line"), words).alias("pattern"),
+        F.struct("ts", "line_num", "raw_line").alias("entry"),
     ).filter(F.col("pattern").isNotNull())
-    keys = ["session_id", "user", "pattern"]
-    return (
-        matched.withWatermark("ts", lateness)
-        .dropDuplicatesWithinWatermark([*keys, "salt"])
-        .dropDuplicatesWithinWatermark(keys)
-        .drop("salt")
-    )
+    return matched.groupBy(*FIRST_SEEN).agg(F.min("entry").alias("first")).select(*FIRST_SEEN, "first.*")
+
+
+def first_seen(written: DataFrame) -> DataFrame:
+    """The first entries out of everything :func:`stream_first_seen` has written."""
+    entry = F.struct("ts", "line_num", "raw_line")
+    return written.groupBy(*FIRST_SEEN).agg(F.min(entry).alias("first")).select(*FIRST_SEEN, "first.*")
 
 
 def stream_off_hours(entries: DataFrame) -> DataFrame:
@@ -138,7 +140,7 @@ def stream_off_hours(entries: DataFrame) -> DataFrame:
 
 
 def stream_to_tables(
-    df: DataFrame, path: str, checkpoint: str, available_now: bool = True
+    df: DataFrame, path: str, checkpoint: str, available_now: bool = True, mode: str = "append"
 ) -> StreamingQuery:
     """Write each micro-batch to its own folder.
 
@@ -149,11 +151,40 @@ def stream_to_tables(
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    writer = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def run_to_end(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Process everything available and read the result back."""
-    stream_to_tables(df, path, checkpoint).awaitTermination()
+def run_to_end(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Process everything available and read the result back.
+
+    Windows the watermark has not passed stay open, as they must on a stream that
+    goes on; :func:`replay` closes them.
+    """
+    stream_to_tables(df, path, checkpoint, mode=mode).awaitTermination()
     return df.sparkSession.read.schema(df.schema).parquet(path).drop("batch")
+
+
+END_OF_TIME = "9000-01-01 00:00:00"
+
+
+def replay(
+    entries: DataFrame, build: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, last: dict[str, str]
+) -> DataFrame:
+    """The whole result of ``build`` over a stream that has ended.
+
+    When all its rows are through, one more row, at the end of time, is sent after
+    them by a second source and moves the watermark past every open window, so
+    the tail comes out like the rest. ``last`` has the fields of that row; it must
+    pass the filters of ``build`` to be seen, and its own window never closes.
+    """
+    spark = entries.sparkSession
+    closing = f"{path}-closing"
+    blank = spark.range(1).select(*[
+        F.lit(END_OF_TIME if f.name == "ts" else last.get(f.name)).cast(f.dataType).alias(f.name) for f in entries.schema.fields])
+    blank.limit(0).write.parquet(closing)
+    whole = build(entries.unionByName(spark.readStream.schema(entries.schema).parquet(closing)))
+    run_to_end(whole, path, checkpoint)
+    blank.write.mode("append").parquet(closing)
+    run_to_end(whole, path, checkpoint)
+    return spark.read.schema(whole.schema).parquet(path).drop("batch")

@@ -6,8 +6,8 @@ from spoorlog.plans.ingest import ingest
 from spoorlog.session import staged
 from spoorlog.sources import logs, tables
 
-SESSION = "09e6f717-b1bb-4fff-ab03-f6252be60799"
-NAMES = [f"{SESSION}_1779890626643_sample_attack.log", "plain.txt"]
+SESSION = "11111111-2222-4333-8444-555555555555"
+NAMES = [f"{SESSION}_1700000000123_evening.LOG", "plain.txt"]
 
 
 @pytest.fixture
@@ -56,7 +56,7 @@ def test_session_from_upload_name(spark, folder):
     rows = logs.read_sessions(spark, str(path / "in")).select(
         "session_id", "upload_name", F.unix_millis("upload_ts").alias("ms")).distinct().collect()
     got = {r.upload_name: (r.session_id, r.ms) for r in rows}
-    assert got["sample_attack.log"] == (SESSION, 1779890626643)
+    assert got["evening.LOG"] == (SESSION, 1700000000123)
     assert got["plain.txt"][0].endswith("in/plain.txt") and got["plain.txt"][1] is None
 
 
@@ -64,17 +64,17 @@ def test_ingest_twice_gives_the_same_tables(spark, tmp_path):
     source, target = tmp_path / "in", str(tmp_path / "out")
     source.mkdir()
     attack = "\n".join(
-        [f"<34>May 26 12:0{i // 4}:{i % 4 * 15:02d} web sshd[9]: Failed password for u from 203.0.113.5 port {i} ssh2"
-         for i in range(12)] + ["", "<34>May 26 12:03:10 web sudo[1]:  root : USER=root ; COMMAND=/bin/cat"])
-    (source / f"{SESSION}_1779890626643_attack.log").write_text(attack)
-    (source / "web.log").write_text('1.1.1.1 - - [10/Oct/2000:13:55:36 -0700] "GET /a HTTP/1.0" 200 1\nbroken\n')
+        [f"Sep  3 14:{10 + i // 6}:{i % 6 * 10:02d} web sshd[9]: Failed password for user u from 198.18.77.5 port {i}"
+         for i in range(12)] + ["", "Sep  3 14:20:00 web sudo[1]: less notes"])
+    (source / f"{SESSION}_1700000000123_evening.log").write_text(attack)
+    (source / "web.log").write_text('10.9.8.7 - - [29/Feb/2024:23:30:00 -0130] "HEAD /a HTTP/1.1" 304 0\nbroken\n')
     for _ in range(2):
-        quality = {r.format: (r.parsed, r.failed) for r in ingest(spark, str(source), target, 2026).collect()}
+        quality = {r.format: (r.parsed, r.failed) for r in ingest(spark, str(source), target, 2025).collect()}
         assert quality == {"syslog": (13, 0), "apache": (1, 1)}
         entries = tables.read_entries(spark, f"{target}/entries", SESSION).collect()
         assert [r.line_num for r in entries] == [*range(1, 13), 14]
         findings = tables.read_findings(spark, f"{target}/findings", SESSION).collect()
-        assert [(f.type, f.evidence.ip) for f in findings] == [("brute_force_ssh", "203.0.113.5"), ("privilege_escalation", None)]
+        assert [(f.type, f.evidence.ip) for f in findings] == [("brute_force_ssh", "198.18.77.5"), ("privilege_escalation", None)]
         chunks = tables.read_chunks(spark, f"{target}/chunks", SESSION).collect()
         assert [(c.line_start, c.line_end, len(c.embedding)) for c in chunks] == [(1, 14, 1536)]
         assert chunks[0].chunk_text == "\n".join(t for t in attack.split("\n") if t)

@@ -8,8 +8,8 @@ from spoorlog.operators import rules
 from spoorlog.operators.sliding import sliding_window_max
 from spoorlog.streaming import streams
 
-T0 = dt.datetime(2026, 5, 26, 12)
-RAW = "session_id string, line_num int, ts timestamp, ip string, user_name string, raw_line string"
+T0 = dt.datetime(2025, 9, 3, 8)
+RAW = "session_id string, line_num bigint, ts timestamp, ip string, user_name string, raw_line string"
 
 
 def entries(df):
@@ -62,10 +62,14 @@ def test_first_seen_across_batches(spark, tmp_path):
         return ("s", i, T0 + dt.timedelta(seconds=i), "1.1.1.1", user, raw)
 
     stream = arrive(spark, tmp_path, [
-        [row(i, "a", "sudo x") for i in range(40)], [row(50, "a", "sudo y"), row(51, "a", "su - root"), row(52, "", "sudo")]])
-    got = {(r.user, r.pattern) for r in finish(streams.stream_first_seen(stream), tmp_path)}
+        [row(i, "a", "sudo x") for i in range(20, 40)], [row(i, "a", "sudo x") for i in range(20)], [row(50, "a", "sudo y"), row(51, "a", "su - root"), row(52, "", "sudo")]])
+    written = streams.run_to_end(streams.stream_first_seen(stream), str(tmp_path / "out"), str(tmp_path / "state"), "update")
+    rows = streams.first_seen(written).collect()
+    assert {(r.user, r.pattern): r.line_num for r in rows}["a", "sudo"] == 0
+    got = {(r.user, r.pattern) for r in rows}
     assert got == {("a", "sudo"), ("a", "su -"), ("unknown", "sudo")}
-    assert len(finish(streams.stream_first_seen(stream), tmp_path)) == 3  # nothing new on a second run
+    again = streams.run_to_end(streams.stream_first_seen(stream), str(tmp_path / "out"), str(tmp_path / "state"), "update")
+    assert streams.first_seen(again).count() == 3  # nothing new on a second run
 
 
 def test_off_hours_stream(spark, tmp_path):
@@ -81,3 +85,20 @@ def test_parse_stream_of_files(spark, tmp_path):
     rows = finish(streams.stream_parse(lines, 2026), tmp_path)
     assert sorted((r.ip or "", r.parse_error is None) for r in rows) == [("", False), ("1.1.1.1", True)]
     assert len({r.id for r in rows}) == 2 and rules.run_rules(spark.createDataFrame(rows, streams.stream_parse(lines, 2026).schema)).count() == 0
+
+
+def test_replay_closes_the_tail(spark, tmp_path):
+    """Every window of an ended stream comes out, also those the watermark had not passed."""
+    rows = [("s", i, T0 + dt.timedelta(seconds=20 * i), "9.9.9.9", "u", "ssh failed password") for i in range(60)]
+    stream = arrive(spark, tmp_path, [rows[:30], rows[30:]])
+    build = lambda e: streams.stream_brute_force_exact(e, is_.is_ssh_failure(), 10)
+    got = streams.replay(stream, build, str(tmp_path / "out"), str(tmp_path / "state"),
+                         {"format": "syslog", "ip": "0.0.0.0", "raw_line": "ssh failed password"}).collect()
+    counts = {}
+    for i in range(60):
+        start = int(T0.replace(tzinfo=dt.timezone.utc).timestamp() * 1000) + 20_000 * i
+        value = sum(i <= j and 20 * (j - i) <= 300 for j in range(60))
+        bucket = start - start % 300_000
+        if value > 10 and value > counts.get(bucket, (0, 0))[0]:
+            counts[bucket] = (value, start)
+    assert {r.bucket: (r.value, r.anchor) for r in got} == counts
