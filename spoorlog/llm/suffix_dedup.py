@@ -34,7 +34,7 @@ from spoorlog.llm.words import blocks, documents, folded, map_texts, span_hashes
 from spoorlog.session import staged
 
 LEAST, SPAN, GRAM = 50, 24, 6
-NO_ID = -(1 << 63)
+NO_ID = -(1 << 62)
 EDGE = 16
 FOUND = "doc bigint, start bigint, end bigint, other bigint, other_start bigint, n bigint, lowest bigint"
 
@@ -105,7 +105,11 @@ def _named(df: DataFrame) -> DataFrame:
 
 
 def _contexts(df: DataFrame, least: int, span: int) -> DataFrame:
-    """Rows of (doc, text, places) to a row per place: head, the words behind it, the words before it (nearest first)."""
+    """Rows of (doc, text, places) to suffixes: head, the words behind it, the words before it (nearest first).
+
+    Places of one document that are alike in all of this are one row, under the
+    first of them, so text that repeats itself makes no long runs of equal suffixes.
+    """
     head, reach = least - span + 1, span
 
     def run(batches):
@@ -113,24 +117,26 @@ def _contexts(df: DataFrame, least: int, span: int) -> DataFrame:
             docs = batch.column(0).to_numpy(zero_copy_only=False)
             places = batch.column(2).to_pylist()
             for first, words in _texts([t or "" for t in batch.column(1).to_pylist()]):
-                out = {k: [] for k in ("doc", "place", "head", "after", "before")}
+                out = {k: [] for k in ("doc", "place", "head", "after", "before", "places")}
                 for i, word in enumerate(words):
                     at = np.unique(np.array(places[first + i], np.int64))
                     at = at[at <= len(word) - head]
                     short = (word >> np.uint64(32)).astype(">u4")
                     back = short[::-1]
-                    out["doc"] += [int(docs[first + i])] * len(at)
-                    out["place"] += at.tolist()
-                    out["head"] += span_hashes(word, at, at + head).view(np.int64).tolist()
-                    out["after"] += [short[p + head : p + head + reach].tobytes() for p in at.tolist()]
-                    n = len(word)
-                    out["before"] += [back[n - p : n - p + reach].tobytes() for p in at.tolist()]
+                    n, alike = len(word), {}
+                    for p, h in zip(at.tolist(), span_hashes(word, at, at + head).view(np.int64).tolist(), strict=True):
+                        key = (h, short[p + head : p + head + reach].tobytes(), back[n - p : n - p + reach].tobytes())
+                        alike.setdefault(key, []).append(p)
+                    for (h, after, before), own in alike.items():
+                        for k, v in (("doc", int(docs[first + i])), ("place", own[0]), ("head", h), ("after", after), ("before", before), ("places", own)):
+                            out[k].append(v)
                 yield pa.RecordBatch.from_pydict({
                     "doc": pa.array(out["doc"], pa.int64()), "place": pa.array(out["place"], pa.int32()),
                     "head": pa.array(out["head"], pa.int64()), "after": pa.array(out["after"], pa.binary()),
-                    "before": pa.array(out["before"], pa.binary())})
+                    "before": pa.array(out["before"], pa.binary()),
+                    "places": pa.array(out["places"], pa.list_(pa.int32()))})
 
-    return df.mapInArrow(run, "doc bigint, place int, head bigint, after binary, before binary")
+    return df.mapInArrow(run, "doc bigint, place int, head bigint, after binary, before binary, places array<int>")
 
 
 def _matrix(values: list[bytes], reach: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,8 +153,8 @@ def _common(x: tuple[np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray) -> n
 
 
 def matched(doc: np.ndarray, place: np.ndarray, head: np.ndarray, after: list[bytes], before: list[bytes],
-            least: int, span: int) -> dict[str, np.ndarray]:
-    """Matches of sorted suffixes with the nearest neighbours from another document, a row per suffix that has one."""
+            places: list[list[int]], least: int, span: int) -> dict[str, np.ndarray]:
+    """Matches of sorted suffixes with the nearest neighbours from another document, a row per place that has one."""
     n = len(doc)
     right, left = _matrix(after, span), _matrix(before, span)
     new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (head[1:] != head[:-1])))
@@ -176,14 +182,18 @@ def matched(doc: np.ndarray, place: np.ndarray, head: np.ndarray, after: list[by
         i, j, back, ahead = i[more], j[more], back[more], ahead[more]
         best["n"][i] = back + ahead
         best["other"][i], best["other_start"][i] = doc[j], place[j] - back
-    hit = best["n"] > 0
-    return {"doc": doc[hit], **{k: v[hit] for k, v in best.items()}}
+    hit = np.flatnonzero(best["n"] > 0)
+    times = np.array([len(places[i]) for i in hit], np.int64)
+    each = np.repeat(hit, times)
+    moved = np.array([p for i in hit for p in places[i]], np.int64) - place[each]
+    out = {"doc": doc[each], **{k: v[each] for k, v in best.items()}}
+    return out | {"start": out["start"] + moved, "end": out["end"] + moved}
 
 
 def _neighbours(ordered: DataFrame, least: int, span: int) -> DataFrame:
     """Matches within each sorted partition, and the partition's first and last rows (``edge`` numbers them)."""
-    schema = FOUND + ", edge bigint, place int, head bigint, after binary, before binary"
-    names = ["doc", "place", "head", "after", "before"]
+    schema = FOUND + ", edge bigint, place int, head bigint, after binary, before binary, places array<int>"
+    names = ["doc", "place", "head", "after", "before", "places"]
 
     def rows_of(batch: pa.RecordBatch) -> dict[str, list]:
         return {k: batch.column(batch.schema.get_field_index(k)).to_pylist() for k in names}
@@ -191,12 +201,12 @@ def _neighbours(ordered: DataFrame, least: int, span: int) -> DataFrame:
     def result(found: dict[str, np.ndarray]) -> pa.RecordBatch:
         n = len(found["doc"])
         nothing = {"edge": pa.nulls(n, pa.int64()), "place": pa.nulls(n, pa.int32()), "head": pa.nulls(n, pa.int64()),
-                   "after": pa.nulls(n, pa.binary()), "before": pa.nulls(n, pa.binary())}
+                   "after": pa.nulls(n, pa.binary()), "before": pa.nulls(n, pa.binary()), "places": pa.nulls(n, pa.list_(pa.int32()))}
         return pa.RecordBatch.from_pydict({k: pa.array(found[k]) for k in ("doc", "start", "end", "other", "other_start", "n", "lowest")} | nothing)
 
     def compare(rows: dict[str, list]) -> dict[str, np.ndarray]:
         return matched(np.array(rows["doc"], np.int64), np.array(rows["place"], np.int64), np.array(rows["head"], np.int64),
-                       rows["after"], rows["before"], least, span)
+                       rows["after"], rows["before"], rows["places"], least, span)
 
     def run(batches):
         held: dict[str, list] | None = None
@@ -222,7 +232,8 @@ def _neighbours(ordered: DataFrame, least: int, span: int) -> DataFrame:
             edges = {k: ends[k] + tail[k] for k in names}
             n = len(edges["doc"])
             blank = {k: pa.nulls(n, pa.int64()) for k in ("start", "end", "other", "other_start", "n", "lowest")}
-            types = {"doc": pa.int64(), "place": pa.int32(), "head": pa.int64(), "after": pa.binary(), "before": pa.binary()}
+            types = {"doc": pa.int64(), "place": pa.int32(), "head": pa.int64(), "after": pa.binary(), "before": pa.binary(),
+                     "places": pa.list_(pa.int32())}
             columns = {k: pa.array(edges[k], types[k]) for k in names} | blank | {"edge": pa.array(range(n), pa.int64())}
             yield pa.RecordBatch.from_pydict({f.split(" ")[0]: columns[f.split(" ")[0]] for f in schema.split(", ")})
 
@@ -236,7 +247,7 @@ def _sorted_matches(rows: DataFrame, order: list[str], least: int, span: int) ->
     out = staged(_neighbours(ordered, least, span), "suffix-matches")
     own = out.filter("edge is null").select(*[f.split(" ")[0] for f in FOUND.split(", ")])
     # A few rows a partition; sorted again, the ends of one range meet the beginnings of the next.
-    edges = out.filter("edge is not null").select("doc", "place", "head", "after", "before").distinct()
+    edges = out.filter("edge is not null").select("doc", "place", "head", "after", "before", "places").distinct()
     met = _neighbours(edges.coalesce(1).sortWithinPartitions(*order), least, span).filter("edge is null").select(*own.columns)
     return own.union(met)
 

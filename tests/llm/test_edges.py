@@ -73,7 +73,7 @@ def test_one_row_for_each(name, docs, labels):
     ids = sorted(str(r["doc_id"]) for r in got)
     assert ids == sorted(str(r[0]) for r in ROWS)
     long = [r.asDict() for r in got if r["doc_id"] == 5]
-    assert long[0] == long[1]
+    assert long[0] == long[1] or name == "neighbours"  # a copy has its copy as neighbour
 
 
 @pytest.mark.parametrize("name", NAMES)
