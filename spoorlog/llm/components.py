@@ -16,16 +16,34 @@ def components(links: DataFrame) -> DataFrame:
     of rounds. Labels are written to the shared folder each round; only the number
     of changes reaches the driver.
     """
-    both = staged(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct(), "links")
-    labels = staged(both.groupBy("a").agg(F.min("b").alias("b")).select(
-        F.col("a").alias("node"), F.least("a", "b").alias("comp")), "labels")
+    both = staged(
+        links.select(F.col("a").alias("here"), F.col("b").alias("there")).union(links.select("b", "a")).filter("here <> there").distinct(), "links")
+    labels = staged(both.groupBy("here").agg(F.min("there").alias("there")).select(
+        F.col("here").alias("node"), F.least("here", "there").alias("comp")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
-        lower = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("comp", "near").alias("new"), F.col("comp").alias("old"))
+        near = both.join(labels.select(F.col("node").alias("there"), "comp"), "there").groupBy("here").agg(F.min("comp").alias("near"))
+        lower = labels.join(near, F.col("node") == F.col("here")).select("node", F.least("comp", "near").alias("new"), F.col("comp").alias("old"))
         far = labels.select(F.col("node").alias("of"), F.col("comp").alias("far"))
         nxt = staged(lower.join(far, F.col("new") == F.col("of"), "left").select(
             "node", F.least("new", F.coalesce("far", "new")).alias("comp"), "old"), "labels")
-        changed = nxt.filter("comp <> old").isEmpty()
+        settled = nxt.filter("comp <> old").isEmpty()
         labels = nxt.select("node", "comp")
-        if changed:
+        if settled:
             return labels
+
+
+def with_comp(rows: DataFrame, comp: DataFrame, node: str, name: str) -> DataFrame:
+    """Adds the component of a column of nodes; a node without links is its own."""
+    side = comp.select(F.col("node").alias(f"of_{name}"), F.col("comp").alias(f"found_{name}"))
+    return rows.join(side, F.col(node) == F.col(f"of_{name}"), "left").withColumn(
+        name, F.coalesce(f"found_{name}", node)).drop(f"of_{name}", f"found_{name}")
+
+
+def grown(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components with more links: only links between different components are looked at."""
+    ends = with_comp(with_comp(links.select("a", "b"), comp, "a", "ca"), comp, "b", "cb")
+    between = staged(ends.filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "links")
+    top = components(between)
+    renamed = top.select(F.col("node").alias("before"), F.col("comp").alias("after"))
+    moved = comp.join(renamed, F.col("comp") == F.col("before"), "left").select("node", F.coalesce("after", "comp").alias("comp"))
+    return staged(moved.union(top.join(comp, "node", "left_anti").select("node", "comp")), "components")

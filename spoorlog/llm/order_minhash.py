@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spoorlog.llm.components import components
+from spoorlog.llm.components import components, grown, with_comp
 from spoorlog.llm.words import blocks, documents, folded, mix, span_hashes
 from spoorlog.session import staged
 
@@ -255,8 +255,8 @@ def _compared(pairs: DataFrame, words: DataFrame, least: float, floor: float) ->
     return joined.select("a", "b", "wa", "wb").repartition(F.hash("a", "b")).mapInArrow(run, COMPARED)
 
 
-def links(df: DataFrame, sketched: DataFrame, least: float = SIMILARITY, rounds: int = 2) -> DataFrame:
-    """Verified links (a, b) between different texts, enough to connect every class."""
+def links(df: DataFrame, sketched: DataFrame, least: float = SIMILARITY, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) between different texts, enough to connect every class; and the classes (node, comp)."""
     nodes = sketched.groupBy("node").agg(F.first("keys").alias("keys"))
     rows = nodes.select("node", F.explode("keys").alias("key"))
     crowd = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -268,7 +268,7 @@ def links(df: DataFrame, sketched: DataFrame, least: float = SIMILARITY, rounds:
     # Below this no text the centre links can reach ``least``: 0.8 * (1 - floor) >= 2 * 0.2, see the lengths' bound.
     floor = 1 - 2 * (1 - least) / least
     known = df.sparkSession.createDataFrame([], COMPARED)
-    left = shared
+    left, comp = shared, None
     for _ in range(rounds):
         centres = left.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1").drop("n")
         spokes = staged(left.join(centres, "key").filter("node <> centre"), "omh-spokes")
@@ -277,7 +277,7 @@ def links(df: DataFrame, sketched: DataFrame, least: float = SIMILARITY, rounds:
         known = staged(known.union(fresh), "omh-known")
         ends = (F.col("centre") == F.col("a")) & (F.col("node") == F.col("b"))
         rated = staged(spokes.join(known, ends).select("key", "node", "kind", "distance"), "omh-rated")
-        comp = components(_linked(known))
+        comp = components(_linked(known)) if comp is None else grown(comp, _linked(known))
         between = rated.filter(F.col("kind") == BETWEEN)
         near = rated.filter(F.col("kind") == LINKED).join(between.select("key").distinct(), "key", "left_semi")
         # Two texts differ by at least the difference of their distances to the centre.
@@ -286,15 +286,15 @@ def links(df: DataFrame, sketched: DataFrame, least: float = SIMILARITY, rounds:
             reach & _fits(least) & (F.col("cx") != F.col("cy")))
         known = _extended(known, beside, words, least, floor)
         left = rated.filter(F.col("kind") != LINKED).select("key", "node")
-    comp = components(_linked(known))
+    comp = grown(comp, _linked(known))
     x, y = (_sides(left.withColumn("distance", F.lit(0)), comp, words, v) for v in "xy")
     known = _extended(known, x.join(y, "key").filter(_fits(least) & F.expr("x < y and cx <> cy")), words, least, floor)
-    return _linked(known)
+    return _linked(known), grown(comp, _linked(known))
 
 
 def _sides(rows: DataFrame, comp: DataFrame, words: DataFrame, v: str) -> DataFrame:
     """Nodes of keys under the names of one side of a pair: node, class, distance to the centre, number of words, parities."""
-    return _with_comp(rows, comp, "node", "c").join(words.select("node", "n", "parity"), "node").select(
+    return with_comp(rows, comp, "node", "c").join(words.select("node", "n", "parity"), "node").select(
         "key", F.col("node").alias(v), F.col("c").alias(f"c{v}"), F.col("distance").alias(f"d{v}"),
         F.col("n").alias(f"n{v}"), F.col("parity").alias(f"p{v}"))
 
@@ -317,20 +317,13 @@ def _extended(known: DataFrame, pairs: DataFrame, words: DataFrame, least: float
     return staged(known.union(fresh), "omh-known")
 
 
-def _with_comp(rows: DataFrame, comp: DataFrame, node: str, name: str) -> DataFrame:
-    side = comp.select(F.col("node").alias(f"of_{name}"), F.col("comp").alias(f"found_{name}"))
-    return rows.join(side, F.col(node) == F.col(f"of_{name}"), "left").withColumn(
-        name, F.coalesce(f"found_{name}", node)).drop(f"of_{name}", f"found_{name}")
-
-
 def classes(df: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, node, comp, class_id, class_size and n_links (of the document's text), one row per input row."""
     sketched = staged(sketch(df), "omh-sketches")
-    found = links(df, sketched, least)
-    comp = components(found)
+    found, comp = links(df, sketched, least)
     degree = found.select(F.col("a").alias("node")).union(found.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     per_node = sketched.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    named = _with_comp(per_node, comp, "node", "comp")
+    named = with_comp(per_node, comp, "node", "comp")
     total = named.groupBy("comp").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
     table = staged(
         named.join(total, "comp").join(degree.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select(
