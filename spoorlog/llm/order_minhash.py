@@ -6,7 +6,9 @@ two labelled k-mers with the smallest keyed hashes and keeps them in text order,
 so it agrees for texts that are close in edits, not just in content. A few
 sketches make a band key; texts that share a key are candidates. Some bands take
 runs of five words, as shingles do, others runs of two, of which scattered edits
-leave more whole. A candidate
+leave more whole; short texts also have bands of single words. Their numbers are
+chosen so that a pair at the threshold, edited anywhere, shares a key with a
+probability of about 0.95. A candidate
 pair is linked if its word edit similarity, 1 - distance / longer length, is
 0.8 or more, by alignment in a band as wide as that allows. Classes are the
 connected components of links.
@@ -39,8 +41,8 @@ from spoorlog.llm.components import components, grown, with_comp
 from spoorlog.llm.words import blocks, documents, folded, mix, span_hashes
 from spoorlog.session import staged
 
-#: Words in a k-mer, bands of that kind, and sketches in a band.
-KMERS = ((5, 16, 3), (2, 36, 4))
+#: Words in a k-mer, bands of that kind, sketches in a band, and the most words of a text that has such bands (None: any).
+KMERS = ((5, 16, 3, None), (2, 80, 2, None), (1, 48, 3, 24))
 SIMILARITY = 0.8
 LINKED, BETWEEN, FAR = 0, 1, 2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -89,10 +91,10 @@ def sketches(kmers: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(texts: list[str], kmers: tuple[tuple[int, int, int], ...] = KMERS) -> Iterator[list[np.ndarray]]:
+def band_keys(texts: list[str], kmers: tuple[tuple[int, int, int, int | None], ...] = KMERS) -> Iterator[list[np.ndarray]]:
     """Band keys of each text, block by block; none for a text without words."""
-    drawn = [keyed(bands * rows, seed=k) for k, bands, rows in kmers]
-    tags = [mix(np.arange(1, bands + 1, dtype=np.uint64) + np.uint64(k << 32)) for k, bands, _ in kmers]
+    drawn = [keyed(bands * rows, seed=k) for k, bands, rows, _ in kmers]
+    tags = [mix(np.arange(1, bands + 1, dtype=np.uint64) + np.uint64(k << 32)) for k, bands, _, _ in kmers]
     for _, block in blocks(texts):
         starts, ends = block.space_words()
         word = span_hashes(folded(block.codes), starts, ends)
@@ -100,9 +102,9 @@ def band_keys(texts: list[str], kmers: tuple[tuple[int, int, int], ...] = KMERS)
         out = []
         for lo, hi in zip(bound[:-1], bound[1:], strict=True):
             keys = [np.zeros(0, np.int64)]
-            for (k, bands, rows), (a, b), tag in zip(kmers, drawn, tags, strict=True):
+            for (k, bands, rows, most), (a, b), tag in zip(kmers, drawn, tags, strict=True):
                 size = min(k, hi - lo)
-                if not size:
+                if not size or most is not None and hi - lo > most:
                     continue
                 at = np.arange(hi - lo - size + 1)
                 found = sketches(span_hashes(word[lo:hi], at, at + size), a, b).reshape(bands, rows)
@@ -114,7 +116,7 @@ def band_keys(texts: list[str], kmers: tuple[tuple[int, int, int], ...] = KMERS)
         yield out
 
 
-def sketch(df: DataFrame, kmers: tuple[tuple[int, int, int], ...] = KMERS) -> DataFrame:
+def sketch(df: DataFrame, kmers: tuple[tuple[int, int, int, int | None], ...] = KMERS) -> DataFrame:
     """doc_id, node, keys (array of bigint) of every row."""
 
     def run(batches):

@@ -108,3 +108,31 @@ def test_components(spark, n):
     chain = [(bytes([i]), bytes([i + 1])) for i in range(n)] + [(b"\xf0", b"\xf1"), (b"\xf1", b"\xf0"), (b"\xf0", b"\xf0")]
     got = {r.node: r.comp for r in components(spark.createDataFrame(chain, "a binary, b binary")).collect()}
     assert got == {bytes([i]): b"\x00" for i in range(n + 1)} | {b"\xf0": b"\xf0", b"\xf1": b"\xf0"}
+
+
+@pytest.mark.parametrize("n, similarity, least", [(100, 0.8, 0.9), (300, 0.8, 0.9), (100, 0.85, 0.95), (100, 0.9, 0.95), (25, 0.8, 0.85),
+                                                   (20, 0.8, 0.9), (10, 0.8, 0.9), (10, 0.9, 0.95), (5, 0.8, 0.85)])
+def test_lone_pairs_at_the_threshold_are_candidates(n, similarity, least):
+    rng, pairs = random.Random(5), 120
+    texts = []
+    for p in range(pairs):
+        words = [f"w{rng.getrandbits(40)}" for _ in range(n)]
+        edited = words[:]
+        for i in rng.sample(range(n), round(n * (1 - similarity))):
+            edited[i] = f"x{rng.getrandbits(40)}"
+        texts += [" ".join(words), " ".join(edited)]
+    keys = [set(k.tolist()) for block in O.band_keys(texts) for k in block]
+    assert sum(bool(keys[i] & keys[i + 1]) for i in range(0, len(texts), 2)) >= least * pairs
+
+
+def test_lone_pairs_are_one_class(docs):
+    rng = random.Random(8)
+    texts = []
+    for n in (5, 10, 30, 100) * 10:
+        words = [f"w{rng.getrandbits(40)}" for _ in range(n)]
+        edited = words[:]
+        for i in rng.sample(range(n), n // 5):
+            edited[i] = f"x{rng.getrandbits(40)}"
+        texts += [" ".join(words), " ".join(edited)]
+    got = {r.doc_id: r.class_id for r in O.classes(docs(texts)).collect()}
+    assert sum(got[i] == got[i + 1] for i in range(0, len(texts), 2)) >= 34
