@@ -8,7 +8,9 @@ bare values and other names joined by ``+``. Strings given to names are
 constants; where a name is used in a later value, or inside a string as
 ``${name}``, its string flows on to the new target. Each literal is scored by the
 most sensitive name it reaches, times how much it looks like a credential, and
-literals from 0.5 up are ``named`` spans unless a plain pattern has them.
+literals from 0.5 up are ``named`` spans unless a plain pattern has them. In a
+typed declaration (``name: type =``, ``name type =``) the name is the target; a
+type that a plain pattern takes for the value is not masked when the literal is.
 
 Spans are code points, end exclusive. Null text is empty and has no spans; rows
 are independent, so repeated rows repeat. Work is linear in the text's length.
@@ -54,6 +56,17 @@ BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>+|&]+""")
 NAME = re.compile(r"[A-Za-z_$][\w.$-]*+", re.A)
 HOLE = re.compile(r"\$\{?([A-Za-z_]\w*)\}?", re.A)
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", re.A)
+#: A type between a colon and an equals sign.
+TYPED = re.compile(
+    r"""[ \t]*+[&*]*+(?:'\w++[ \t]++)?+(?:mut[ \t]++)?+([A-Za-z_][\w.]*+)(?:[\[<][^\n=;:"'`]{0,80}[\]>])?(?:\[\]){0,4}\??"""
+    r"""(?:[ \t]*+\|[ \t]*+[A-Za-z_][\w.]*+(?:[\[<][^\n=;:"'`|]{0,80}[\]>])?(?:\[\]){0,4}){0,8}[ \t]*+:?=(?![=>])""", re.A)
+TYPES = frozenset(
+    "str string text char varchar nvarchar wstring cstring ansistring nsstring unicode bytes byte bytearray rune any object unknown "
+    "never null undefined none nil optional union final classvar literal annotated readonly partial list array dict map hashmap "
+    "record tuple set sequence mapping iterable vec option box cow arc rc int integer long short uint int8 int16 int32 int64 uint8 "
+    "uint16 uint32 uint64 u8 u16 u32 u64 i8 i16 i32 i64 usize float float32 float64 double f32 f64 decimal number bool boolean uuid".split())
+DECLARES = frozenset(("var", "const"))
+KEYWORDS = DECLARES | frozenset(("let", "val", "static", "final", "public", "private", "protected", "readonly", "export", "mut"))
 NAME_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.$-")
 
 Span = tuple[int, int]
@@ -89,6 +102,34 @@ def name_before(text: str, end: int) -> str:
     return text[start:end].lstrip("-.")
 
 
+def is_type(word: str) -> bool:
+    return word.rpartition(".")[2].lower() in TYPES
+
+
+def targets(text: str, at: int, sign: str) -> list[str]:
+    """The names that a separator at ``at`` gives its value to; in ``name type =`` the name, and the type's too if it may be one."""
+    word = name_before(text, at)
+    if sign != "=" or not word:
+        return [word] if word else []
+    end = at
+    while text[end - 1] in " \t":
+        end -= 1
+    if text[end - 1] in "\"'`":
+        return [word]
+    before = end - len(word)
+    while before and text[before - 1] in "*[]":
+        before -= 1
+    if not before or text[before - 1] not in " \t":
+        return [word]
+    name = name_before(text, before)
+    if not name or name in KEYWORDS:
+        return [word]
+    if is_type(word):
+        return [name]
+    start = text.rfind(name, 0, before)
+    return [name, word] if name_before(text, start) in DECLARES and text[start - 1] in " \t" else [word]
+
+
 def operands(text: str, at: int) -> tuple[list[tuple[str, int, int]], int]:
     """Strings, bare values and names of an expression from ``at``, joined by plus signs; and its end."""
     out: list[tuple[str, int, int]] = []
@@ -112,35 +153,60 @@ def operands(text: str, at: int) -> tuple[list[tuple[str, int, int]], int]:
         at = after + 1
 
 
-def named_literals(text: str, limit: float = 0.5) -> list[Span]:
-    """Literals that reach a sensitive name, in order."""
-    constants: dict[str, list[Span]] = {}
-    best: dict[Span, float] = {}
+def declared_literals(text: str, limit: float = 0.5) -> tuple[list[Span], list[Span]]:
+    """Literals that reach a sensitive name, in order; and the types that stand before such literals of typed declarations."""
+    constants: dict[str, int] = {}  # the last assignment of each name
+    weights: list[float] = []  # of each assignment
+    parts_of: list[dict[Span | int, None]] = []  # its literals and the assignments it takes its other values from
+    types: list[tuple[Span, list[Span]]] = []
     at = 0
     while m := SEPARATOR.search(text, at):
-        name = name_before(text, m.start())
-        parts, at = operands(text, m.end()) if name else ([], m.end())
-        at = max(at, m.end())
-        values: list[Span] = []
+        begin, kind_of = m.end(), None
+        names = targets(text, m.start(), m[0])
+        if m[0] == ":" and (typed := TYPED.match(text, m.end())):
+            name = name_before(text, m.start() - (text[m.start() - 1 : m.start()] in ("?", "!")))
+            if name and operands(text, typed.end())[0]:
+                begin, kind_of = typed.end(), typed.span(1)
+                names = [name] if is_type(typed[1]) else [name, typed[1]]
+        parts, at = operands(text, begin) if names else ([], begin)
+        at = max(at, begin)
+        values: dict[Span | int, None] = {}
         for kind, start, end in parts:
             known = constants.get(text[start:end]) if kind == "name" else None
-            values.extend(known or [(start, end)])
+            values[(start, end) if known is None else known] = None
             if kind != "name":
                 for hole in HOLE.finditer(text, start, end):
-                    values.extend(constants.get(hole[1], []))
+                    if hole[1] in constants:
+                        values[constants[hole[1]]] = None
         if len(parts) == 1 and parts[0][0] == "bare" and text[m.start()] == ":" and "//" in text[m.start() : m.start() + 3]:
             continue  # an address, not an assignment
-        if name and values:
-            constants[name] = values
-            weight = name_score(name)
-            for span in values:
-                score = weight * literal_score(text[span[0] : span[1]]) if weight else 0.0
-                best[span] = max(best.get(span, 0.0), score)
+        if names and values:
+            if kind_of and is_type(text[slice(*kind_of)]):
+                types.append((kind_of, [(a, b) for _, a, b in parts]))
+            elif kind_of and any(c.isdigit() for c in text[slice(*kind_of)]):
+                values[kind_of] = None  # rather a value than a type
+            for name in names:
+                constants[name] = len(weights)
+            weights.append(max(map(name_score, names)))
+            parts_of.append(values)
             if parts[-1][0] != "string":  # a bare value may itself be name=value
-                at = max(m.end(), parts[-1][1])
+                at = max(begin, parts[-1][1])
                 if SEPARATOR.search(text, at, parts[-1][2]) is None:
                     at = max(at, parts[-1][2])
-    return sorted(s for s, score in best.items() if score >= limit)
+    best: dict[Span, float] = {}
+    for i in range(len(weights) - 1, -1, -1):  # an assignment's values are older than itself
+        for value in parts_of[i]:
+            if isinstance(value, int):
+                weights[value] = max(weights[value], weights[i])
+            else:
+                best[value] = max(best.get(value, 0.0), weights[i])
+    found = {s for s, w in best.items() if w and w * literal_score(text[s[0] : s[1]]) >= limit}
+    return sorted(found), [t for t, own in types if any(s in found for s in own)]
+
+
+def named_literals(text: str, limit: float = 0.5) -> list[Span]:
+    """Literals that reach a sensitive name, in order."""
+    return declared_literals(text, limit)[0]
 
 
 def scan(text: str) -> tuple[list[tuple[str, int, int]], list[Span]]:
@@ -161,7 +227,10 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[Span]]:
     secret += [(a, b) for kind, a, b in spans if kind != "assign"]
     if separated:
         base = sorted((a, b) for _, a, b in spans)
-        for a, b in named_literals(text):
+        named, types = declared_literals(text)
+        beginnings = {a: b for a, b in types}
+        secret = [(a, b) for a, b in secret if a not in beginnings or text[a:b].rstrip("=") != text[a : beginnings[a]]]
+        for a, b in named:
             if not any(x < b and a < y for x, y in base):
                 spans.append(("named", a, b))
                 secret.append((a, b))

@@ -57,3 +57,24 @@ def test_query_columns(docs):
     assert row.base_sha256 == hashlib.sha256(base(text).encode()).hexdigest() and row.spans == base(text)
     masked = S.mask_secrets(docs([text])).first()
     assert masked.text == 'x password="[REDACTED]" [REDACTED] [REDACTED]' and masked.n_chars == len(masked.text)
+
+
+def test_typed_declarations():
+    secret = "Zx9-qq!Lm3"
+    for text in ('db_password: str = "{}"', 'db_password:str="{}"', "def f(self, auth_pwd: Optional[str] = '{}'):", 'pwd: dict[str, str] | None = "{}"',
+                 'const apiToken: string = "{}";', 'const apiToken:string="{}";', 'private apiToken?: string = "{}";', "let userSecret: string | null = '{}'",
+                 'var password string = "{}"', 'const apiKey string = "{}"', "const (\n\tpassword string = `{}`\n)", 'var password Phrase = "{}"',
+                 'const API_KEY: &\'static str = "{}";', 'val password: String = "{}"', "password : String := '{}';", 'String dbPwd = "{}"',
+                 'const std::string dbPwd = "{}"'):
+        assert S.masked(text.format(secret)) == text.format(S.MASK), text
+    assert found('title: str = "Zx81kQpT44mw"') == found('var title string = "Zx81kQpT44mw"') == []
+    assert found('part: str = "Zx81kQpT44mw"\nvar auth_pwd string = part') == ["Zx81kQpT44mw"]
+    assert found('pwd: Zx81kQpT44mw = "q8Zt55pLmW"') == ["Zx81kQpT44mw", "q8Zt55pLmW"]
+    assert S.scan('apiToken: string = "Zx9-qq!Lm3"')[0][0] == ("assign", 3, 16)  # the plain pattern's own span stays
+
+
+def test_constants_do_not_double():
+    names = [f"{chr(97 + i % 26)}{i}" for i in range(5000)]
+    text = f'{names[0]} = "Zx81kQpT44mw"\n' + "".join(f'{y} = {x} + {x} + "q8Zt55pLm{y}"\n' for x, y in zip(names, names[1:]))
+    assert found(text) == []
+    assert len(found(text + f"auth_pwd = {names[-1]}\n")) == 5000
