@@ -31,8 +31,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of each document taken."""
-    return pieces.encode_documents(docs, pieces.Encoder())
+    """The pieces of each document taken, each copy of one cut apart."""
+    return pieces.encode_documents(docs, pieces.Encoder(), copies=True)
 
 
 STAGES = [

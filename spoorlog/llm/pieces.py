@@ -4,10 +4,12 @@ The model's vocabulary and scores come from its file, whose path is a parameter;
 nothing is trained. A text is cut into units, a run of spaces with the word
 behind it, which no piece crosses. In each unit the best-scored neighbours merge
 first, leftmost on ties. A candidate merge that comes to the front is skipped if
-a hash of seed, variant, unit and the two spans falls below ``dropout``; a
-skipped candidate never returns. Each occurrence of a unit draws one of
-``variants`` by a hash of seed, document and place, so one word is cut in
-several ways. Dropout 0 gives the model's own segmentation.
+a hash of seed, document, copy, place, unit and the two spans falls below
+``dropout``; a skipped candidate never returns. So each occurrence of a unit, in
+each copy of a document, has draws of its own. The model's own segmentation of a
+unit is found once a block and serves the occurrences whose draws skip none of
+its merges; the others merge for themselves. Dropout 0 gives the model's own
+segmentation.
 
 Nothing is normalised: characters outside the vocabulary, and the space mark
 itself, become byte pieces, and a space put before the text goes again, so
@@ -24,7 +26,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from spoorlog.llm.words import TABLE, blocks, documents, mix, span_hashes
 
@@ -33,6 +36,7 @@ MARK = "▁"
 SHORT = 48
 NEVER = np.int64(1) << np.int64(62)
 BYTE = -1
+WORD = (1 << 64) - 1
 
 
 class Vocabulary:
@@ -103,9 +107,20 @@ def dropped(key: np.ndarray, left: np.ndarray, middle: np.ndarray, right: np.nda
     return (mix(key ^ mix(spans)) >> np.uint64(11)).astype(np.float64) < dropout * float(1 << 53)
 
 
-def agenda(vocab: Vocabulary, symbols: np.ndarray, key: np.uint64, dropout: float) -> tuple[list[int], list[int]]:
-    """Piece and start of each symbol left in one unit, merging through a heap."""
-    n = len(symbols)
+def skipped(key: int, left: int, middle: int, right: int, dropout: float) -> bool:
+    """``dropped`` for one merge."""
+    x = left | middle << 21 | right << 42
+    for _ in range(2):  # mix, twice
+        x &= WORD
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & WORD
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & WORD
+        x = x ^ x >> 31 ^ key
+    return (x ^ key) >> 11 < dropout * float(1 << 53)
+
+
+def agenda(vocab: Vocabulary, symbols: np.ndarray, key: np.uint64, dropout: float, log: list | None = None) -> tuple[list[int], list[int]]:
+    """Piece and start of each symbol left in one unit, merging through a heap; ``log`` takes the merges' spans."""
+    n, key = len(symbols), int(key)
     piece, after, before = symbols.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
     alive, heap = [True] * n, []
 
@@ -122,8 +137,10 @@ def agenda(vocab: Vocabulary, symbols: np.ndarray, key: np.uint64, dropout: floa
         place, i, j, end = heapq.heappop(heap)
         if not (alive[i] and j < n and alive[j] and after[i] == j and after[j] == end):
             continue
-        if dropout and dropped(np.array([key], np.uint64), *(np.array([x]) for x in (i, j, end)), dropout)[0]:
+        if dropout and skipped(key, i, j, end, dropout):
             continue
+        if log is not None:
+            log.append((i, j, end))
         piece[i], after[i], alive[j] = int(vocab.piece_of[place]), end, False
         if end < n:
             before[end] = i
@@ -134,10 +151,12 @@ def agenda(vocab: Vocabulary, symbols: np.ndarray, key: np.uint64, dropout: floa
     return [piece[i] for i in left], left
 
 
-def merge_all(vocab: Vocabulary, symbols: np.ndarray, starts: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+def merge_all(vocab: Vocabulary, symbols: np.ndarray, starts: np.ndarray, keys: np.ndarray, dropout: float,
+              log: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Merge many short units at once; gives pieces by place and which places are left.
 
-    ``symbols`` holds the units one after another, ``starts`` where each begins.
+    ``symbols`` holds the units one after another, ``starts`` where each begins;
+    ``log`` takes arrays of (unit, left, middle, right) of the merges.
     """
     n = len(symbols)
     sizes = np.diff(np.append(starts, n))
@@ -170,6 +189,8 @@ def merge_all(vocab: Vocabulary, symbols: np.ndarray, starts: np.ndarray, keys:
             break
         i = best & np.int64(0xFFFFFFFF)
         j = after[i]
+        if log is not None:
+            log.append(np.stack((unit[i], i - first[i], j - first[i], after[j] - first[i])))
         piece[i] = vocab.piece_of[best >> np.int64(32)]
         after[i] = after[j]
         alive[j] = False
@@ -187,12 +208,18 @@ def merge_all(vocab: Vocabulary, symbols: np.ndarray, starts: np.ndarray, keys:
 class Encoder:
     """Texts to pieces and back; the same arguments always give the same pieces."""
 
-    def __init__(self, path: str = DEFAULT_MODEL, dropout: float = 0.1, seed: int = 0, variants: int = 4) -> None:
-        self.path, self.dropout, self.seed, self.variants = path, dropout, seed, variants
+    def __init__(self, path: str = DEFAULT_MODEL, dropout: float = 0.1, seed: int = 0) -> None:
+        self.path, self.dropout, self.seed = path, dropout, seed
 
-    def encode(self, texts: list[str], names: np.ndarray, limit: int = 1 << 21) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Blocks of (pieces, cuts): text i of a block has pieces[cuts[i]:cuts[i + 1]]. ``names`` number the documents."""
-        return [self._block(block.codes, block.text_at, names[first : first + block.n]) for first, block in blocks(texts, limit)]
+    def encode(self, texts: list[str], names: np.ndarray, limit: int = 1 << 21, copies: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Blocks of (pieces, cuts): text i of a block has pieces[cuts[i]:cuts[i + 1]].
+
+        ``names`` number the documents, ``copies`` the copies of each.
+        """
+        own = mix(names.astype(np.uint64) ^ np.uint64(self.seed + 1))
+        if copies is not None:
+            own = mix(own + copies.astype(np.uint64))
+        return [self._block(block.codes, block.text_at, own[first : first + block.n]) for first, block in blocks(texts, limit)]
 
     def _block(self, codes: np.ndarray, text_at: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         vocab = vocabulary(self.path)
@@ -214,18 +241,34 @@ class Encoder:
         text = own[starts]
         first_unit = np.searchsorted(text, np.arange(n_text))
         seat = np.arange(len(starts)) - first_unit[text]
-        draw = mix(mix(names.astype(np.uint64) ^ np.uint64(self.seed + 1))[text] + seat.astype(np.uint64))
-        variant = draw % np.uint64(self.variants) if self.dropout else np.zeros(len(starts), np.uint64)
-        keys = mix(span_hashes(x, starts, ends) + variant * np.uint64(0x9E3779B97F4A7C15) + np.uint64(self.seed))
-        unique, example, which = np.unique(keys, return_index=True, return_inverse=True)
-        pieces, cuts = self._units(vocab, x, starts[example], ends[example], unique)
-        count = np.diff(cuts)[which]
+        units = span_hashes(x, starts, ends)
+        unique, example, which = np.unique(units, return_index=True, return_inverse=True)
+        log: list[np.ndarray] | None = [] if self.dropout else None
+        pieces, cuts = self._units(vocab, x, starts[example], ends[example], unique, 0.0, log)
+        begin, count = cuts[which], np.diff(cuts)[which]
+        if log:
+            keys = mix(units + mix(names[text] + seat.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(self.seed))
+            again = self._skipping(np.concatenate(log, axis=1), len(unique), which, keys)
+            more, at = self._units(vocab, x, starts[again], ends[again], keys[again], self.dropout)
+            begin[again], count[again] = len(pieces) + at[:-1], np.diff(at)
+            pieces = np.concatenate((pieces, more))
         total = np.concatenate(([0], np.cumsum(count)))
-        flat = np.arange(total[-1]) + np.repeat(cuts[which] - total[:-1], count)
+        flat = np.arange(total[-1]) + np.repeat(begin - total[:-1], count)
         return pieces[flat], total[np.append(first_unit, len(starts))]
 
-    def _units(self, vocab: Vocabulary, x: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces of each unit, one after another, and where each unit's begin."""
+    def _skipping(self, merges: np.ndarray, n: int, which: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The occurrences whose draws skip a merge (unit, left, middle, right) of their unit's own segmentation."""
+        merges = merges[:, np.argsort(merges[0], kind="stable")]
+        number = np.bincount(merges[0], minlength=n)
+        times = number[which]
+        total = np.concatenate(([0], np.cumsum(times)))
+        one = np.repeat(np.arange(len(which)), times)
+        at = np.arange(total[-1]) + np.repeat((np.cumsum(number) - number)[which] - total[:-1], times)
+        return np.unique(one[dropped(keys[one], *merges[1:, at], self.dropout)])
+
+    def _units(self, vocab: Vocabulary, x: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, dropout: float,
+               log: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of each unit, one after another, and where each unit's begin; ``log`` takes their merges."""
         size = ends - starts
         total = np.concatenate(([0], np.cumsum(size)))
         flat = np.arange(total[-1]) + np.repeat(starts - total[:-1], size)
@@ -235,15 +278,23 @@ class Encoder:
         piece, alive = symbols.copy(), np.ones(len(codes), bool)
         for u in np.flatnonzero(size > SHORT):
             a, b = total[u], total[u + 1]
-            own, left = agenda(vocab, symbols[a:b], keys[u], self.dropout)
+            spans = None if log is None else []
+            own, left = agenda(vocab, symbols[a:b], keys[u], dropout, spans)
+            if spans:
+                log.append(np.vstack((np.full(len(spans), u), np.array(spans).T)))
             alive[a:b] = False
             alive[a + np.array(left)] = True
             piece[a + np.array(left)] = own
         short = size <= SHORT
         mine = short[unit]
         if mine.any():
+            rounds = None if log is None else []
             piece[mine], alive[mine] = merge_all(
-                vocab, symbols[mine], np.concatenate(([0], np.cumsum(size[short])))[:-1], keys[short], self.dropout)
+                vocab, symbols[mine], np.concatenate(([0], np.cumsum(size[short])))[:-1], keys[short], dropout, rounds)
+            number = np.flatnonzero(short)
+            for spans in rounds or []:
+                spans[0] = number[spans[0]]
+                log.append(spans)
         left = np.flatnonzero(alive)
         piece, unit = piece[left], unit[left]
         unknown = np.flatnonzero(piece == BYTE)
@@ -267,15 +318,19 @@ class Encoder:
         return [raw[a + 1 : b].decode("utf-8", "surrogatepass") if b > a else "" for a, b in zip(at, at[1:], strict=False)]
 
 
-def encode_documents(df: DataFrame, encoder: Encoder) -> DataFrame:
-    """doc_id, n_chars, n_pieces, ids, and whether decoding them gives the text again; one row per input row."""
+def encode_documents(df: DataFrame, encoder: Encoder, copies: bool = False) -> DataFrame:
+    """doc_id, n_chars, n_pieces, ids, and whether decoding them gives the text again; one row per input row.
+
+    With ``copies``, rows of equal doc_id and text are numbered, so each copy has draws of its own.
+    """
 
     def run(batches):
         for batch in batches:
             names = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
             texts = [t or "" for t in batch.column(1).to_pylist()]
+            number = batch.column(2).to_numpy(zero_copy_only=False) if copies else None
             first = 0
-            for pieces, cuts in encoder.encode(texts, names):
+            for pieces, cuts in encoder.encode(texts, names, copies=number):
                 own = texts[first : first + len(cuts) - 1]
                 back = encoder.decode(pieces, cuts)
                 yield pa.RecordBatch.from_pydict({
@@ -288,7 +343,11 @@ def encode_documents(df: DataFrame, encoder: Encoder) -> DataFrame:
                 })
                 first += len(own)
 
-    return documents(df).mapInArrow(
+    rows = documents(df)
+    if copies:
+        equal = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
+        rows = rows.withColumn("copy", F.row_number().over(equal).cast("bigint"))
+    return rows.select("doc_id", "text", *(["copy"] if copies else [])).mapInArrow(
         run, "doc_id bigint, n_chars bigint, n_pieces bigint, ids array<int>, lossless boolean, decoded_sha256 string")
 
 

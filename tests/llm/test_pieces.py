@@ -63,3 +63,25 @@ def test_documents_round_trip(docs):
     assert all(r.lossless and r.n_pieces == len(r.ids) for r in rows)
     back = {r.doc_id: r.text for r in P.decode_documents(out, encoder).collect()}
     assert back == dict(enumerate([*TEXTS, ""]))
+
+
+def test_every_occurrence_draws_for_itself():
+    cuts = split(P.Encoder(dropout=0.3), ["internationalisation " * 400 for _ in range(2)])
+    vocab = P.vocabulary(P.DEFAULT_MODEL)
+    spelled = ["\0".join(vocab.spelled[vocab.spell_at[i] : vocab.spell_at[i + 1]].tobytes().decode() for i in ids) for ids in cuts]
+    assert len({w for s in spelled for w in s.split(" ")}) > 50
+
+
+def test_cached_segmentations_change_nothing():
+    texts = [" ".join(random.Random(s).choices(["the", "station", "measurement", "q" * 60, "überall", "\U0001f600x"], k=200)) for s in range(3)]
+    encoder = P.Encoder(dropout=0.1, seed=4)
+    cached = split(encoder, texts)
+    encoder._skipping = lambda merges, n, which, keys: np.arange(len(which))
+    assert split(encoder, texts) == cached
+
+
+def test_copies_are_cut_apart(docs):
+    df = docs([(7, "internationalisation of standardised measurements " * 20)] * 3 + [(8, "other")])
+    for copies, n in ((False, 1), (True, 3)):
+        out = P.encode_documents(df, P.Encoder(), copies=copies).collect()
+        assert len({tuple(r.ids) for r in out if r.doc_id == 7}) == n and all(r.lossless for r in out) and len(out) == 4
