@@ -16,6 +16,12 @@ has in common) drops them before any context is carried. Sorting is by range, so
 one passage in a third of all documents is spread over many tasks; the few rows
 at the ranges' edges are compared once more.
 
+Neighbours do not tell the lowest document that has a passage. Of the runs of
+``least`` words around a suffix (a run that two documents have is around a suffix
+both keep), those that a neighbour may have, but none was seen to have in a lower
+document, are open; the lowest document's are among them. Where documents have
+open runs with one head, a least over the hashes of the runs finds the lowest.
+
 Repeats inside one document are not reported. Rows with the same doc_id count as
 one document, and rows without an id as one document named null. Null and short
 texts have no suffixes.
@@ -30,12 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spoorlog.llm.words import blocks, documents, folded, map_texts, span_hashes
+from spoorlog.llm.words import blocks, documents, folded, map_texts, mix, span_hashes
 from spoorlog.session import staged
 
 LEAST, SPAN, GRAM = 50, 24, 6
 NO_ID = -(1 << 62)
 EDGE = 16
+OPEN = "head bigint, places array<int>, keys array<bigint>, offsets array<int>"
 FOUND = "doc bigint, start bigint, end bigint, other bigint, other_start bigint, n bigint, lowest bigint"
 
 
@@ -153,8 +160,12 @@ def _common(x: tuple[np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray) -> n
 
 
 def matched(doc: np.ndarray, place: np.ndarray, head: np.ndarray, after: list[bytes], before: list[bytes],
-            places: list[list[int]], least: int, span: int) -> dict[str, np.ndarray]:
-    """Matches of sorted suffixes with the nearest neighbours from another document, a row per place that has one."""
+            places: list[list[int]], least: int, span: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Matches of sorted suffixes with the nearest neighbours from another document, a row per place that has one.
+
+    And for each suffix and offset below ``span`` whether the run of ``least`` words that begins so many words before it is
+    open: the words behind the suffix suffice with some neighbour, and none of a lower document has the whole run.
+    """
     n = len(doc)
     right, left = _matrix(after, span), _matrix(before, span)
     new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (head[1:] != head[:-1])))
@@ -164,6 +175,8 @@ def matched(doc: np.ndarray, place: np.ndarray, head: np.ndarray, after: list[by
     me = np.arange(n)
     best = {"n": np.zeros(n, np.int64), "start": place.astype(np.int64), "end": place.astype(np.int64),
             "other": np.full(n, NO_ID), "other_start": np.zeros(n, np.int64), "lowest": doc.copy()}
+    offsets = np.arange(span)[None, :]
+    open_, lower = np.zeros((n, span), bool), np.zeros((n, span), bool)
     for near in (first[run] - 1, last[run] + 1):
         ok = (near >= 0) & (near < n)
         i, j = me[ok], near[ok]
@@ -173,6 +186,9 @@ def matched(doc: np.ndarray, place: np.ndarray, head: np.ndarray, after: list[by
             continue
         back = _common(left, i, j)
         ahead = least - span + 1 + _common(right, i, j)
+        reached = ahead[:, None] >= least - offsets
+        open_[i] |= reached
+        lower[i] |= reached & (back[:, None] >= offsets) & (doc[j] < doc[i])[:, None]
         long = back + ahead >= least
         i, j, back, ahead = i[long], j[long], back[long], ahead[long]
         best["start"][i] = np.minimum(best["start"][i], place[i] - back)
@@ -187,26 +203,51 @@ def matched(doc: np.ndarray, place: np.ndarray, head: np.ndarray, after: list[by
     each = np.repeat(hit, times)
     moved = np.array([p for i in hit for p in places[i]], np.int64) - place[each]
     out = {"doc": doc[each], **{k: v[each] for k, v in best.items()}}
-    return out | {"start": out["start"] + moved, "end": out["end"] + moved}
+    return out | {"start": out["start"] + moved, "end": out["end"] + moved}, open_ & ~lower & (left[1][:, None] >= offsets)
+
 
+def run_keys(head: np.ndarray, after: list[bytes], before: list[bytes], span: int) -> np.ndarray:
+    """For each suffix and offset, a hash of the run of ``least`` words that begins so many words before it."""
+    right, left = (_matrix(v, span)[0].astype(np.uint64) for v in (after, before))
+    ahead, back = np.empty((2, len(head), span), np.uint64)
+    ahead[:, 0], back[:, 0] = head.view(np.uint64), 0
+    for k in range(1, span):
+        ahead[:, k] = mix(ahead[:, k - 1] * np.uint64(31) + right[:, k - 1] + np.uint64(1))
+        back[:, k] = mix(back[:, k - 1] * np.uint64(31) + left[:, k - 1] + np.uint64(1))
+    return mix(ahead[:, ::-1] ^ mix(back + np.arange(1, span + 1, dtype=np.uint64))).view(np.int64)
 
-def _neighbours(ordered: DataFrame, least: int, span: int) -> DataFrame:
-    """Matches within each sorted partition, and the partition's first and last rows (``edge`` numbers them)."""
-    schema = FOUND + ", edge bigint, place int, head bigint, after binary, before binary, places array<int>"
+
+def _neighbours(ordered: DataFrame, least: int, span: int, opens: bool) -> DataFrame:
+    """Matches within each sorted partition, and the partition's first and last rows (``edge`` numbers them).
+
+    With ``opens`` also the suffixes that have open runs, with the keys and offsets of these.
+    """
+    schema = FOUND + (", edge bigint, place int, head bigint, after binary, before binary, places array<int>, "
+                      "keys array<bigint>, offsets array<int>")
+    types = {"doc": pa.int64(), "place": pa.int32(), "head": pa.int64(), "after": pa.binary(), "before": pa.binary(),
+             "places": pa.list_(pa.int32()), "keys": pa.list_(pa.int64()), "offsets": pa.list_(pa.int32())}
     names = ["doc", "place", "head", "after", "before", "places"]
 
     def rows_of(batch: pa.RecordBatch) -> dict[str, list]:
         return {k: batch.column(batch.schema.get_field_index(k)).to_pylist() for k in names}
 
-    def result(found: dict[str, np.ndarray]) -> pa.RecordBatch:
-        n = len(found["doc"])
-        nothing = {"edge": pa.nulls(n, pa.int64()), "place": pa.nulls(n, pa.int32()), "head": pa.nulls(n, pa.int64()),
-                   "after": pa.nulls(n, pa.binary()), "before": pa.nulls(n, pa.binary()), "places": pa.nulls(n, pa.list_(pa.int32()))}
-        return pa.RecordBatch.from_pydict({k: pa.array(found[k]) for k in ("doc", "start", "end", "other", "other_start", "n", "lowest")} | nothing)
-
-    def compare(rows: dict[str, list]) -> dict[str, np.ndarray]:
-        return matched(np.array(rows["doc"], np.int64), np.array(rows["place"], np.int64), np.array(rows["head"], np.int64),
-                       rows["after"], rows["before"], rows["places"], least, span)
+    def result(columns: dict) -> pa.RecordBatch:
+        n = len(columns["doc"])
+        fields = [f.split(" ")[0] for f in schema.split(", ")]
+        return pa.RecordBatch.from_pydict({
+            k: pa.array(columns[k], types.get(k, pa.int64())) if k in columns else pa.nulls(n, types.get(k, pa.int64())) for k in fields})
+
+    def compare(rows: dict[str, list]) -> Iterator[pa.RecordBatch]:
+        doc, head = np.array(rows["doc"], np.int64), np.array(rows["head"], np.int64)
+        found, open_ = matched(doc, np.array(rows["place"], np.int64), head, rows["after"], rows["before"], rows["places"], least, span)
+        yield result(found)
+        at = np.flatnonzero(open_.any(1)) if opens else []
+        if len(at):
+            pick = lambda k: [rows[k][i] for i in at]
+            keys, open_ = run_keys(head[at], pick("after"), pick("before"), span), open_[at]
+            yield result({"doc": doc[at], "head": head[at], "places": pick("places"),
+                          "keys": [k[o].tolist() for k, o in zip(keys, open_, strict=True)],
+                          "offsets": [np.flatnonzero(o).tolist() for o in open_]})
 
     def run(batches):
         held: dict[str, list] | None = None
@@ -222,7 +263,7 @@ def _neighbours(ordered: DataFrame, least: int, span: int) -> DataFrame:
             tail = {k: (tail[k] + rows[k])[-EDGE:] for k in names}
             if held:
                 rows = {k: held[k] + rows[k] for k in names}
-            yield result(compare(rows))
+            yield from compare(rows)
             # What the next batch may still match: the last document's rows and the one before them.
             cut = len(rows["doc"]) - 1
             while cut and rows["doc"][cut - 1] == rows["doc"][-1] and rows["head"][cut - 1] == rows["head"][-1]:
@@ -230,26 +271,38 @@ def _neighbours(ordered: DataFrame, least: int, span: int) -> DataFrame:
             held = {k: rows[k][max(cut - 1, 0) :] for k in names}
         if ends["doc"]:
             edges = {k: ends[k] + tail[k] for k in names}
-            n = len(edges["doc"])
-            blank = {k: pa.nulls(n, pa.int64()) for k in ("start", "end", "other", "other_start", "n", "lowest")}
-            types = {"doc": pa.int64(), "place": pa.int32(), "head": pa.int64(), "after": pa.binary(), "before": pa.binary(),
-                     "places": pa.list_(pa.int32())}
-            columns = {k: pa.array(edges[k], types[k]) for k in names} | blank | {"edge": pa.array(range(n), pa.int64())}
-            yield pa.RecordBatch.from_pydict({f.split(" ")[0]: columns[f.split(" ")[0]] for f in schema.split(", ")})
+            yield result(edges | {"edge": np.arange(len(edges["doc"]))})
 
     return ordered.mapInArrow(run, schema)
 
 
-def _sorted_matches(rows: DataFrame, order: list[str], least: int, span: int) -> DataFrame:
-    """Matches of neighbours when suffixes are sorted by ``order``."""
+def _sorted_matches(rows: DataFrame, order: list[str], least: int, span: int, opens: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Matches of neighbours when suffixes are sorted by ``order``; and suffixes with open runs, if ``opens``."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    out = staged(_neighbours(ordered, least, span), "suffix-matches")
-    own = out.filter("edge is null").select(*[f.split(" ")[0] for f in FOUND.split(", ")])
+    out = staged(_neighbours(ordered, least, span, opens), "suffix-matches")
     # A few rows a partition; sorted again, the ends of one range meet the beginnings of the next.
     edges = out.filter("edge is not null").select("doc", "place", "head", "after", "before", "places").distinct()
-    met = _neighbours(edges.coalesce(1).sortWithinPartitions(*order), least, span).filter("edge is null").select(*own.columns)
-    return own.union(met)
+    met = _neighbours(edges.coalesce(1).sortWithinPartitions(*order), least, span, opens)
+    every = out.filter("edge is null").union(met.filter("edge is null"))
+    names = lambda schema: [f.split(" ")[0] for f in schema.split(", ")]
+    return every.filter("keys is null").select(*names(FOUND)), every.filter("keys is not null").select("doc", *names(OPEN))
+
+
+def _lowest(opened: DataFrame, least: int) -> DataFrame:
+    """Open runs that a lower document has open too, as matches with the lowest one."""
+    heads = opened.groupBy("head").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("head")
+    rows = opened.join(staged(heads, "suffix-open-heads"), "head")
+    each = rows.select("doc", "places", F.explode(F.arrays_zip("keys", "offsets")).alias("run")).select(
+        "doc", "places", F.col("run.keys").alias("key"), F.col("run.offsets").alias("offset"))
+    each = staged(each, "suffix-open-runs")
+    begin = lambda place: (place - F.col("offset")).cast("bigint")
+    first = F.min(F.struct("doc", begin(F.get("places", F.lit(0))).alias("start"))).alias("first")
+    lows = staged(each.groupBy("key").agg(first, F.max("doc").alias("high")).filter("first.doc < high").drop("high"), "suffix-lowest")
+    held = each.join(lows, "key").filter("first.doc < doc").select("doc", F.explode("places").alias("place"), "offset", "first")
+    return held.select(
+        "doc", begin(F.col("place")).alias("start"), (begin(F.col("place")) + least).alias("end"), F.col("first.doc").alias("other"),
+        F.col("first.start").alias("other_start"), F.lit(least).cast("bigint").alias("n"), F.col("first.doc").alias("lowest"))
 
 
 def repeats(df: DataFrame, least: int = LEAST, span: int = SPAN) -> DataFrame:
@@ -257,7 +310,7 @@ def repeats(df: DataFrame, least: int = LEAST, span: int = SPAN) -> DataFrame:
 
     One row per passage and document: doc_id, start_word and end_word (exclusive),
     n_words, other_doc_id with the longest match and where it begins there, and
-    ``first``, whether no match found for the passage is in a document of a lower id.
+    ``first``, whether no document of a lower id has a run of ``least`` words of it.
     """
     kept = staged(suffixes(df, least, span), "suffixes")
     often = kept.groupBy("head").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("head")
@@ -265,8 +318,9 @@ def repeats(df: DataFrame, least: int = LEAST, span: int = SPAN) -> DataFrame:
     places = kept.join(common, "head").groupBy("doc").agg(F.collect_list("place").alias("places"))
     rows = staged(_contexts(_named(df).join(places, "doc").select("doc", "text", "places"), least, span), "suffix-contexts")
     ties = ["doc", "place"]
-    both = _sorted_matches(rows, ["head", "after", "before", *ties], least, span).union(
-        _sorted_matches(rows, ["head", "before", "after", *ties], least, span))
+    ahead, opened = _sorted_matches(rows, ["head", "after", "before", *ties], least, span, opens=True)
+    back, _ = _sorted_matches(rows, ["head", "before", "after", *ties], least, span)
+    both = ahead.union(back).union(_lowest(opened, least))
     by_doc = Window.partitionBy("doc").orderBy("start", "end", "other", "other_start")
     reach = F.max("end").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     marked = both.withColumn("new", (F.coalesce(F.col("start") > reach, F.lit(True))).cast("int"))

@@ -71,3 +71,26 @@ def test_least_of_windows():
     x = np.array([5, 3, 8, 1, 9, 2], np.uint64)
     for width in (1, 2, 3, 5, 6):
         assert S.window_least(x, width).tolist() == [min(x[i : i + width]) for i in range(len(x) - width + 1)]
+
+
+@pytest.mark.parametrize("n", [50, 60, 74])
+def test_one_of_many_holders_is_first(docs, n):
+    rng = random.Random(n)
+    some = lambda k: " ".join(f"w{rng.getrandbits(30)}" for _ in range(k))
+    passage = some(n)
+    rows = [(i, f"{some(rng.randint(0, 40))} {passage} {some(rng.randint(0, 40))}") for i in rng.sample(range(10**6), 300)]
+    got = S.repeats(docs(rows)).collect()
+    assert len(got) == len(rows) and [r.doc_id for r in got if r.first] == [min(i for i, _ in rows)]
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_first_equals_brute_force(docs, seed):
+    texts = corpus(seed)
+    words = [t.lower().split() for t in texts]
+    lowest = {}
+    for d, w in enumerate(words):
+        for i in range(len(w) - 49):
+            lowest.setdefault(tuple(w[i : i + 50]), d)
+    for r in S.repeats(docs(texts)).collect():
+        runs = [tuple(words[r.doc_id][i : i + 50]) for i in range(r.start_word, r.end_word - 49)]
+        assert r.first == all(lowest[x] == r.doc_id for x in runs)
