@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoorlog.llm import (
+    bitplanes,
     chat,
+    decontamination,
     langid,
     mixing,
     order_minhash,
@@ -143,3 +145,63 @@ def op9_order_minhash(spark, sf_dir):
 @query
 def op10_pieces(spark, sf_dir):
     return pieces.encode_documents(load(spark, sf_dir, "documents"), pieces.Encoder())
+
+
+@query
+def op11_bitplane_clusters(spark, sf_dir):
+    return bitplanes.cluster(load(spark, sf_dir, "embeddings"))
+
+
+def _cluster_sql(k: int = 40, rounds: int = 5, seed: int = 2) -> str:
+    """All rounds as one chain of named queries."""
+    near = """
+near{r} AS MATERIALIZED (SELECT vid, vec_id, parts, unnest(min(struct_pack(distance := distance, c := c)) ) FROM
+  (SELECT v.vid, v.vec_id, v.parts, c.c, list_sum(list_transform(list_zip(v.parts, c.parts), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS distance
+   FROM v, c{r} AS c) GROUP BY vid, vec_id, parts)"""
+    step = """,
+sum{r} AS (SELECT c, j, sum(parts[j])::BIGINT AS s, count(*) AS n FROM near{r}, range(1, 65) AS g(j) GROUP BY c, j),
+mean{r} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j)::BIGINT[] AS parts FROM sum{r} GROUP BY c),
+c{next} AS MATERIALIZED (SELECT c{r}.c, coalesce(mean{r}.parts, c{r}.parts) AS parts FROM c{r} LEFT JOIN mean{r} USING (c))"""
+    body = ",".join(near.format(r=r) + (step.format(r=r, next=r + 1) if r < rounds else "") for r in range(rounds + 1))
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS vid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS parts
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || coalesce(vec_id::VARCHAR, '')), parts) - 1 AS c, parts
+  FROM v QUALIFY c < {k}),{body},
+sizes AS (SELECT c, sum(distance)::BIGINT AS cluster_inertia FROM near{rounds} GROUP BY c)
+SELECT vec_id, near{rounds}.c::INTEGER AS cluster, distance, cluster_inertia, (SELECT sum(distance) FROM near{rounds})::BIGINT AS inertia,
+  sha256(array_to_string(c{rounds}.parts, ',')) AS centroid_sha256
+FROM near{rounds} JOIN sizes USING (c) JOIN c{rounds} USING (c)
+"""
+
+
+ORACLE["op11_bitplane_clusters"] = _cluster_sql()
+
+
+@query
+def op13_decontamination(spark, sf_dir):
+    return decontamination.report(decontamination.find(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")))
+
+
+ORACLE["op13_decontamination"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+items AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, least(len(words), 10) AS n, array_to_string(words[i : i + least(len(words), 10) - 1], ' ') AS win
+  FROM items, range(1, 100000) AS g(i) WHERE len(words) > 0 AND i <= greatest(len(words) - 9, 1)),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (
+  SELECT row, n, pos, array_to_string(words[pos : pos + n - 1], ' ') AS win
+  FROM (SELECT row, n, words, unnest(range(1, len(words) - n + 2)) AS pos FROM docs, sizes)),
+found AS (SELECT row, places.n, pos, item FROM places JOIN windows ON places.win = windows.win AND places.n = windows.n),
+hit AS (SELECT row, count(DISTINCT word) AS n_hit FROM (SELECT row, unnest(range(pos, pos + n)) AS word FROM found) GROUP BY row),
+named AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT row, item FROM found) GROUP BY row)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (row) LEFT JOIN named USING (row)
+"""
