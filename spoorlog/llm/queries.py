@@ -11,6 +11,7 @@ from spoorlog.llm import (
     bitplanes,
     chat,
     decontamination,
+    interaction,
     langid,
     mixing,
     order_minhash,
@@ -179,6 +180,48 @@ FROM near{rounds} JOIN sizes USING (c) JOIN c{rounds} USING (c)
 ORACLE["op11_bitplane_clusters"] = _cluster_sql()
 
 
+@query
+def op12_filter_audit(spark, sf_dir):
+    return interaction.audit(spark, f"{sf_dir}/documents.parquet", load(spark, sf_dir, "labels"))
+
+
+ORACLE["op12_filter_audit"] = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+masks AS (
+  SELECT doc_id, part,
+    CASE WHEN len(words) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(body, '[^A-Z]+', '', 'g')) > 3 * length(body) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY body) THEN 16 ELSE 0 END AS mask
+  FROM texts),
+marked AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+counted AS (
+  SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM masks LEFT JOIN marked USING (doc_id) GROUP BY part, mask),
+letters AS (SELECT substr('ABCDE', i::INTEGER + 1, 1) AS f, 1 << i::INTEGER AS bit FROM range(5) AS g(i)),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps AS (
+  SELECT filter_order, step::INTEGER AS step, coalesce(list_sum(bits[1 : step - 1]), 0)::INTEGER AS before, bits[step] AS own FROM orders, range(1, 6) AS g(step)),
+report AS (
+  SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER (mask & before = 0 AND mask & own = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (mask & before = 0 AND mask & own <> 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (mask & before <> 0 AND mask & own <> 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (mask & before = 0 AND mask & own <> 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & own <> 0), 0)::BIGINT AS toxic_lost
+  FROM counted, steps GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM report
+"""
+
+
 @query
 def op13_decontamination(spark, sf_dir):
     return decontamination.report(decontamination.find(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")))
