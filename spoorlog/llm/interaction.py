@@ -10,41 +10,36 @@ whatever the order and the cut of the files.
 
 Before the shuffle, copies inside an Arrow batch that are not its least are
 settled: they fail whatever comes, so only one row per text and batch reaches the
-state, and a text with a third of all rows costs no more than others. State lies
-in the RocksDB store and in the stream's checkpoint folder, never in one task.
+state, and a text with a third of all rows costs no more than others.
+
+State is a table in the shared folder, one version per micro-batch, each made from
+the one before it and the batch by one shuffle on the digest. A batch that is
+repeated writes the same version again. (The store of Spark's own stateful
+operators gives the same rows, but calls Python once per text and keeps a database
+per partition; see the README for what that took.)
 """
 
 from __future__ import annotations
 
-import json
 import math
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 from itertools import permutations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from spoorlog.session import shared_dir, staged
 
 FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
 BATCHES = 4
-DIGEST = 32
-ROW = "key binary, doc_id bigint, part string, mask int, n int"
-DELTA = "doc_id bigint, part string, mask int, n int"
-STATE = "least bigint, counted string"
-COUNTERS = "part string, mask int, n bigint, good bigint, toxic bigint"
-STORE = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-}
+ROW = "key binary, doc_id bigint, part string, mask int, n bigint"
+JUDGED = ROW + ", old boolean, least bigint"
+SIGNED = ["doc_id", "part", "mask", "n"]
 
 
 def masked(docs: DataFrame) -> DataFrame:
@@ -68,104 +63,81 @@ def masked(docs: DataFrame) -> DataFrame:
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a batch that need no state get a short key of the task's own instead of a digest.
+    """Equal rows of a batch as one with their number; rows that need no state without a digest.
 
     These are copies of a smaller id in the batch, which fail the filter of copies,
     and rows without id, which never do.
     """
-    own = TaskContext.get().partitionId().to_bytes(4, "little")
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.array(batch.column(0).to_pylist(), object)
-        ids = batch.column(1)
-        known = ids.is_valid().to_numpy(zero_copy_only=False)
-        number = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        codes, distinct = pd.factorize(keys)
+        rows = pd.DataFrame({
+            "key": batch.column(0).to_pylist(), "doc_id": batch.column(1).fill_null(0).to_numpy(zero_copy_only=False),
+            "part": batch.column(2).to_pylist(), "mask": batch.column(3).to_numpy(zero_copy_only=False),
+            "known": batch.column(1).is_valid().to_numpy(zero_copy_only=False)})
+        code, distinct = pd.factorize(rows["key"])
         least = np.full(len(distinct), np.iinfo(np.int64).max)
-        np.minimum.at(least, codes[known], number[known])
-        copy = known & (number > least[codes])
-        keys[copy | ~known] = own
-        mask = batch.column(3).to_numpy(zero_copy_only=False) | np.where(copy, COPY, 0)
+        np.minimum.at(least, code[rows["known"]], rows["doc_id"][rows["known"]])
+        copy = rows["known"] & (rows["doc_id"] > least[code])
+        rows["mask"] |= np.where(copy, COPY, 0)
+        rows["code"] = np.where(copy | ~rows["known"], -1, code)
+        out = rows.groupby(["code", "doc_id", "part", "mask", "known"], sort=False).size().reset_index(name="n")
+        keys = [distinct[c] if c >= 0 else None for c in out["code"]]
+        ids = pa.array(out["doc_id"].to_numpy(np.int64), mask=~out["known"].to_numpy())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.binary()), ids, batch.column(2), pa.array(mask.astype(np.int32)), pa.array(np.ones(len(keys), np.int32))],
-            ["key", "doc_id", "part", "mask", "n"])
-
-
-def _retract(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Signed rows of one text, against the least id seen with it so far."""
-    columns = ["doc_id", "part", "mask", "n"]
-    if len(key[0]) != DIGEST:
-        for batch in rows:
-            yield batch[columns]
-        return
-    least, counted = state.get if state.exists else (None, "[]")
-    before, counted = (least, counted), json.loads(counted)
-    for batch in rows:
-        low = int(batch["doc_id"].min())
-        if least is None or low < least:
-            if counted:
-                back = [(least, part, mask, -n) for part, mask, n in counted] + [(least, part, mask | COPY, n) for part, mask, n in counted]
-                yield pd.DataFrame(back, columns=columns)
-            least, counted = low, []
-        first = batch["doc_id"].to_numpy() == least
-        parts, masks = batch["part"].tolist(), batch["mask"].to_numpy()
-        for i in np.flatnonzero(first):
-            part, mask = parts[i], int(masks[i])
-            same = next((c for c in counted if c[0] == part and c[1] == mask), None)
-            if same:
-                same[2] += 1
-            else:
-                counted.append([part, mask, 1])
-        out = batch[columns]
-        yield out if first.all() else out.assign(mask=np.where(first, masks, masks | COPY).astype(np.int32))
-    after = (least, json.dumps(counted))
-    if after != before:
-        state.update(after)
-
-
-@contextmanager
-def _set(spark: SparkSession, values: dict[str, str]):
-    """Session options for the time of a stream's run."""
-    before = {k: spark.conf.get(k, None) for k in values}
-    try:
-        for k, v in values.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
-
-
-def stream_masks(spark: SparkSession, path: str, batches: int = BATCHES, checkpoint: str | None = None) -> DataFrame:
+            [pa.array(keys, pa.binary()), ids, pa.array(out["part"].to_list(), pa.string()),
+             pa.array(out["mask"].to_numpy(np.int32)), pa.array(out["n"].to_numpy(np.int64))], ["key", "doc_id", "part", "mask", "n"])
+
+
+def _judged(rows: DataFrame, state: DataFrame | None) -> DataFrame:
+    """Rows of a batch and of the state before it, with the least id now known of their text."""
+    fresh = rows.filter("key IS NOT NULL").withColumn("old", F.lit(False))
+    both = fresh if state is None else fresh.unionByName(state.withColumn("old", F.lit(True)))
+    summed = both.repartition("key").groupBy("key", "doc_id", "part", "mask", "old").agg(F.sum("n").alias("n"))
+    return summed.withColumn("least", F.min("doc_id").over(Window.partitionBy("key"))).select(*[f.split()[0] for f in JUDGED.split(", ")])
+
+
+def _state(judged: DataFrame) -> DataFrame:
+    """What is counted as no copy: the rows of the least id of each text."""
+    return judged.filter(F.col("doc_id") == F.col("least")).groupBy("key", "doc_id", "part", "mask").agg(F.sum("n").alias("n"))
+
+
+def _signed(rows: DataFrame, judged: DataFrame) -> DataFrame:
+    """doc_id, part, mask, n: what the batches count, and retract of what earlier ones counted."""
+    copy, mask = F.col("doc_id") > F.col("least"), F.col("mask")
+    failed = mask.bitwiseOR(F.lit(COPY))
+    fresh = judged.filter("NOT old").select("doc_id", "part", F.when(copy, failed).otherwise(mask).alias("mask"), "n")
+    change = F.array(F.struct(mask.alias("mask"), (-F.col("n")).alias("n")), F.struct(failed.alias("mask"), F.col("n").alias("n")))
+    taken_back = judged.filter(F.col("old") & copy).select("doc_id", "part", F.inline(change)).select(*SIGNED)
+    return rows.filter("key IS NULL").select(*SIGNED).union(fresh).union(taken_back)
+
+
+def stream_masks(spark: SparkSession, path: str, batches: int = BATCHES, folder: str | None = None) -> DataFrame:
     """doc_id, part, mask, n: signed rows whose sums count the documents of each id, part and mask.
 
     The files under ``path`` are read in ``batches`` micro-batches of equal numbers
-    of files. Each writes its rows to a folder of its own, which a repeated batch
-    replaces. A run that is resumed with its ``checkpoint`` folder goes on behind
-    the last batch that ended, and takes files that came since.
+    of files. A run that is resumed with its ``folder`` goes on behind the last batch
+    that ended, and takes files that came since.
     """
     whole = spark.read.parquet(path)
     n_files = len(whole.inputFiles())
-    base = checkpoint or f"{shared_dir(spark)}/spoorlog/audit-{uuid.uuid4().hex}"
+    base = folder or f"{shared_dir(spark)}/spoorlog/audit-{uuid.uuid4().hex}"
     named = path.rstrip("/")
     named = f"{named[:-1]}[{named[-1]}]"  # a stream takes a pattern for a single file as for a folder
     stream = (
         spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", max(1, math.ceil(n_files / batches))).parquet(named))
-    signed = masked(stream).mapInArrow(_settle, ROW).groupBy("key").applyInPandasWithState(
-        _retract, DELTA, STATE, "update", GroupStateTimeout.NoTimeout)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
+    def take(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/rows/batch={batch_id}")
-
-    spark.createDataFrame([], DELTA).write.mode("overwrite").parquet(f"{base}/rows/batch=-1")
-    with _set(spark, STORE):
-        signed.writeStream.foreachBatch(write).outputMode("update").option(
-            "checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(DELTA).parquet(f"{base}/rows").select("doc_id", "part", "mask", "n")
+        rows = spark.read.schema(ROW).parquet(f"{base}/rows/batch={batch_id}")
+        state = _state(spark.read.schema(JUDGED).parquet(f"{base}/judged/batch={batch_id - 1}")) if batch_id else None
+        _judged(rows, state).write.mode("overwrite").parquet(f"{base}/judged/batch={batch_id}")
+
+    for kind, schema in (("rows", ROW), ("judged", JUDGED)):
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{base}/{kind}/batch=-1")
+    masked(stream).mapInArrow(_settle, ROW).writeStream.foreachBatch(take).option(
+        "checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return _signed(spark.read.schema(ROW).parquet(f"{base}/rows"), spark.read.schema(JUDGED).parquet(f"{base}/judged"))
 
 
 def counters(signed: DataFrame, labels: DataFrame) -> DataFrame:
