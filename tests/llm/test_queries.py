@@ -19,7 +19,7 @@ def test_query(spark, name):
     assert rows
     if name in queries.ORACLE:
         con = duckdb.connect()
-        for table in ("documents", "conversations", "labels"):
+        for table in ("documents", "conversations", "labels", "embeddings", "benchmark"):
             con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
         cursor = con.execute(queries.ORACLE[name])
         names = [d[0] for d in cursor.description]
