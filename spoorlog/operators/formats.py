@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoorlog.functions import patterns as P
+from spoorlog.functions.least import first_k
 from spoorlog.functions.text import is_blank, trim
 
 FORMATS = ["cloudtrail", "apache", "syslog", "generic"]  # order settles equal scores
@@ -62,21 +63,21 @@ def file_keys(lines: DataFrame) -> list[str]:
 def detect_format(lines: DataFrame) -> DataFrame:
     """One row per file: its format and the scores behind it.
 
-    The first five non-blank lines vote. The rank filter is applied inside each
-    input partition before the exchange, so at most five lines per file and
-    task are moved, and only those are scored. Blank lines rank last, so a
-    file of blank lines only still gets its row.
+    The first five non-blank lines vote. They are picked by an aggregate that keeps
+    five lines per file in each task and sorts nothing, so only those are moved and
+    scored. Blank lines come last, so a file of blank lines only still gets its row.
     """
     keys = file_keys(lines)
-    ranked = Window.partitionBy(*keys).orderBy("blank", "line_num")
-    head = (
-        lines.select(*keys, "line_num", "raw_line")
-        .withColumn("blank", is_blank(F.col("raw_line")))
-        .withColumn("rank", F.row_number().over(ranked))
-        .filter(F.col("rank") <= HEAD_LINES)
-    )
+    place = F.struct(is_blank(F.col("raw_line")).alias("blank"), "line_num", "raw_line")
+    heads = lines.groupBy(*keys).agg(first_k(place, HEAD_LINES).alias("heads"))
+    return format_of_heads(heads)
+
+
+def format_of_heads(heads: DataFrame) -> DataFrame:
+    """The same from the first lines of each file, an array ``heads`` with ``raw_line``."""
+    keys = [k for k in ("session_id", "file_name") if k in heads.columns]
     scores = (
-        score_lines(head)
+        score_lines(heads.select(*keys, F.explode("heads.raw_line").alias("raw_line")))
         .groupBy(*keys)
         .agg(*[F.sum(name).cast("bigint").alias(f"{name}_score") for name in FORMATS])
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spoorlog.operators import sliding
 from spoorlog.operators.sliding import bucket_of, covered
 
 HOUR = 3_600_000
@@ -16,7 +17,8 @@ def _oldest_in_window(over: DataFrame, requests: DataFrame, width: int) -> DataF
     """Adds ``oldest``, the first request time in ``[at - width, at]``.
 
     Looked up from ``at - width`` on, in its bucket and the one behind. Going
-    backwards in time, the last request seen is the next one after the probe.
+    backwards in time, the last request seen is the next one after the probe. Long
+    buckets are gone through in pieces; each starts from the first request behind it.
     """
     times = requests.select(*KEYS, "ms").distinct()
     own = bucket_of(F.col("ms"), width)
@@ -30,14 +32,17 @@ def _oldest_in_window(over: DataFrame, requests: DataFrame, width: int) -> DataF
         *KEYS, bucket_of(probe, width).alias("bucket"), probe.alias("place"), none.alias("seen"),
         "at", "value",
     )
+    rows, parts = marks.unionByName(probes), [*KEYS, "bucket"]
+    if width > sliding.PIECE_MS:
+        rows = sliding.carried_in(rows, parts, "place", F.min("seen"), {"seen": F.min("part")}, back=True)
+        parts = [*parts, "piece"]
     back = (
-        Window.partitionBy(*KEYS, "bucket")
+        Window.partitionBy(*parts)
         .orderBy(F.desc("place"), F.col("at").asc_nulls_first())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        marks.unionByName(probes)
-        .withColumn("oldest", F.last("seen", ignorenulls=True).over(back))
+        rows.withColumn("oldest", F.last("seen", ignorenulls=True).over(back))
         .filter(F.col("at").isNotNull())
         .select(*KEYS, "at", "value", "oldest")
     )

@@ -1,9 +1,11 @@
 """Threat rules: ``log_entries`` in, findings out.
 
 A rule works on one file of a session at a time. What the rules look at (flags,
-port, pattern, user) is drawn from an entry once, as a narrow row of facts; the
-window rules then work on facts alone, and only the sample lines they name look
-up their text. Every rule is a plan: nothing runs before its result is used.
+port, pattern, user) is drawn from an entry once, as a narrow row of facts. A window
+rule merges facts per address and millisecond in that same scan, with the first few
+line numbers of each, and writes the result; windows, samples and first lines all
+come from this small table. A second scan of the entries looks up the text of the
+sample lines, at most three a finding.
 """
 
 from __future__ import annotations
@@ -19,13 +21,9 @@ from spoorlog import schemas
 from spoorlog.functions import patterns as P
 from spoorlog.functions import predicates as is_
 from spoorlog.functions.dates import rfc1123
+from spoorlog.functions.least import first_k
 from spoorlog.functions.text import extract_destination_port, non_empty, stable_uuid
-from spoorlog.operators.sliding import (
-    busy_rows,
-    first_rows,
-    rows_in_window,
-    sliding_window_max,
-)
+from spoorlog.operators.sliding import busy_rows, rows_in_window, sliding_window_max
 from spoorlog.session import staged
 
 MINUTE = 60_000
@@ -111,18 +109,27 @@ def facts(entries: DataFrame, port: Column | None = None, words: list[str] | Non
     return rows.filter(used).withColumn("raw_line", text)
 
 
+def instants(rows: DataFrame, distinct: str | None = None) -> DataFrame:
+    """Matching lines merged per address and millisecond, and per ``distinct`` value: how many, the first, the first few."""
+    line = F.col("line_num").cast("bigint")
+    return rows.groupBy(*SOURCE, "ms", *([distinct] if distinct else [])).agg(
+        F.count(F.lit(1)).alias("n"), F.min(line).alias("seq"), first_k(line, SAMPLE_LINES).alias("lines"))
+
+
 def _window_hits(rows: DataFrame, width: int, threshold: int, distinct: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Per address above the limit: value, first matching line and the sample lines; and the rows inside its window.
+    """Per address above the limit: value, first matching line and the sample lines; and the instants inside its window.
 
-    No time and the epoch itself never anchor a window.
+    ``rows`` is read once, into a written table of instants; all that follows reads
+    that. No time and the epoch itself never anchor a window.
     """
-    firsts = rows.groupBy(*SOURCE).agg(F.min("line_num").alias("seq"))
-    timed = rows.filter(F.col("ms").isNotNull() & (F.col("ms") != 0))
-    busy = busy_rows(timed, SOURCE, width, threshold)
-    anchors = sliding_window_max(busy, SOURCE, width, threshold, distinct)
-    inside = rows_in_window(busy, anchors, SOURCE, width)
-    samples = first_rows(inside, SOURCE, ["ms", "line_num"], SAMPLE_LINES).groupBy(*SOURCE, "value").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "line_num")))["line_num"].alias("lines"))
+    merged = staged(instants(rows, distinct), "rule-instants")
+    firsts = merged.groupBy(*SOURCE).agg(F.min("seq").alias("seq"))
+    timed = merged.filter(F.col("ms").isNotNull() & (F.col("ms") != 0))
+    busy = busy_rows(timed, SOURCE, width, threshold, "n")
+    anchors = staged(sliding_window_max(busy, SOURCE, width, threshold, distinct, "n"), "rule-anchors")
+    inside = rows_in_window(timed, anchors, SOURCE, width)
+    each = inside.select(*SOURCE, "value", "ms", F.explode("lines").alias("line_num"))
+    samples = each.groupBy(*SOURCE, "value").agg(first_k(F.struct("ms", "line_num"), SAMPLE_LINES)["line_num"].alias("lines"))
     return samples.join(firsts, SOURCE), inside
 
 
@@ -148,9 +155,8 @@ def _web_hits(known: DataFrame, window_ms: int = 5 * MINUTE, threshold: int = 20
 
 def _scan_hits(known: DataFrame, window_ms: int = MINUTE, threshold: int = 20) -> DataFrame:
     found, inside = _window_hits(known.filter(F.col("port").isNotNull()), window_ms, threshold, "port")
-    firsts = inside.groupBy(*SOURCE, "port").agg(F.min(F.struct("ms", "line_num")).alias("first"))
-    listed = first_rows(firsts, SOURCE, ["first", "port"], LISTED_PORTS).groupBy(*SOURCE).agg(
-        F.array_sort(F.collect_list(F.struct("rank", "port")))["port"].alias("ports"))
+    firsts = inside.groupBy(*SOURCE, "port").agg(F.min(F.struct("ms", "seq")).alias("first"))
+    listed = firsts.groupBy(*SOURCE).agg(first_k(F.struct("first", "port"), LISTED_PORTS)["port"].alias("ports"))
     return _hits(found.join(listed, SOURCE), 3, P.SCAN_TITLE, P.SCAN_TEXT, window_ms, F.col("ports"))
 
 
@@ -159,6 +165,7 @@ KINDS = {1: ("brute_force_ssh", "high"), 2: ("brute_force_web", "medium"), 3: ("
 
 def _with_texts(entries: DataFrame, hits: DataFrame) -> DataFrame:
     """Hits of the window rules as findings: one join looks up the sample lines of all of them."""
+    hits = staged(hits, "rule-hits")
     key = [*UNIT, "rule_ord", "title"]
     wanted = hits.select(*key, F.posexplode("lines").alias("rank", "line_num"))
     texts = schemas.with_file(entries).select(*UNIT, "line_num", "raw_line")

@@ -7,9 +7,12 @@ span's start and -1 behind its end.
 
 Time is cut into buckets of length W. A span reaches into at most two of them
 and is clipped at their edge, so every (key, bucket) is summed on its own. Rows
-are merged per millisecond, map side first, before the sort. That bounds a
-bucket to a few narrow rows per millisecond however many rows share a key, a
-bucket or even one instant.
+are merged per millisecond, map side first, before the sort.
+
+A bucket of a long window is summed in pieces of ten minutes: the totals of the
+pieces, one small row each, run up first, and each piece starts from the total
+carried into it. So a task sorts the milliseconds of ten minutes at most, however
+long the window and however many rows share a key, a bucket or even one instant.
 """
 
 from __future__ import annotations
@@ -17,12 +20,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+PIECE_MS = 600_000
+
 
 def bucket_of(ms: Column, width: int) -> Column:
     """Start of the bucket that holds ``ms``."""
     return ms - F.pmod(ms, F.lit(width).cast("bigint"))
 
 
+def carried_in(
+    rows: DataFrame, parts: list[str], place: str, total: Column, carried: dict[str, Column], back: bool = False
+) -> DataFrame:
+    """Rows with their ``piece``, and one more per piece that brings in what lies before it.
+
+    ``rows`` are grouped by ``parts`` and ordered by ``place``. ``total`` is what a
+    piece adds, an aggregate; its value over all earlier pieces of the group, by the
+    same aggregate (``running`` in ``carried``), fills the fields of the carried row,
+    which lies just before its piece. With ``back`` the order runs downwards, and
+    the carried row lies just behind.
+    """
+    cut = rows.withColumn("piece", bucket_of(F.col(place), PIECE_MS))
+    sums = cut.groupBy(*parts, "piece").agg(total.alias("part"))
+    order = F.desc("piece") if back else F.asc("piece")
+    before = Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    edge = F.col("piece") + (PIECE_MS if back else -1)
+    fields = {place: edge, **{name: value.over(before) for name, value in carried.items()}}
+    more = sums.select(*parts, "piece", *[
+        fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in cut.schema.fields if f.name not in (*parts, "piece")])
+    return cut.unionByName(more.filter(F.coalesce(*[F.col(name) for name in carried]).isNotNull()))
+
+
 def covered(
     spans: DataFrame, keys: list[str], width: int, one_per_point: bool = True
 ) -> DataFrame:
@@ -54,7 +81,11 @@ def covered(
         moves = moves.groupBy(*keys, "bucket", "at").agg(
             F.sum("delta").alias("delta"), F.max("point").alias("point")
         )
-    running = Window.partitionBy(*keys, "bucket").orderBy("at").rangeBetween(
+    parts = [*keys, "bucket"]
+    if width > PIECE_MS:
+        moves = carried_in(moves, parts, "at", F.sum("delta"), {"delta": F.sum("part")})
+        parts = [*parts, "piece"]
+    running = Window.partitionBy(*parts).orderBy("at").rangeBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     return (
@@ -64,9 +95,10 @@ def covered(
     )
 
 
-def count_spans(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """One weighted span per key and distinct millisecond."""
-    counted = rows.groupBy(*keys, "ms").agg(F.count(F.lit(1)).alias("weight"))
+def count_spans(rows: DataFrame, keys: list[str], width: int, weight: str | None = None) -> DataFrame:
+    """One weighted span per key and distinct millisecond; ``weight`` is the rows a row stands for, one if None."""
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counted = rows.groupBy(*keys, "ms").agg(n.alias("weight"))
     return counted.select(
         *keys, (F.col("ms") - width).alias("start"), F.col("ms").alias("stop"),
         F.col("ms").alias("at"), "weight",
@@ -84,10 +116,19 @@ def distinct_spans(rows: DataFrame, keys: list[str], width: int, value: str) ->
     own = bucket_of(F.col("ms"), width)
     seen = rows.select(*keys, value, "ms").distinct()
     looked = seen.withColumn("bucket", F.explode(F.array(own, own + width_ms)))
-    previous = F.lag("ms").over(Window.partitionBy(*keys, value, "bucket").orderBy("ms"))
+    parts = [*keys, value, "bucket"]
+    if width > PIECE_MS:
+        # The carried row is a sighting itself: the last one of the pieces before.
+        looked = looked.withColumns({"place": F.col("ms"), "real": F.lit(True)})
+        looked = carried_in(looked, parts, "place", F.max("ms"), {"ms": F.max("part")})
+        parts = [*parts, "piece"]
+        previous = F.lag("ms").over(Window.partitionBy(*parts).orderBy("place"))
+        looked = looked.withColumn("previous", previous).filter("real")
+    else:
+        previous = F.lag("ms").over(Window.partitionBy(*parts).orderBy("ms"))
+        looked = looked.withColumn("previous", previous)
     return (
-        looked.withColumn("previous", previous)
-        .filter(F.col("bucket") == own)
+        looked.filter(F.col("bucket") == own)
         .select(
             *keys, F.greatest(F.col("ms") - width, F.col("previous") + 1).alias("start"),
             F.col("ms").alias("stop"), F.col("ms").alias("at"), F.lit(1).alias("weight"),
@@ -95,18 +136,18 @@ def distinct_spans(rows: DataFrame, keys: list[str], width: int, value: str) ->
     )
 
 
-def busy_rows(rows: DataFrame, keys: list[str], width: int, threshold: int) -> DataFrame:
+def busy_rows(rows: DataFrame, keys: list[str], width: int, threshold: int, weight: str | None = None) -> DataFrame:
     """The rows that can lie in a window of more than ``threshold`` rows.
 
     A window anchored in a bucket reaches into that bucket and the next, so the
     two counts together bound its value. The counts merge on the map side and
-    the buckets that pass are few in ordinary logs; they are staged, so Spark
-    broadcasts them if they are small, and all other rows end here. What is left
-    is staged too, so that the later steps neither scan nor match all rows again.
+    the buckets that pass are few in ordinary logs; all other rows end here.
+    ``weight`` is the number of rows that a row stands for.
     """
     width_ms = F.lit(width).cast("bigint")
     own = bucket_of(F.col("ms"), width)
-    counts = rows.groupBy(*keys, own.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = rows.groupBy(*keys, own.alias("bucket")).agg(n.alias("n"))
     reached = counts.select(
         *keys, F.explode(F.array(F.col("bucket"), F.col("bucket") - width_ms)).alias("bucket"), "n"
     )
@@ -119,15 +160,16 @@ def busy_rows(rows: DataFrame, keys: list[str], width: int, threshold: int) -> D
 
 
 def sliding_window_max(
-    rows: DataFrame, keys: list[str], width: int, threshold: int, distinct: str | None = None
+    rows: DataFrame, keys: list[str], width: int, threshold: int, distinct: str | None = None, weight: str | None = None
 ) -> DataFrame:
     """The first window with the greatest value per key, if above ``threshold``.
 
     ``rows`` has the keys and ``ms``. The value of a window is its row count, or
-    its number of distinct ``distinct`` values.
+    its number of distinct ``distinct`` values. ``weight`` is the number of rows that
+    a row stands for.
     """
     spans = (
-        count_spans(rows, keys, width)
+        count_spans(rows, keys, width, weight)
         if distinct is None
         else distinct_spans(rows, keys, width, distinct)
     )
