@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from typing import NamedTuple
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +22,14 @@ def bucket_of(session_id: Column) -> Column:
     return F.pmod(F.xxhash64(session_id), F.lit(BUCKETS)).cast("int")
 
 
+def _hadoop(spark: SparkSession):
+    return spark.sparkContext._jsc.hadoopConfiguration()
+
+
+def _folder(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
 class Commit(NamedTuple):
     """A batch that is part of a table: whether it hides rows of earlier ones, or stands for all of them."""
 
@@ -44,12 +51,8 @@ def commits(spark: SparkSession, path: str) -> list[Commit]:
 
 def _known(spark: SparkSession, path: str) -> list[Commit]:
     """Like :func:`commits`; none of a table that is not there yet."""
-    try:
-        return commits(spark, path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return []
+    folder = _folder(spark, f"{path}/commits")
+    return commits(spark, path) if folder.getFileSystem(_hadoop(spark)).exists(folder) else []
 
 
 def _parts(spark: SparkSession, path: str, kind: str, schema: str | None, batches: list[str]) -> DataFrame:
@@ -161,12 +164,11 @@ def expire(spark: SparkSession, path: str) -> int:
     """Drop the folders of batches that a compaction has made needless; returns how many."""
     keep = {c.batch for c in commits(spark, path)}
     every = [r.batch for r in spark.read.schema(COMMIT).parquet(f"{path}/commits").select("batch").distinct().collect()]
-    jvm = spark.sparkContext._jvm
     gone = [b for b in every if b not in keep]
     for batch in gone:
         for kind in ("data", "manifest", "superseded"):
-            folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}/batch={batch}")
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            folder = _folder(spark, f"{path}/{kind}/batch={batch}")
+            folder.getFileSystem(_hadoop(spark)).delete(folder, True)
     return len(gone)
 
 
@@ -265,12 +267,9 @@ def write_qa(answers: DataFrame, path: str) -> None:
 def add_qa(answers: DataFrame, path: str) -> None:
     """Add answers to their sessions' archives; an answer already there, by id, is kept once."""
     fresh = schemas.conform(answers, schemas.QA_HISTORY)
-    try:
-        stored = read_qa(answers.sparkSession, path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not _known(answers.sparkSession, path):
         return write_qa(fresh.dropDuplicates(["id"]), path)
+    stored = read_qa(answers.sparkSession, path)
     kept = stored.join(fresh.select("session_id").distinct(), "session_id", "left_semi").join(fresh.select("id"), "id", "left_anti")
     write_qa(staged(kept.unionByName(fresh.dropDuplicates(["id"])), "answers"), path)
 

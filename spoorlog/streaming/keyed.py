@@ -29,6 +29,8 @@ STORE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 ADDRESS = ["session_id", "ip"]
+#: Event time goes to Python, whose frames end in 2262; later times count as this one for the watermark.
+LAST = "2250-01-01 00:00:00"
 WINDOWS = "session_id string, ip string, kind string, bucket bigint, value bigint, anchor bigint"
 
 
@@ -46,17 +48,23 @@ def state_store(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def merged(df: DataFrame, keys: list[str], fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+def merged(df: DataFrame, fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Rows folded per batch before they are shuffled, so a hot key arrives as few rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                yield fold(batch)
+                out = fold(batch)
+                yield out.astype({c: object for c in out.columns if out[c].dtype.kind not in "iu"})
 
     return df.mapInPandas(run, schema)
 
 
+def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    """Rows of a processor; plain objects, as frames of several calls are joined behind it."""
+    return pd.DataFrame(rows, columns=columns, dtype=object)
+
+
 # ---- sliding windows --------------------------------------------------------
 
 
@@ -145,7 +153,7 @@ class SlidingAlerts(StatefulProcessor):
             over = over[np.searchsorted(fresh[over], last + self.width, "right") :]
         if out:
             self.alerted.update((last,))
-            yield pd.DataFrame(out, columns=["session_id", "ip", "kind", "bucket", "value", "anchor"])
+            yield _frame(out, [*ADDRESS, "kind", "bucket", "value", "anchor"])
 
     def _closes(self, piece: int) -> int:
         """When nothing that a window anchored in the piece reaches can still come."""
@@ -177,11 +185,17 @@ class SlidingAlerts(StatefulProcessor):
         for bucket in done:
             value, anchor = self.best.getValue((bucket,))
             self.best.removeKey((bucket,))
-            yield pd.DataFrame([(*key, "window", bucket, value, anchor)], columns=["session_id", "ip", "kind", "bucket", "value", "anchor"])
+            yield _frame([(*key, "window", bucket, value, anchor)], [*ADDRESS, "kind", "bucket", "value", "anchor"])
+
+
+def _marked(df: DataFrame, lateness: str) -> DataFrame:
+    """Rows with ``ms`` under a watermark."""
+    time = F.least(F.timestamp_millis("ms"), F.lit(LAST).cast("timestamp"))
+    return df.withColumn("ts", time).withWatermark("ts", lateness)
 
 
 def _per_instant(batch: pd.DataFrame) -> pd.DataFrame:
-    return batch.groupby([*ADDRESS, "ts"], sort=False, dropna=False).size().reset_index(name="n")
+    return batch.groupby([*ADDRESS, "ms"], sort=False, dropna=False).size().reset_index(name="n")
 
 
 def stream_windows(entries: DataFrame, when: Column, threshold: int, width_ms: int = 300_000, lateness: str = "10 minutes") -> DataFrame:
@@ -191,10 +205,9 @@ def stream_windows(entries: DataFrame, when: Column, threshold: int, width_ms: i
     without time, at the epoch or without address match nothing.
     """
     ms = F.unix_millis("ts")
-    timed = entries.withColumn("ts", F.timestamp_millis(ms)).filter(when & (ms != 0) & F.col("ip").isNotNull()).select(*ADDRESS, "ts")
-    counted = merged(timed, ADDRESS, _per_instant, "session_id string, ip string, ts timestamp, n bigint")
-    marked = counted.withWatermark("ts", lateness)
-    return marked.select(*ADDRESS, "ts", F.unix_millis("ts").alias("ms"), "n").groupBy(*ADDRESS).transformWithStateInPandas(
+    timed = entries.filter(when & (ms != 0) & F.col("ip").isNotNull()).select(*ADDRESS, ms.alias("ms"))
+    counted = merged(timed, _per_instant, "session_id string, ip string, ms bigint, n bigint")
+    return _marked(counted, lateness).groupBy(*ADDRESS).transformWithStateInPandas(
         statefulProcessor=SlidingAlerts(width_ms, threshold), outputStructType=WINDOWS, outputMode="Append", timeMode="EventTime")
 
 
@@ -231,10 +244,12 @@ class FirstSeen(StatefulProcessor):
         until = latest + self.quiet
         if self.seen.exists():
             known, = self.seen.get()
-            if until > known:
-                self.seen.update((until,))
-                self.handle.registerTimer(until)
-            return
+            if best[0] <= known:
+                if until > known:
+                    self.seen.update((until,))
+                    self.handle.registerTimer(until)
+                return
+            self.seen.clear()  # quiet for long enough, though its timer has not run yet
         held = self.first.get() if self.first.exists() else None
         if held is None or best[:2] < tuple(held[:2]):
             self.first.update(best)
@@ -250,7 +265,7 @@ class FirstSeen(StatefulProcessor):
                 self.first.clear()
                 self.seen.update((max(at, ms) + self.quiet,))
                 self.handle.registerTimer(max(at, ms) + self.quiet)
-                yield pd.DataFrame([(*key, ms, line_num, raw_line)], columns=[*FIRST_SEEN, "ms", "line_num", "raw_line"])
+                yield _frame([(*key, ms, line_num, raw_line)], [*FIRST_SEEN, "ms", "line_num", "raw_line"])
         elif self.seen.exists() and at >= self.seen.get()[0]:
             self.seen.clear()
 
@@ -260,7 +275,7 @@ def _first_of_batch(batch: pd.DataFrame) -> pd.DataFrame:
     ordered = batch.sort_values(["ms", "line_num"], kind="stable")
     first = ordered.drop_duplicates(FIRST_SEEN).copy()
     last = batch.groupby(FIRST_SEEN, sort=False, dropna=False)["ms"].max().rename("last").reset_index()
-    return first.merge(last, on=FIRST_SEEN)[[*FIRST_SEEN, "ts", "ms", "line_num", "raw_line", "last"]]
+    return first.merge(last, on=FIRST_SEEN)[[*FIRST_SEEN, "ms", "line_num", "raw_line", "last"]]
 
 
 def stream_first_seen_closed(
@@ -274,8 +289,7 @@ def stream_first_seen_closed(
     line = F.coalesce(F.col("line_num").cast("bigint"), F.lit(0)).alias("line_num")
     matched = entries.select(
         "session_id", user.alias("user"), is_.privilege_pattern(F.col("raw_line"), words).alias("pattern"),
-        "ts", F.unix_millis("ts").alias("ms"), line, "raw_line").filter(F.col("pattern").isNotNull() & F.col("ts").isNotNull())
-    least = merged(matched, FIRST_SEEN, _first_of_batch,
-                   "session_id string, user string, pattern string, ts timestamp, ms bigint, line_num bigint, raw_line string, last bigint")
-    return least.withWatermark("ts", lateness).groupBy(*FIRST_SEEN).transformWithStateInPandas(
+        F.unix_millis("ts").alias("ms"), line, "raw_line").filter(F.col("pattern").isNotNull() & F.col("ms").isNotNull())
+    least = merged(matched, _first_of_batch, FIRST_ROW + ", last bigint")
+    return _marked(least, lateness).groupBy(*FIRST_SEEN).transformWithStateInPandas(
         statefulProcessor=FirstSeen(quiet_ms), outputStructType=FIRST_ROW, outputMode="Append", timeMode="EventTime")

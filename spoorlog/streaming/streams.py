@@ -9,8 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,6 +17,8 @@ from spoorlog.functions import predicates as is_
 from spoorlog.functions.text import non_empty
 from spoorlog.operators.parsers import parse_with_format
 from spoorlog.operators.rules import rule_off_hours_access
+from spoorlog.sources import tables
+from spoorlog.streaming.keyed import state_store, stream_windows
 
 
 def read_log_stream(spark: SparkSession, path: str, fmt: str) -> DataFrame:
@@ -27,7 +27,7 @@ def read_log_stream(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     lines = spark.readStream.option("lineSep", "\n").text(path)
     return lines.select(
         F.col("_metadata.file_path").alias("session_id"),
-        F.lit(None).cast("int").alias("line_num"),
+        F.lit(None).cast("bigint").alias("line_num"),
         F.regexp_replace("value", r"\r\z", "").alias("raw_line"),
         F.lit(fmt).alias("format"),
     )
@@ -54,59 +54,18 @@ def stream_rule_counts(
     )
 
 
-def _best_window(width_ms: int):
-    @F.pandas_udf("struct<value: bigint, anchor: bigint>")
-    def best(starts: pd.Series, points: pd.Series) -> pd.DataFrame:
-        out = []
-        for start, seen in zip(starts, points):
-            rows = sorted((p["ms"], p["n"]) for p in seen)
-            ms = np.array([r[0] for r in rows], dtype="int64")
-            total = np.concatenate(([0], np.cumsum([r[1] for r in rows])))
-            anchors = int(np.searchsorted(ms, start + width_ms, "left"))
-            ends = np.searchsorted(ms, ms[:anchors] + width_ms, "right")
-            counts = total[ends] - total[:anchors]
-            top = int(np.argmax(counts)) if anchors else -1
-            out.append((int(counts[top]), int(ms[top])) if anchors else (0, 0))
-        return pd.DataFrame(out, columns=["value", "anchor"])
-
-    return best
-
-
 def stream_brute_force_exact(
     entries: DataFrame, when: Column, threshold: int, width_ms: int = 300_000,
     lateness: str = "10 minutes",
 ) -> DataFrame:
     """The exact anchored window of the batch rule, once per bucket of time.
 
-    Entries are first counted per address and instant. A window of two buckets
-    that moves by one then gathers the anchors of its first bucket with all the
-    rows their windows can reach, at most two buckets of distinct instants. One
-    row comes out per address and bucket in excess, when the watermark closes it;
-    the greatest over the buckets is the batch result.
+    One row comes out per address and bucket in excess, when the watermark closes it;
+    the greatest over the buckets is the batch result. :func:`keyed.stream_windows`
+    has the alerts on the exceeding rows besides.
     """
-    ms = F.unix_millis("ts")
-    counted = (
-        entries.withColumn("ts", F.timestamp_millis(ms))
-        .withWatermark("ts", lateness)
-        .filter(when & (ms != 0))
-        .groupBy("session_id", "ip", "ts")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    span = F.window("ts", f"{2 * width_ms} milliseconds", f"{width_ms} milliseconds")
-    gathered = (
-        counted.groupBy("session_id", "ip", span)
-        .agg(
-            F.sum("n").alias("total"),
-            F.collect_list(F.struct(F.unix_millis("ts").alias("ms"), "n")).alias("points"),
-        )
-        .filter(F.col("total") > threshold)
-    )
-    start = F.unix_millis("window.start")
-    best = gathered.withColumn("best", _best_window(width_ms)(start, F.col("points")))
-    return best.filter(F.col("best.value") > threshold).select(
-        "session_id", "ip", start.alias("bucket"), F.col("best.value").alias("value"),
-        F.col("best.anchor").alias("anchor"),
-    )
+    closed = stream_windows(entries, when, threshold, width_ms, lateness).filter(F.col("kind") == "window")
+    return closed.select("session_id", "ip", "bucket", "value", "anchor")
 
 
 FIRST_SEEN = ["session_id", "user", "pattern"]
@@ -151,8 +110,32 @@ def stream_to_tables(
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
+    return _started(df, write, checkpoint, available_now, mode)
+
+
+def _started(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool, mode: str) -> StreamingQuery:
     writer = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    with state_store(df.sparkSession):
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def stream_to_job_tables(
+    df: DataFrame, path: str, checkpoint: str, add: Callable[[DataFrame, str, str], None] = tables.add_entries,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Commit each micro-batch to a table of the jobs, where ``read_entries`` and the rest find it.
+
+    A batch is named by the query, whose id lies in its checkpoint, and its number. If
+    it is repeated after a failure its name is committed already and nothing changes.
+    ``add`` is :func:`tables.add_entries` or :func:`tables.add_findings`.
+    """
+    spark = df.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        query = spark.read.schema("id string").json(f"{checkpoint}/metadata").first().id
+        add(batch, path, f"s-{query}-{batch_id}")
+
+    return _started(df, write, checkpoint, available_now, "append")
 
 
 def run_to_end(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
@@ -165,7 +148,7 @@ def run_to_end(df: DataFrame, path: str, checkpoint: str, mode: str = "append")
     return df.sparkSession.read.schema(df.schema).parquet(path).drop("batch")
 
 
-END_OF_TIME = "9000-01-01 00:00:00"
+END_OF_TIME = "2249-01-01 00:00:00"
 
 
 def replay(

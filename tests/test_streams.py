@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from spoorlog.functions import predicates as is_
 from spoorlog.operators import rules
 from spoorlog.operators.sliding import sliding_window_max
-from spoorlog.streaming import streams
+from spoorlog.sources import tables
+from spoorlog.streaming import keyed, streams
 
 T0 = dt.datetime(2025, 9, 3, 8)
 RAW = "session_id string, line_num bigint, ts timestamp, ip string, user_name string, raw_line string"
@@ -102,3 +103,60 @@ def test_replay_closes_the_tail(spark, tmp_path):
         if value > 10 and value > counts.get(bucket, (0, 0))[0]:
             counts[bucket] = (value, start)
     assert {r.bucket: (r.value, r.anchor) for r in got} == counts
+
+
+def test_alerts_on_the_exceeding_row(spark, tmp_path):
+    """One alert per window's length, as soon as the trailing window exceeds; state goes behind the watermark."""
+    rows = [("s", i, T0 + dt.timedelta(seconds=10 * i), "9.9.9.9", "u", "ssh failed password") for i in range(100)]
+    later = [("s", 999, T0 + dt.timedelta(days=1), "8.8.8.8", "u", "ssh failed password"), ("s", 998, T0 + dt.timedelta(days=1), None, "u", "ssh failed password")]
+    stream = arrive(spark, tmp_path, [rows[:12], rows[12:60], rows[60:], later])
+    build = keyed.stream_windows(stream, is_.is_ssh_failure(), 10)
+    got = finish(build, tmp_path)
+    start = int(T0.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+    alerts = sorted((r.anchor, r.value) for r in got if r.kind == "alert")
+    assert alerts[0] == (start + 100_000, 11) and len(alerts) == 3
+    assert all(b[0] - a[0] > 300_000 for a, b in zip(alerts, alerts[1:]))
+    assert {r.bucket for r in got if r.kind == "window"} == {start + 300_000 * k for k in range(4)} - {start + 900_000} | (
+        {start + 900_000} if sum(900 <= 10 * i for i in range(100)) > 10 else set())
+
+
+def test_long_windows_are_kept_in_pieces(spark, tmp_path):
+    """Windows longer than a piece of state, rows out of order."""
+    rng = random.Random(3)
+    rows = [("s", i, T0 + dt.timedelta(milliseconds=rng.randrange(9_000_000)), f"1.1.1.{rng.randrange(2)}", "u", "ssh failed password") for i in range(300)]
+    rows.sort(key=lambda r: r[2] + dt.timedelta(seconds=rng.randrange(300)))
+    last = ("s", 9999, T0 + dt.timedelta(days=2), "0.0.0.0", "u", "ssh failed password")
+    stream = arrive(spark, tmp_path, [rows[:150], rows[150:], [last]])
+    best = {}
+    for r in finish(streams.stream_brute_force_exact(stream, is_.is_ssh_failure(), 10, 2_000_000), tmp_path):
+        best[r.ip] = max(best.get(r.ip, (0, 0)), (r.value, -r.anchor))
+    batch = entries(spark.createDataFrame(rows, RAW)).select("session_id", "ip", F.unix_millis("ts").alias("ms"))
+    wanted = {r.ip: (r.value, -r.anchor) for r in sliding_window_max(batch, ["session_id", "ip"], 2_000_000, 10).collect()}
+    assert best == wanted and len(best) == 2
+
+
+def test_first_seen_comes_out_once_and_its_state_ends(spark, tmp_path):
+    def row(i, seconds, user, raw):
+        return ("s", i, T0 + dt.timedelta(seconds=seconds), "1.1.1.1", user, raw)
+
+    stream = arrive(spark, tmp_path, [
+        [row(20, 200, "a", "sudo x"), row(21, 201, "a", "sudo x")], [row(3, 100, "a", "sudo early")], [row(30, 5000, "b", "su - root")],
+        [row(31, 6000, "a", "sudo again")], [row(40, 400_000, "", "sudo")], [row(41, 400_100, "a", "sudo late")], [row(50, 900_000, "z", "usermod")]])
+    got = finish(keyed.stream_first_seen_closed(stream, quiet_ms=24 * 3_600_000), tmp_path)
+    assert sorted((r.user, r.pattern, r.line_num) for r in got) == [
+        ("a", "sudo", 3), ("a", "sudo", 41), ("b", "su -", 30), ("unknown", "sudo", 40)]
+
+
+def test_stream_into_the_job_tables(spark, tmp_path):
+    """Micro-batches are found by the tables' readers; a repeated one changes nothing."""
+    def row(i):
+        return ("s", i, T0 + dt.timedelta(seconds=i), "1.1.1.1", "u", "Accepted password")
+
+    stream, path = arrive(spark, tmp_path, [[row(1), row(2)], [row(3)]]), str(tmp_path / "entries")
+    streams.stream_to_job_tables(stream, path, str(tmp_path / "state")).awaitTermination()
+    assert [r.line_num for r in tables.read_entries(spark, path, "s").collect()] == [1, 2, 3]
+    batch = max(tables.commits(spark, path), key=lambda c: c.seq).batch
+    tables.add_entries(tables.read_entries(spark, path), path, batch)
+    assert tables.read_entries(spark, path).count() == 3
+    streams.stream_to_job_tables(stream, path, str(tmp_path / "state")).awaitTermination()
+    assert tables.read_entries(spark, path).count() == 3 and len(tables.commits(spark, path)) == 2
