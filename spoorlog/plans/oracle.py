@@ -323,7 +323,8 @@ ORACLE["chunks_table"] = """
 SELECT 'label-' || label AS session_id, vec_id AS chunk_index, len(embedding)::BIGINT AS width,
   round(list_sum(embedding::DOUBLE[]), 3) AS total FROM embeddings WHERE label = 3"""
 ORACLE["ann_search"] = """
-SELECT 'label-' || label AS session_id, count(*) * least(count(*), 10) AS wanted, TRUE AS enough FROM embeddings GROUP BY label"""
+SELECT 'label-' || label AS session_id, count(*) * least(count(*), 10) AS wanted, count(*) * count(*) AS pairs, count(*) AS listed,
+  TRUE AS enough, TRUE AS few FROM embeddings GROUP BY label"""
 ORACLE["ask_documents"] = """
 SELECT conv_id || '-' || turn AS query_id, 'host-' || (conv_id % 4) AS session_id, md5(text) AS question_md5
 FROM conversations WHERE role = 'user'"""
@@ -344,6 +345,9 @@ FROM s WINDOW w AS (PARTITION BY session_id, query_id ORDER BY sim DESC, chunk_i
 QUALIFY row_number() OVER w <= 10"""
 
 
+ORACLE["ann_hits"] = f"""SELECT * FROM ({ORACLE["search_batch"]}) WHERE rank = 1"""
+
+
 def _context(budget: int) -> str:
     """Snippets per source while their running length fits ``budget``.
 
@@ -514,3 +518,20 @@ n AS (SELECT *, (ms // {DAY}) * {DAY} AS bucket, count(*) OVER (PARTITION BY ses
     RANGE BETWEEN CURRENT ROW AND {DAY} FOLLOWING) AS value FROM f)
 SELECT session_id, ip, bucket, value, ms AS anchor FROM n
 QUALIFY row_number() OVER (PARTITION BY session_id, ip, bucket ORDER BY value DESC, ms) = 1 AND value > 2"""
+ORACLE["stream_alerts"] = f"""
+WITH {EV}, f AS (SELECT session_id, ip, ms FROM ev WHERE event_type = 'error'),
+n AS (SELECT *, count(*) OVER (PARTITION BY session_id, ip ORDER BY ms RANGE BETWEEN {DAY} PRECEDING AND CURRENT ROW) AS value FROM f)
+SELECT DISTINCT session_id, ip, ms AS anchor, value FROM n WHERE value > 2
+QUALIFY row_number() OVER (PARTITION BY session_id, ip ORDER BY ms) = 1"""
+ORACLE["stream_first_seen_closed"] = ORACLE["stream_first_seen"]
+ORACLE["stream_entries_table"] = ORACLE["entries_table"]
+ORACLE["compact_table"] = f"""
+WITH {EV} SELECT session_id, count(*) AS n, sum(line_num)::BIGINT AS lines, 1::BIGINT AS batches, 3::BIGINT AS dropped FROM ev
+WHERE session_id IN ('host-0', 'host-3') OR session_id = 'host-1' AND event_type = 'view' GROUP BY 1"""
+ORACLE["delete_sessions"] = f"""
+{FINDINGS} SELECT session_id, count(*) AS n, 'findings' AS held FROM findings WHERE session_id NOT IN ('host-1', 'host-2') GROUP BY 1
+UNION ALL SELECT session_id, count(*), 'entries' FROM ev WHERE session_id <> 'host-1' GROUP BY 1"""
+ORACLE["ingest_states"] = f"""
+WITH {EV}, s AS (SELECT {_DAILY} AS day, count(*) AS n FROM ev GROUP BY 1)
+SELECT 'completed' AS status, count(*) AS sessions, sum(n)::BIGINT AS lines FROM s
+UNION ALL SELECT 'failed', count(*), 0 FROM s UNION ALL SELECT 'observed', 0, sum(n)::BIGINT FROM s"""

@@ -23,13 +23,14 @@ from spoorlog.operators import (
     retrieval,
     rules,
     states,
+    vector_index,
 )
 from spoorlog.plans import adapters as A
 from spoorlog.plans.ask import ask
 from spoorlog.plans.ingest import ingest
 from spoorlog.session import prepare, shared_dir, staged
 from spoorlog.sources import logs, tables
-from spoorlog.streaming import streams
+from spoorlog.streaming import keyed, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 DAY = A.DAY
@@ -263,6 +264,64 @@ def entries_of_session(spark, sf_dir):
         left.select("session_id", F.lit(0).cast("bigint").alias("line_num"), "n"))
 
 
+def kept_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """Entries per session of a table of which one session was rewritten and one emptied."""
+    rows = tables.read_entries(spark, path)
+    return rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.sum("line_num").alias("lines"))
+
+
+@query
+def compact_table(spark, sf_dir):
+    """A table with replaced sessions, rewritten as one batch; what is read, and how many batches are left."""
+    path = scratch(spark, "entries")
+    stored = entries(spark, sf_dir)
+    tables.write_entries(stored, path)
+    tables.write_entries(stored.filter((F.col("session_id") == "host-1") & (F.col("action") == "GET")), path)
+    tables.write_entries(stored.limit(0), path, spark.createDataFrame([("host-2",)], "session_id string"))
+    tables.compact(spark, path)
+    dropped = tables.expire(spark, path)
+    return kept_sessions(spark, path).withColumns({
+        "batches": F.lit(len(tables.commits(spark, path))).cast("bigint"), "dropped": F.lit(dropped).cast("bigint")})
+
+
+@query
+def delete_sessions(spark, sf_dir):
+    """Sessions taken out of all tables by one call, then one of them uploaded again."""
+    target = scratch(spark, "job")
+    stored = entries(spark, sf_dir)
+    tables.write_entries(stored, f"{target}/entries")
+    tables.write_findings(findings(spark, sf_dir), f"{target}/findings")
+    tables.delete_sessions(spark.createDataFrame([("host-1",), ("host-2",), ("nobody",)], "session_id string"), target)
+    tables.write_entries(stored.filter(F.col("session_id") == "host-2"), f"{target}/entries")
+    count = lambda df, name: df.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).withColumn("held", F.lit(name))
+    return count(tables.read_entries(spark, f"{target}/entries"), "entries").unionByName(
+        count(tables.read_findings(spark, f"{target}/findings"), "findings"))
+
+
+@query
+def ingest_states(spark, sf_dir):
+    """Sessions of the ingest with their owner and state, after a run and after one that failed."""
+    base, events = scratch(spark, "ingest"), A.load(spark, sf_dir, "events")
+    lines = A.daily_logs(events).select(F.col("session_id").alias("day"), "line_num", "raw_line")
+    (lines.repartition("day").sortWithinPartitions("day", "line_num").select("day", F.col("raw_line").alias("value"))
+     .write.partitionBy("day").text(f"{base}/in"))
+    out = ingest(spark, f"{base}/in", f"{base}/tables", YEAR, embed=lambda df: chunking.embed_constant(df, 4), owner="ann")
+    rows = tables.sessions_of_user(tables.read_sessions_table(spark, f"{base}/tables/sessions"), "ann")
+    done = staged(rows.groupBy("status").agg(F.count(F.lit(1)).alias("sessions"), F.sum("log_count").alias("lines")), "done")
+
+    def broken(df):
+        raise RuntimeError("no embedding service")
+
+    try:
+        ingest(spark, f"{base}/in", f"{base}/tables", YEAR, embed=broken, owner="ann")
+    except RuntimeError:
+        pass
+    lost = tables.read_sessions_table(spark, f"{base}/tables/sessions").groupBy("status").agg(
+        F.count(F.lit(1)).alias("sessions"), F.sum("log_count").alias("lines"))
+    total = out.agg(F.lit("observed").alias("status"), F.sum("failed").alias("sessions"), F.sum("parsed").alias("lines"))
+    return done.unionByName(lost).unionByName(total)
+
+
 @query
 def ingest_tables(spark, sf_dir):
     """Daily logs as files, through the whole ingest, twice; per session what the tables hold."""
@@ -451,10 +510,24 @@ def search_batch(spark, sf_dir):
 
 @query
 def ann_search(spark, sf_dir):
-    """How much of the exact top ten the approximate search finds, per session."""
+    """The approximate search as it comes: whether it finds nine in ten of the exact top ten and scores under two fifths exactly."""
     asked, chunks = vector_queries(spark, sf_dir), vector_chunks(spark, sf_dir)
-    found = retrieval.recall(retrieval.ann_search(chunks, asked, 10, probes=56), retrieval.search_batch(asked, chunks, 10))
-    return found.select("session_id", "wanted", (F.col("recall") >= 0.9).alias("enough"))
+    path = scratch(spark, "index")
+    vector_index.build(chunks, path)
+    found = staged(vector_index.candidates(spark, path, asked), "candidates")
+    quality = retrieval.recall(vector_index.ranked(found, asked, chunks), retrieval.search_batch(asked, chunks, 10))
+    share = vector_index.scored_share(found, asked, chunks).withColumnRenamed("session_id", "of")
+    stored = spark.read.parquet(f"{path}/lists").groupBy("session_id").agg(F.count(F.lit(1)).alias("listed")).withColumnRenamed("session_id", "at")
+    both = quality.join(share, F.col("session_id") == F.col("of")).join(stored, F.col("session_id") == F.col("at"))
+    return both.select(
+        "session_id", "wanted", "pairs", "listed", (F.col("recall") >= 0.9).alias("enough"), (F.col("share") <= 0.4).alias("few"))
+
+
+@query
+def ann_hits(spark, sf_dir):
+    """The nearest chunk of every query by the trained index, a vector being its own nearest."""
+    hits = retrieval.ann_search(vector_chunks(spark, sf_dir), vector_queries(spark, sf_dir))
+    return scored(hits.filter(F.col("rank") == 1))
 
 
 @query
@@ -734,6 +807,34 @@ def stream_off_hours(spark, sf_dir):
     return flat(streamed(streams.stream_off_hours(entries), "stream-off-hours"))
 
 
+@query
+def stream_alerts(spark, sf_dir):
+    """The row at which each address first exceeds, as the stream tells it at once."""
+    rows = replayed(
+        spark, sf_dir, lambda e: keyed.stream_windows(e, is_.is_ssh_failure(), SSH_LIMIT, DAY, "1 hour"), "stream-alerts")
+    first = rows.filter(F.col("kind") == "alert").groupBy("session_id", "ip").agg(F.min(F.struct("anchor", "value")).alias("first"))
+    return first.select("session_id", "ip", "first.anchor", "first.value")
+
+
+@query
+def stream_first_seen_closed(spark, sf_dir):
+    """First privilege patterns as final rows, from state that ends behind the watermark."""
+    known = A.event_entries(event_stream(spark, sf_dir))
+    last = {"format": "syslog", "session_id": "end", "raw_line": "sudo"}
+    rows = streams.replay(known, keyed.stream_first_seen_closed, scratch(spark, "stream-closed"), scratch(spark, "stream-closed-state"), last)
+    return rows.select("session_id", "user", "pattern", "ms", "line_num")
+
+
+@query
+def stream_entries_table(spark, sf_dir):
+    """A stream committed into the entries table, and read back as the jobs read it."""
+    path, state = scratch(spark, "entries"), scratch(spark, "entries-state")
+    known = A.event_entries(event_stream(spark, sf_dir))
+    for _ in range(2):
+        streams.stream_to_job_tables(known, path, state).awaitTermination()
+    return parsed(tables.read_entries(spark, path))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: mixed raw logs, formats detected, parsed, all rules applied."""
     stored = staged(parsers.parse_logs(daily_lines(prepare(spark), sf_dir), YEAR), "entries")
