@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from spoorlog import schemas
-from spoorlog.operators import quota, reports, states
+from spoorlog.operators import quota, reports, sliding, states
 from spoorlog.sources import tables
 
 EVIDENCE = schemas.EVIDENCE
@@ -136,3 +136,91 @@ def test_session_states(spark):
     rows = spark.createDataFrame([("s", 1), ("q", 2)], "session_id string, n int")
     assert [r.n for r in states.keep_valid_sessions(rows, sessions).collect()] == [1]
     assert [r.n for r in states.orphans(rows, sessions).collect()] == [2]
+
+
+def test_quota_in_pieces_equals_loop(spark, monkeypatch):
+    """Windows longer than a piece, one user with most rows: no task sees more than a piece of it."""
+    monkeypatch.setattr(sliding, "PIECE_MS", 100)
+    rng = random.Random(4)
+    rows = [(i, "a" if rng.random() < 0.7 else "b", "x", rng.choice([rng.randrange(6000), 700 * rng.randrange(8)])) for i in range(400)]
+    df = spark.createDataFrame(rows, "n int, user_id string, kind string, ms bigint")
+    for width in (150, 1000, 2500):
+        wanted = set()
+        for n, user, kind, ms in rows:
+            inside = [m for _, u, k, m in rows if (u, k) == (user, kind) and ms - width <= m <= ms]
+            if len(inside) > 15:
+                wanted.add((n, len(inside), -((ms - width - min(inside)) // 1000)))
+        got = {(r.n, r.in_window, r.retry_after) for r in quota.quota_audit(df, 15, width).collect()}
+        assert got == wanted and wanted
+    spans = df.select("user_id", "kind", "n", F.col("ms").alias("at"), F.lit(1).alias("delta"), F.lit(True).alias("point"), sliding.bucket_of(F.col("ms"), 2500).alias("bucket"))
+    cut = sliding.carried_in(spans, ["user_id", "kind", "bucket"], "at", F.sum("delta"), {"delta": F.sum("part")})
+    sizes = [r["count"] for r in cut.groupBy("user_id", "kind", "bucket", "piece").count().collect()]
+    assert max(sizes) <= 1 + max(sum(u == "a" and m // 100 == p for _, u, _, m in rows) for p in range(60))
+
+
+def test_distinct_values_in_pieces_equal_loop(spark, monkeypatch):
+    monkeypatch.setattr(sliding, "PIECE_MS", 100)
+    rng = random.Random(6)
+    rows = [("a" if rng.random() < 0.7 else "b", rng.randrange(12), rng.randrange(5000)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "ip string, port int, ms bigint")
+    for width in (900, 2100):
+        best = {}
+        for ip, _, at in rows:
+            value = len({p for i, p, m in rows if i == ip and at <= m <= at + width})
+            best[ip] = max(best.get(ip, (0, 0)), (value, -at))
+        got = {r.ip: (r.value, -r.anchor) for r in sliding.sliding_window_max(df, ["ip"], width, 3, "port").collect()}
+        assert got == {k: v for k, v in best.items() if v[0] > 3}
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_tables_without_rewrites_are_read_without_a_join(spark, tmp_path):
+    path = str(tmp_path / "e")
+    tables.write_entries(entry(spark, [("s", 1, at(1), "1.1.1.1"), ("t", 1, at(1), None)]), path)
+    tables.write_entries(entry(spark, [("u", 1, at(2), "x")]), path)
+    fresh = tables.read_entries(spark, path)
+    assert "Join" not in fresh._jdf.queryExecution().optimizedPlan().toString() and shuffles(fresh) == 0
+    tables.write_entries(entry(spark, [("s", 5, at(3), "y"), ("s", 6, at(3), "y")]), path)
+    rewritten = tables.read_entries(spark, path)
+    assert sorted((r.session_id, r.line_num) for r in rewritten.collect()) == [("s", 5), ("s", 6), ("t", 1), ("u", 1)]
+    assert "Join" in rewritten._jdf.queryExecution().optimizedPlan().toString()
+    tables.compact(spark, path)
+    after = tables.read_entries(spark, path)
+    assert "Join" not in after._jdf.queryExecution().optimizedPlan().toString() and len(tables.commits(spark, path)) == 1
+    assert sorted((r.session_id, r.line_num) for r in after.collect()) == [("s", 5), ("s", 6), ("t", 1), ("u", 1)]
+    assert tables.expire(spark, path) == 3 and tables.expire(spark, path) == 3 and after.count() == 4
+    tables.write_entries(entry(spark, [("t", 9, at(4), "z")]), path)
+    assert sorted((r.session_id, r.line_num) for r in tables.read_entries(spark, path).collect()) == [("s", 5), ("s", 6), ("t", 9), ("u", 1)]
+
+
+def test_a_write_that_dies_leaves_the_table(spark, tmp_path):
+    path = str(tmp_path / "e")
+    tables.write_entries(entry(spark, [("s", 1, at(1), "1.1.1.1")]), path)
+    bad = entry(spark, [("s", 2, at(1), "x")]).withColumn("raw_line", F.raise_error(F.lit("lost")).cast("string"))
+    for _ in range(2):
+        try:
+            tables.write_entries(bad, path)
+        except Exception:  # noqa: BLE001
+            pass
+    assert [r.line_num for r in tables.read_entries(spark, path).collect()] == [1] and len(tables.commits(spark, path)) == 1
+
+
+def test_deleted_sessions_leave_every_table(spark, tmp_path):
+    target = str(tmp_path)
+    rows = entry(spark, [("s", 1, at(1), "x"), ("t", 1, at(1), "y")])
+    sessions = spark.createDataFrame([("s", "u"), ("t", "u")], "id string, user_id string")
+    for _ in range(2):
+        tables.write_entries(rows, f"{target}/entries")
+    tables.write_findings(finding(spark, [("s", 1, 1, "high", "a", {}), ("t", 1, 1, "high", "b", {})]), f"{target}/findings")
+    tables.write_sessions(sessions, f"{target}/sessions")
+    gone = spark.createDataFrame([("s",), ("s",), ("other",), (None,)], "session_id string")
+    for _ in range(2):
+        tables.delete_sessions(gone, target)
+        held = [tables.read_entries(spark, f"{target}/entries"), tables.read_findings(spark, f"{target}/findings"),
+                tables.read_sessions_table(spark, f"{target}/sessions").withColumn("session_id", F.col("id"))]
+        assert [[r.session_id for r in df.collect()] for df in held] == [["t"]] * 3
+        assert tables.read_entries(spark, f"{target}/entries", "s").count() == 0
+    tables.write_entries(rows.filter("session_id = 's'"), f"{target}/entries")
+    assert tables.read_entries(spark, f"{target}/entries").count() == 2
