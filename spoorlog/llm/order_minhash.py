@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoorlog.llm.components import components, grown, with_comp
@@ -252,9 +252,9 @@ def _compared(pairs: DataFrame, words: DataFrame, least: float, floor: float) ->
                 "distance": pa.array([d for _, d in found], pa.int32())})
 
     side = lambda node, name: words.select(F.col("node").alias(node), F.col("words").alias(name))
+    # The first text is the centre of many pairs; by the second, of which a node has one a key at most, the pairs are dealt out evenly.
     joined = pairs.select("a", "b").join(side("a", "wa"), "a").join(side("b", "wb"), "b")
-    # Alignments cost far more than their rows weigh: deal them out evenly.
-    return joined.select("a", "b", "wa", "wb").repartition(F.hash("a", "b")).mapInArrow(run, COMPARED)
+    return joined.select("a", "b", "wa", "wb").mapInArrow(run, COMPARED)
 
 
 def links(df: DataFrame, sketched: DataFrame, least: float = SIMILARITY, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -279,7 +279,7 @@ def links(df: DataFrame, sketched: DataFrame, least: float = SIMILARITY, rounds:
         known = staged(known.union(fresh), "omh-known")
         ends = (F.col("centre") == F.col("a")) & (F.col("node") == F.col("b"))
         rated = staged(spokes.join(known, ends).select("key", "node", "kind", "distance"), "omh-rated")
-        comp = components(_linked(known)) if comp is None else grown(comp, _linked(known))
+        comp = components(_thinned(_linked(known))) if comp is None else grown(comp, _linked(known))
         between = rated.filter(F.col("kind") == BETWEEN)
         near = rated.filter(F.col("kind") == LINKED).join(between.select("key").distinct(), "key", "left_semi")
         # Two texts differ by at least the difference of their distances to the centre.
@@ -312,6 +312,17 @@ def _linked(known: DataFrame) -> DataFrame:
     return known.filter(F.col("kind") == LINKED).select("a", "b")
 
 
+def _thinned(links: DataFrame) -> DataFrame:
+    """Fewer links that connect the same nodes.
+
+    A node is mostly linked to many centres that are one class anyway. It keeps the
+    link to the least of them, and the others are linked to that one instead, which
+    is the same few links over and over.
+    """
+    least = links.withColumn("least", F.min("a").over(Window.partitionBy("b")))
+    return least.select(F.col("least").alias("a"), "b").union(least.select("least", "a")).filter("a <> b").distinct()
+
+
 def _extended(known: DataFrame, pairs: DataFrame, words: DataFrame, least: float, floor: float) -> DataFrame:
     """``known`` and the comparisons of those pairs (x, y) that it does not have."""
     ordered = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -320,16 +331,13 @@ def _extended(known: DataFrame, pairs: DataFrame, words: DataFrame, least: float
 
 
 def classes(df: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """doc_id, node, comp, class_id, class_size and n_links (of the document's text), one row per input row."""
+    """doc_id, node, comp, class_id and class_size, one row per input row."""
     sketched = staged(sketch(df), "omh-sketches")
-    found, comp = links(df, sketched, least)
-    degree = found.select(F.col("a").alias("node")).union(found.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
+    _, comp = links(df, sketched, least)
     per_node = sketched.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     named = with_comp(per_node, comp, "node", "comp")
     total = named.groupBy("comp").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    table = staged(
-        named.join(total, "comp").join(degree.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select(
-            "node", "comp", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")), "omh-classes")
+    table = staged(named.join(total, "comp").select("node", "comp", "class_id", "class_size"), "omh-classes")
     return sketched.select("doc_id", "node").join(table, "node")
 
 

@@ -140,7 +140,7 @@ def op8_toxicity(spark, sf_dir):
 
 @query
 def op9_order_minhash(spark, sf_dir):
-    return order_minhash.classes(load(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")
+    return order_minhash.classes(load(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
 @query
