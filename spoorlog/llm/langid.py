@@ -147,7 +147,8 @@ def keep_accepted(df: DataFrame, profiles: Profiles, enough: int = 100) -> DataF
 
     Texts without letters go. So do texts of ``enough`` letters that no language
     explains: unrelated texts have a cosine of about 1 / sqrt(dim), and three times
-    that is the limit. A shorter text gives no ground to reject it.
+    that is the limit. A shorter text gives no ground to reject it, and where no row
+    has a language, so that there are no profiles, no text with letters is rejected.
     """
     schema = df.schema
     at = df.columns.index("text")
@@ -160,7 +161,7 @@ def keep_accepted(df: DataFrame, profiles: Profiles, enough: int = 100) -> DataF
             for _, block in blocks(texts):
                 vectors, letters = text_vectors(block, profiles.dim, profiles.seed)
                 vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-                best = (vectors @ profiles.vectors.T).max(1) if profiles.langs else np.zeros(block.n)
+                best = (vectors @ profiles.vectors.T).max(1) if profiles.langs else np.full(block.n, np.inf)
                 keep.extend(((letters > 0) & ((best > limit) | (letters < enough))).tolist())
             yield batch.filter(pa.array(keep, pa.bool_()))
 

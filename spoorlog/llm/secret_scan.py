@@ -3,12 +3,16 @@
 Three plain patterns always apply: a value given to a password-like word
 (``assign``), access key ids (``access``) and long hexadecimal runs (``hex``).
 On top of them the scan reads assignments the way source and configuration files
-write them: a name, one of ``= : := =>``, and an expression of quoted strings,
-bare values and other names joined by ``+``. Strings given to names are
+write them: a name, one of ``= : := =>``, and an expression of quoted strings (also
+in threes, with a prefix letter, in parentheses or on the line behind the name),
+bare values and other names, joined by ``+`` or as alternatives by ``or``. Strings
+joined by ``+`` are scored as one. Strings given to names are
 constants; where a name is used in a later value, or inside a string as
 ``${name}``, its string flows on to the new target. Each literal is scored by the
 most sensitive name it reaches, times how much it looks like a credential, and
-literals from 0.5 up are ``named`` spans unless a plain pattern has them. In a
+literals from 0.5 up are ``named`` spans unless a plain pattern has all of them; the
+mask covers both. What is called, and words after weakly sensitive names, are no
+literals. In a
 typed declaration (``name: type =``, ``name type =``) the name is the target; a
 type that a plain pattern takes for the value is not masked when the literal is.
 
@@ -51,7 +55,7 @@ WEIGHTS = {
 DUMMIES = re.compile(r"(?i)^(?:true|false|null|none|nil|undefined|changeme|example.*|your[-_ ].*|<.*>|x+|\*+|\.+|test|todo)$")
 
 SEPARATOR = re.compile(r":=|=>|=(?!=)|:(?!:)")
-STRING = re.compile(r'''"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`((?:[^`\\]|\\.)*+)`''')
+STRING = re.compile(r'''(?:[fFrRbBuU]{1,2}(?=["']))?+(?:"""((?:[^"\\]|\\.|"(?!""))*+)"""|''' + r"""'''((?:[^'\\]|\\.|'(?!''))*+)'''|""" + r'''"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`((?:[^`\\]|\\.)*+)`)''', re.S)
 BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>+|&]+""")
 NAME = re.compile(r"[A-Za-z_$][\w.$-]*+", re.A)
 HOLE = re.compile(r"\$\{?([A-Za-z_]\w*)\}?", re.A)
@@ -67,6 +71,11 @@ TYPES = frozenset(
     "uint16 uint32 uint64 u8 u16 u32 u64 i8 i16 i32 i64 usize float float32 float64 double f32 f64 decimal number bool boolean uuid".split())
 DECLARES = frozenset(("var", "const"))
 KEYWORDS = DECLARES | frozenset(("let", "val", "static", "final", "public", "private", "protected", "readonly", "export", "mut"))
+#: Plain words, which only strongly sensitive names make a secret of.
+WORDY = re.compile(r"[A-Za-z]?[a-z]+\d{0,2}(?:[-_.][A-Za-z]?[a-z]+\d{0,2})*")
+#: A value on the lines behind its name: a string, or a block of lines.
+BEHIND = re.compile(r"[ \t(]*+(?:\r?\n[ \t(]*+){1,3}(?=[fFrRbBuU]{0,2}[\"'`])|[ \t]*+[|>][+-]?[ \t]*+\r?\n[ \t]++")
+JOINT = re.compile(r"[ \t]*+\)?[ \t]*+(\+|\bor\b|\|\||\?\?)[ \t]*+(?:\r?\n[ \t]*+)?")
 NAME_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.$-")
 
 Span = tuple[int, int]
@@ -130,34 +139,46 @@ def targets(text: str, at: int, sign: str) -> list[str]:
     return [name, word] if name_before(text, start) in DECLARES and text[start - 1] in " \t" else [word]
 
 
-def operands(text: str, at: int) -> tuple[list[tuple[str, int, int]], int]:
-    """Strings, bare values and names of an expression from ``at``, joined by plus signs; and its end."""
+def operands(text: str, at: int) -> tuple[list[tuple[str, int, int]], list[int], int]:
+    """Strings, bare values and names of an expression from ``at``, and its end.
+
+    The second list says for each operand after the first whether ``+`` joins it to
+    the one before. What is called with parentheses is no operand.
+    """
     out: list[tuple[str, int, int]] = []
+    plus: list[int] = []
+    if m := BEHIND.match(text, at):
+        at = m.end()
+    sign = 0
     while True:
-        while at < len(text) and text[at] in " \t":
+        while at < len(text) and text[at] in " \t(":
             at += 1
         if m := STRING.match(text, at):
             k = m.lastindex or 1
-            out.append(("string", m.start(k), m.end(k)))
+            found = ("string", m.start(k), m.end(k))
         elif m := BARE.match(text, at):
-            whole = NAME.fullmatch(text, m.start(), m.end())
-            out.append(("name" if whole else "bare", m.start(), m.end()))
+            found = ("name" if NAME.fullmatch(text, m.start(), m.end()) else "bare", m.start(), m.end())
+            if found[0] == "name" and m[0] in ("or", "not"):
+                return out, plus, at
         else:
-            return out, at
+            return out, plus, at
         at = m.end()
-        after = at
-        while after < len(text) and text[after] in " \t":
-            after += 1
-        if text[after : after + 1] != "+":
-            return out, at
-        at = after + 1
+        if found[0] == "string" or text[at : at + 1] != "(":
+            if out:
+                plus.append(sign)
+            out.append(found)
+        joint = JOINT.match(text, at)
+        if joint is None:
+            return out, plus, at
+        sign, at = int(joint[1] == "+"), joint.end()
 
 
 def declared_literals(text: str, limit: float = 0.5) -> tuple[list[Span], list[Span]]:
     """Literals that reach a sensitive name, in order; and the types that stand before such literals of typed declarations."""
     constants: dict[str, int] = {}  # the last assignment of each name
     weights: list[float] = []  # of each assignment
-    parts_of: list[dict[Span | int, None]] = []  # its literals and the assignments it takes its other values from
+    parts_of: list[dict[tuple[Span, ...] | int, None]] = []  # its literals, those joined together, and the assignments it takes other values from
+    bare: set[Span] = set()
     types: list[tuple[Span, list[Span]]] = []
     at = 0
     while m := SEPARATOR.search(text, at):
@@ -168,23 +189,34 @@ def declared_literals(text: str, limit: float = 0.5) -> tuple[list[Span], list[S
             if name and operands(text, typed.end())[0]:
                 begin, kind_of = typed.end(), typed.span(1)
                 names = [name] if is_type(typed[1]) else [name, typed[1]]
-        parts, at = operands(text, begin) if names else ([], begin)
+        parts, plus, at = operands(text, begin) if names else ([], [], begin)
         at = max(at, begin)
-        values: dict[Span | int, None] = {}
-        for kind, start, end in parts:
+        values: dict[tuple[Span, ...] | int, None] = {}
+        run: list[Span] = []  # strings joined by plus signs
+        for n, (kind, start, end) in enumerate(parts):
+            if n and not plus[n - 1] or kind != "string":
+                if len(run) > 1:
+                    values[tuple(run)] = None
+                run = []
+            if kind == "string":
+                run.append((start, end))
+            else:
+                bare.add((start, end))
             known = constants.get(text[start:end]) if kind == "name" else None
-            values[(start, end) if known is None else known] = None
+            values[((start, end),) if known is None else known] = None
             if kind != "name":
                 for hole in HOLE.finditer(text, start, end):
                     if hole[1] in constants:
                         values[constants[hole[1]]] = None
+        if len(run) > 1:
+            values[tuple(run)] = None
         if len(parts) == 1 and parts[0][0] == "bare" and text[m.start()] == ":" and "//" in text[m.start() : m.start() + 3]:
             continue  # an address, not an assignment
         if names and values:
             if kind_of and is_type(text[slice(*kind_of)]):
                 types.append((kind_of, [(a, b) for _, a, b in parts]))
             elif kind_of and any(c.isdigit() for c in text[slice(*kind_of)]):
-                values[kind_of] = None  # rather a value than a type
+                values[(kind_of,)] = None  # rather a value than a type
             for name in names:
                 constants[name] = len(weights)
             weights.append(max(map(name_score, names)))
@@ -193,14 +225,19 @@ def declared_literals(text: str, limit: float = 0.5) -> tuple[list[Span], list[S
                 at = max(begin, parts[-1][1])
                 if SEPARATOR.search(text, at, parts[-1][2]) is None:
                     at = max(at, parts[-1][2])
-    best: dict[Span, float] = {}
+    best: dict[tuple[Span, ...], float] = {}
     for i in range(len(weights) - 1, -1, -1):  # an assignment's values are older than itself
         for value in parts_of[i]:
             if isinstance(value, int):
                 weights[value] = max(weights[value], weights[i])
             else:
                 best[value] = max(best.get(value, 0.0), weights[i])
-    found = {s for s, w in best.items() if w and w * literal_score(text[s[0] : s[1]]) >= limit}
+    found: set[Span] = set()
+    for pieces, weight in best.items():
+        value = "".join(text[a:b] for a, b in pieces)
+        wordy = weight < 0.8 and pieces[0] in bare and WORDY.fullmatch(value)
+        if weight and not wordy and weight * literal_score(value) >= limit:
+            found.update(pieces)
     return sorted(found), [t for t, own in types if any(s in found for s in own)]
 
 
@@ -230,8 +267,12 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[Span]]:
         named, types = declared_literals(text)
         beginnings = {a: b for a, b in types}
         secret = [(a, b) for a, b in secret if a not in beginnings or text[a:b].rstrip("=") != text[a : beginnings[a]]]
+        reach = at = 0  # both lists are in order: how far the base spans go that begin no later than the literal
         for a, b in named:
-            if not any(x < b and a < y for x, y in base):
+            while at < len(base) and base[at][0] <= a:
+                reach = max(reach, base[at][1])
+                at += 1
+            if b > reach:
                 spans.append(("named", a, b))
                 secret.append((a, b))
     spans.sort(key=lambda s: (s[1], KINDS.index(s[0]), s[2]))

@@ -42,3 +42,8 @@ def test_keeps_short_texts_and_drops_what_no_language_explains(docs):
     profiles = langid.train(docs([(i, t * 3, lang, None) for i, (lang, t) in enumerate((lang, t) for lang, ts in TRAIN.items() for t in ts)]))
     rows = ["Avec.", "the old book", "12 34", "щжю чыъ фхц " * 30]
     assert [r.text for r in langid.keep_accepted(docs(rows), profiles).collect()] == rows[:2]
+
+
+def test_nothing_is_rejected_without_profiles(docs):
+    rows = docs([(i, "some words of a language that nobody has told us about " * 5, None, None) for i in range(20)] + [(30, "123", None, None)])
+    assert langid.keep_accepted(rows, langid.train(rows)).count() == 20

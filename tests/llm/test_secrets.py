@@ -1,6 +1,8 @@
 import hashlib
 import re
+import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -78,3 +80,25 @@ def test_constants_do_not_double():
     text = f'{names[0]} = "Zx81kQpT44mw"\n' + "".join(f'{y} = {x} + {x} + "q8Zt55pLm{y}"\n' for x, y in zip(names, names[1:]))
     assert found(text) == []
     assert len(found(text + f"auth_pwd = {names[-1]}\n")) == 5000
+
+
+WHOLE = [
+    ('password = "Zx9-qq!Lm3Qk"', 'password = "@"'), ('token: "eyJhb.GciOi~JIUzI1"', 'token: "@"'),
+    ('db_pwd = ("Zx9-qq!Lm3Qk")', 'db_pwd = ("@")'), ('db_pwd = """Zx9-qq!Lm3Qk"""', 'db_pwd = """@"""'),
+    ("db_pwd = f'Zx9-qq!Lm3Qk'", "db_pwd = f'@'"), ('"db_pwd":\n   "Zx9-qq!Lm3Qk"', '"db_pwd":\n   "@"'),
+    ("db_pwd: |\n   Zx9-qq!Lm3Qk\nx: 1", "db_pwd: |\n   @\nx: 1"), ('db_pwd = env or "Zx9-qq!Lm3Qk"', 'db_pwd = env or "@"'),
+    ('db_pwd = "Zx9-q" + "q!Lm3" + "Qa7Bc"', 'db_pwd = "@" + "@" + "@"'), ("passphrase = a.strip()", "passphrase = a.strip()"),
+    ("cookie: delicious-chocolate9", "cookie: delicious-chocolate9"), ('x = """unclosed', 'x = """unclosed'),
+]
+
+
+@pytest.mark.parametrize("text, wanted", WHOLE)
+def test_whole_literals_are_masked(text, wanted):
+    assert S.masked(text) == wanted.replace("@", S.MASK)
+
+
+def test_many_secrets_in_linear_time():
+    text = "\n".join(f'password = "Zx9-qq!Lm{i}Qk"' for i in range(8000))
+    began = time.perf_counter()
+    spans, secret = S.scan(text)
+    assert time.perf_counter() - began < 4 and len(secret) == 8000 and len(spans) == 16_000
