@@ -204,14 +204,16 @@ def compared(a: np.ndarray, b: np.ndarray, least: float, floor: float) -> tuple[
 # ---- links and classes ------------------------------------------------------
 
 
-PARITY = 16  # numbers of 64 bits
+PARITY = 64  # numbers of 64 bits
 
 
 def parities(word: np.ndarray) -> list[int]:
-    """For 1024 classes of words, whether their number is odd, as bits.
+    """For 4096 classes of words, whether their number is odd, as bits.
 
-    One edit changes two classes at most, so half the bits in which two texts
-    differ is a lower bound of their distance.
+    The words that one text has and another lacks, and those the other way round, are
+    at least as many as the bits that differ, and they differ in number as the texts
+    do in length. An edit makes up for one of each, so the larger of the two numbers,
+    half the sum of bits and lengths' difference or more, bounds the distance.
     """
     odd = np.bincount((word & np.uint32(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
@@ -305,7 +307,8 @@ def _fits(least: float) -> Column:
     """Whether the lower bounds of two texts' distance, by length and by parities, allow the similarity."""
     most = (1 - least) * F.greatest("nx", "ny") + 1e-9
     differ = [F.bit_count(F.get("px", F.lit(i)).bitwiseXOR(F.get("py", F.lit(i)))) for i in range(PARITY)]
-    return (F.abs(F.col("nx") - F.col("ny")) <= most) & (sum(differ[1:], differ[0]) <= 2 * most)
+    lengths = F.abs(F.col("nx") - F.col("ny"))
+    return (lengths <= most) & (sum(differ[1:], differ[0]) + lengths <= 2 * most)
 
 
 def _linked(known: DataFrame) -> DataFrame:
