@@ -1,5 +1,7 @@
 import datetime as dt
 import random
+import re
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -190,3 +192,23 @@ def test_registered_rule(entries):
         assert sorted(f.evidence.triggeredPattern for f in rules.run_rules(df).collect()) == ["sudo", "x"]
     finally:
         rules.unregister_rule("mine")
+
+
+def lines_scanned(df, path):
+    """Scans of the table at ``path`` in the final plan."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    return len(re.findall(r"FileScan parquet [^\n]*" + re.escape(path), final))
+
+
+def test_rules_scan_the_lines_twice_at_most(spark):
+    """Once when the facts or instants are written, once for the texts of the samples."""
+    path = tempfile.mkdtemp(prefix="e-") + "/e"  # short, as plans cut long paths
+    rows = [("s", i, dt.datetime(2026, 5, 26, 23, 0, i % 60), "9.9.9.9", "u", f"ssh failed password sudo DPT={i}") for i in range(60)]
+    frame = spark.createDataFrame(rows, "session_id string, line_num bigint, ts timestamp, ip string, user_name string, raw_line string")
+    frame.withColumn("format", F.lit("syslog")).write.parquet(path)
+    stored = spark.read.parquet(path)
+    for rule in (rules.rule_brute_force_ssh, rules.rule_port_scan, rules.run_rules):
+        out = rule(stored)
+        assert lines_scanned(out, path) == 1 and out.count() > 0, rule
