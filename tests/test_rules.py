@@ -205,7 +205,7 @@ def lines_scanned(df, path):
 def test_rules_scan_the_lines_twice_at_most(spark):
     """Once when the facts or instants are written, once for the texts of the samples."""
     path = tempfile.mkdtemp(prefix="e-") + "/e"  # short, as plans cut long paths
-    rows = [("s", i, dt.datetime(2026, 5, 26, 23, 0, i % 60), "9.9.9.9", "u", f"ssh failed password sudo DPT={i}") for i in range(60)]
+    rows = [("s", i, dt.datetime(2026, 5, 26, 23, 0, i % 60), "9.9.9.9", "u", f"ssh failed password sudo DST={1000 + i}") for i in range(60)]
     frame = spark.createDataFrame(rows, "session_id string, line_num bigint, ts timestamp, ip string, user_name string, raw_line string")
     frame.withColumn("format", F.lit("syslog")).write.parquet(path)
     stored = spark.read.parquet(path)
