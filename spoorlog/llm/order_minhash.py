@@ -208,14 +208,17 @@ PARITY = 64  # numbers of 64 bits
 
 
 def parities(word: np.ndarray) -> list[int]:
-    """For 4096 classes of words, whether their number is odd, as bits.
+    """For 4096 classes of words labelled with their occurrence, whether their number is odd, as bits.
 
-    The words that one text has and another lacks, and those the other way round, are
-    at least as many as the bits that differ, and they differ in number as the texts
+    The labelled words that one text has and another lacks, and those the other way round,
+    are at least as many as the bits that differ, and they differ in number as the texts
     do in length. An edit makes up for one of each, so the larger of the two numbers,
-    half the sum of bits and lengths' difference or more, bounds the distance.
+    half the sum of bits and lengths' difference or more, bounds the distance. Labels tell
+    the occurrences of a repeated word apart, so texts full of one line cancel only what
+    they share of it, and not each second one of their own.
     """
-    odd = np.bincount((word & np.uint32(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    bits = PARITY.bit_length() + 5
+    odd = np.bincount((labelled(word.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64), minlength=64 * PARITY) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 

@@ -34,6 +34,15 @@ def test_parities_bound_the_distance(a, b):
     assert sum((p ^ q).bit_count() if p ^ q >= 0 else ((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(x, y, strict=True)) <= 2 * distance(a, b)
 
 
+def test_parities_tell_repeated_words_apart():
+    bits = lambda v: O.parities(np.array(v, np.uint32))
+    differ = lambda a, b: sum(((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(bits(a), bits(b), strict=True))
+    line = [1, 2] * 300
+    one, two = line + [n for w in range(10, 60) for n in (w, w)], line + [n for w in range(100, 150) for n in (w, w)]
+    assert differ(line, line) == 0 and differ(one, one[::-1]) == 0
+    assert 170 <= differ(one, two) <= 2 * distance(one, two)  # each word of its own twice, 200 labelled words in all
+
+
 def test_order_counts():
     rng = random.Random(1)
     words = [rng.getrandbits(64) for _ in range(60)]
