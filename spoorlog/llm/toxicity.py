@@ -10,7 +10,9 @@ sentence. Its weight is the sum of three, for itself and for its first four and
 five letters, so an unseen form of a known stem is recognised; each is hashed to
 2**18 places. Sentences end at ``. ! ?`` or a line feed. Training uses at most
 about ``per_label`` documents of each label, chosen by a hash of the id (a
-documented bound); what fewer than ``least`` of them have gets no weight.
+documented bound); what fewer than ``least`` of them have gets no weight. Each
+counts by the inverse of its label's share in the sample, so that scores follow
+the labels of all rows, however many there are.
 
 Null or empty texts, and texts without words, score 0. Rows are independent.
 Without labelled rows of both kinds every score is 0. Documents labelled twice
@@ -66,8 +68,8 @@ class Model:
 
 
 def fit(feature: np.ndarray, sentence: np.ndarray, doc: np.ndarray, label: np.ndarray, least: int, rounds: int = 100,
-        lasso: float = 1e-4, rate: float = 0.1) -> Model:
-    """Minimise the noisy-or log loss plus a lasso; ``doc`` is the document of each sentence.
+        lasso: float = 1e-4, rate: float = 0.1, weight: np.ndarray | None = None) -> Model:
+    """Minimise the noisy-or log loss plus a lasso; ``doc`` is the document of each sentence, ``weight`` what each document counts (mean 1).
 
     The lasso leaves a few hundred features, so words that merely sat in a toxic
     document by chance weigh nothing.
@@ -92,7 +94,7 @@ def fit(feature: np.ndarray, sentence: np.ndarray, doc: np.ndarray, label: np.nd
         z = np.bincount(s, score[x], minlength=len(doc)) + bias
         clean = np.bincount(doc, -np.logaddexp(0, z), minlength=n_doc)  # log of no toxic sentence
         pull = np.where(label == 1, -1 / np.maximum(np.expm1(np.minimum(-clean, 50)), 1e-6), 1.0)
-        g = pull[doc] / (1 + np.exp(-z))
+        g = (pull if weight is None else pull * weight)[doc] / (1 + np.exp(-z))
         each = np.bincount(x, g[s], minlength=len(words))
         grad = np.append(np.bincount(words[on], np.broadcast_to(each[:, None], on.shape)[on], minlength=1 << BITS), g.sum()) / n_doc
         moments[0] = 0.9 * moments[0] + 0.1 * grad
@@ -109,9 +111,9 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 2500, least: int
     known = (
         labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    share, most = F.lit(0.0), 0.0
+    share, most, parts = F.lit(0.0), 0.0, {}
     for row in known.groupBy("toxic").count().collect():  # two rows
-        part = min(1.0, per_label / row["count"])
+        part = parts[row["toxic"]] = min(1.0, per_label / row["count"])
         share, most = F.when(F.col("toxic") == row["toxic"], F.lit(part)).otherwise(share), max(part, most)
     draw = F.xxhash64(F.lit(131), "doc_id").bitwiseAND(F.lit((1 << 31) - 1)) / F.lit(float(1 << 31))
     # The sample is written first: a few thousand ids, whose size Spark then knows, find their
@@ -139,9 +141,11 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 2500, least: int
         sentence.append(s + n)
         doc.append(np.full(len(own), i))
         n += len(own)
+    weight = np.array([1 / parts[r["toxic"]] for r in sample])
+    weight /= max(weight.sum(), 1) / max(len(weight), 1)
     empty = [np.zeros(0, np.int64)]
     return fit(np.concatenate([*feature, np.zeros((0, 1 + len(STEMS)))]).astype(np.int64), np.concatenate(sentence + empty).astype(np.int64),
-               np.concatenate(doc + empty).astype(np.int64), np.array([r["toxic"] for r in sample], np.int64), least)
+               np.concatenate(doc + empty).astype(np.int64), np.array([r["toxic"] for r in sample], np.int64), least, weight=weight)
 
 
 def predict(df: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 20
-TABLE = 0x20000
+#: Beyond the last assigned letter; the last entry is of a code point that is none.
+TABLE = 0x33480
 #: White space of a word pattern [^\x20\x09-\x0D]+
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _BASE = 0x9E3779B97F4A7C15

@@ -47,3 +47,9 @@ def test_keeps_short_texts_and_drops_what_no_language_explains(docs):
 def test_nothing_is_rejected_without_profiles(docs):
     rows = docs([(i, "some words of a language that nobody has told us about " * 5, None, None) for i in range(20)] + [(30, "123", None, None)])
     assert langid.keep_accepted(rows, langid.train(rows)).count() == 20
+
+
+def test_letters_of_every_plane_are_letters(docs):
+    profiles = langid.train(docs([(i, t, lang, None) for i, (lang, t) in enumerate((lang, t) for lang, ts in TRAIN.items() for t in ts)]))
+    rows = ["\U00020000\U0002a6d6\U0002b740", "\U00031350\U000323af", "\U000e0100\U0010ffff", "\U0001f600"]
+    assert [r.lang_pred == "und" for r in langid.predict(docs(rows), profiles).collect()] == [False, False, True, True]

@@ -64,3 +64,12 @@ def test_gradient_lowers_the_loss():
     z = np.bincount(sentence, model.weights[feature].sum(1), minlength=200) + model.bias
     score = -np.expm1(np.bincount(doc, -np.logaddexp(0, z), minlength=50))
     assert ((score >= 0.5) == label).mean() > 0.95
+
+
+def test_thinned_labels_keep_their_prior():
+    label = np.arange(200) % 2
+    weight = np.where(label == 1, 0.2, 1.8)  # toxic 1 in 10 before a sample of equal numbers
+    model = T.fit(np.arange(600).reshape(200, 3), np.arange(200), np.arange(200), label, 3, rounds=300, weight=weight)
+    assert abs(1 / (1 + np.exp(-model.bias)) - 0.1) < 0.04
+    plain = T.fit(np.arange(600).reshape(200, 3), np.arange(200), np.arange(200), label, 3, rounds=300)
+    assert abs(1 / (1 + np.exp(-plain.bias)) - 0.5) < 0.1
