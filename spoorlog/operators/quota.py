@@ -6,19 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoorlog.operators import sliding
-from spoorlog.operators.sliding import bucket_of, covered
+from spoorlog.operators.sliding import bucket_of, covered, crowded
 
 HOUR = 3_600_000
 QUOTAS = {"analyze": (20, HOUR), "upload": (10, 24 * HOUR), "report": (5, 24 * HOUR)}
 KEYS = ["user_id", "kind"]
 
 
-def _oldest_in_window(over: DataFrame, requests: DataFrame, width: int) -> DataFrame:
+def _oldest_in_window(over: DataFrame, requests: DataFrame, width: int, pieces: bool) -> DataFrame:
     """Adds ``oldest``, the first request time in ``[at - width, at]``.
 
     Looked up from ``at - width`` on, in its bucket and the one behind. Going
     backwards in time, the last request seen is the next one after the probe. Long
-    buckets are gone through in pieces; each starts from the first request behind it.
+    crowded buckets are gone through in pieces; each starts from the first request behind it.
     """
     times = requests.select(*KEYS, "ms").distinct()
     own = bucket_of(F.col("ms"), width)
@@ -33,7 +33,7 @@ def _oldest_in_window(over: DataFrame, requests: DataFrame, width: int) -> DataF
         "at", "value",
     )
     rows, parts = marks.unionByName(probes), [*KEYS, "bucket"]
-    if width > sliding.PIECE_MS:
+    if pieces:
         rows = sliding.carried_in(rows, parts, "place", F.min("seen"), {"seen": F.min("part")}, back=True)
         parts = [*parts, "piece"]
     back = (
@@ -61,8 +61,9 @@ def quota_audit(requests: DataFrame, limit: int, window_ms: int) -> DataFrame:
         *KEYS, F.col("ms").alias("start"), (F.col("ms") + window_ms).alias("stop"),
         F.col("ms").alias("at"), "weight",
     )
-    over = covered(spans, KEYS, window_ms).filter(F.col("value") > limit)
-    timed = _oldest_in_window(over, requests, window_ms)
+    pieces = crowded(counted, KEYS, window_ms)
+    over = covered(spans, KEYS, window_ms, pieces=pieces).filter(F.col("value") > limit)
+    timed = _oldest_in_window(over, requests, window_ms, pieces)
     seconds = F.ceil((F.col("oldest") + window_ms - F.col("ms")) / 1000)
     return (
         requests.join(timed.withColumnRenamed("at", "ms"), [*KEYS, "ms"])
