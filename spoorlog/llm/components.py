@@ -43,6 +43,8 @@ def grown(comp: DataFrame, links: DataFrame) -> DataFrame:
     """Components with more links: only links between different components are looked at."""
     ends = with_comp(with_comp(links.select("a", "b"), comp, "a", "ca"), comp, "b", "cb")
     between = staged(ends.filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "links")
+    if between.isEmpty():
+        return comp
     top = components(between)
     renamed = top.select(F.col("node").alias("before"), F.col("comp").alias("after"))
     moved = comp.join(renamed, F.col("comp") == F.col("before"), "left").select("node", F.coalesce("after", "comp").alias("comp"))

@@ -289,29 +289,41 @@ def links(df: DataFrame, sketched: DataFrame, least: float = SIMILARITY, rounds:
         near = rated.filter(F.col("kind") == LINKED).join(between.select("key").distinct(), "key", "left_semi")
         # Two texts differ by at least the difference of their distances to the centre.
         reach = F.col("dx") - F.col("dy") <= (1 - least) * F.greatest("nx", "ny") + 1e-9
-        beside = _sides(between, comp, words, "x").join(_sides(near, comp, words, "y"), "key").filter(
-            reach & _fits(least) & (F.col("cx") != F.col("cy")))
+        beside = _meeting(_sides(between, comp, words, "x"), _sides(near, comp, words, "y"), reach, least)
         known = _extended(known, beside, words, least, floor)
         left = rated.filter(F.col("kind") != LINKED).select("key", "node")
     comp = grown(comp, _linked(known))
     x, y = (_sides(left.withColumn("distance", F.lit(0)), comp, words, v) for v in "xy")
-    known = _extended(known, x.join(y, "key").filter(_fits(least) & F.expr("x < y and cx <> cy")), words, least, floor)
+    known = _extended(known, _meeting(x, y, F.expr("x < y"), least), words, least, floor)
     return _linked(known), grown(comp, _linked(known))
 
 
 def _sides(rows: DataFrame, comp: DataFrame, words: DataFrame, v: str) -> DataFrame:
-    """Nodes of keys under the names of one side of a pair: node, class, distance to the centre, number of words, parities."""
-    return with_comp(rows, comp, "node", "c").join(words.select("node", "n", "parity"), "node").select(
+    """Nodes of keys under the names of one side of a pair: node, class, distance to the centre, number of words, parities, all its keys in ``rows``."""
+    keyed_ = rows.withColumn("keys", F.collect_set("key").over(Window.partitionBy("node")))
+    return with_comp(keyed_, comp, "node", "c").join(words.select("node", "n", "parity"), "node").select(
         "key", F.col("node").alias(v), F.col("c").alias(f"c{v}"), F.col("distance").alias(f"d{v}"),
-        F.col("n").alias(f"n{v}"), F.col("parity").alias(f"p{v}"))
+        F.col("n").alias(f"n{v}"), F.col("parity").alias(f"p{v}"), F.col("keys").alias(f"k{v}"))
+
+
+def _meeting(x: DataFrame, y: DataFrame, wanted: Column, least: float) -> DataFrame:
+    """Pairs of different classes that share a key and whose bounds allow the similarity, each pair once.
+
+    Near copies share many keys; a pair belongs to the least of them. What holds for
+    a pair by one key's centre holds for it, so a pair ruled out there is ruled out.
+    """
+    lengths = F.abs(F.col("nx") - F.col("ny")) <= (1 - least) * F.greatest("nx", "ny") + 1e-9
+    once = F.col("key") == F.array_min(F.array_intersect("kx", "ky"))
+    return x.join(y, "key").filter(wanted & (F.col("cx") != F.col("cy")) & lengths & once & _fits(least))
 
 
 def _fits(least: float) -> Column:
-    """Whether the lower bounds of two texts' distance, by length and by parities, allow the similarity."""
-    most = (1 - least) * F.greatest("nx", "ny") + 1e-9
-    differ = [F.bit_count(F.get("px", F.lit(i)).bitwiseXOR(F.get("py", F.lit(i)))) for i in range(PARITY)]
-    lengths = F.abs(F.col("nx") - F.col("ny"))
-    return (lengths <= most) & (sum(differ[1:], differ[0]) + lengths <= 2 * most)
+    """Whether the lower bound of two texts' distance by length and parities allows the similarity.
+
+    Written as a loop: spelled out, it makes the join one method too long for the JVM to compile.
+    """
+    apart = F.zip_with("px", "py", lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.aggregate(apart, F.lit(0), lambda s, n: s + n) + F.abs(F.col("nx") - F.col("ny")) <= 2 * ((1 - least) * F.greatest("nx", "ny") + 1e-9)
 
 
 def _linked(known: DataFrame) -> DataFrame:

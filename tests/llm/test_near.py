@@ -145,3 +145,23 @@ def test_lone_pairs_are_one_class(docs):
         texts += [" ".join(words), " ".join(edited)]
     got = {r.doc_id: r.class_id for r in O.classes(docs(texts)).collect()}
     assert sum(got[i] == got[i + 1] for i in range(0, len(texts), 2)) >= 34
+
+
+def test_a_pair_of_a_crowd_meets_once(docs, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(f"x{rng.getrandbits(30)}" if rng.random() < 0.12 else w for w in base) for _ in range(60)]
+    met, steps, extended = [], [], O._extended
+
+    def counted(known, pairs, *more):
+        met.extend((len(steps), bytes(r.x), bytes(r.y)) for r in pairs.select("x", "y").collect())
+        steps.append(1)
+        return extended(known, pairs, *more)
+
+    monkeypatch.setattr(O, "_extended", counted)
+    got = {r.doc_id: r.class_id for r in O.classes(docs(texts)).collect()}
+    assert met and len(met) == len(set(met))
+    keys = [set(k.tolist()) for block in O.band_keys(texts) for k in block]
+    words = [t.split() for t in texts]
+    linked = [(i, j) for i in range(60) for j in range(i) if keys[i] & keys[j] and distance(words[i], words[j]) <= 40]
+    assert all(got[i] == got[j] for i, j in linked)  # no link of a shared key is lost
